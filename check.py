@@ -17,7 +17,7 @@ def norm(pdf: pd.DataFrame) -> list[tuple]:
     pdf = pdf[sorted(pdf.columns)]
 
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "~"
         if isinstance(v, (list, tuple)) or hasattr(v, "tolist") and getattr(v, "ndim", 0):
             return str([cell(x) for x in v])

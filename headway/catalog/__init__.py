@@ -2,7 +2,7 @@
 
 from headway.catalog.base import ORACLES, QUERIES
 from headway.catalog import (  # noqa: F401
-    aggs, filters, joining, samples, sets, windowed,
+    aggs, feeds, filters, joining, samples, sets, windowed,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

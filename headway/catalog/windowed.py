@@ -152,9 +152,9 @@ def _(t):
     return d.select("trip_id", "stop_sequence", "price", "time_reversal")
 
 
-@query("w20_next_value", "obs", "SELECT obs_id, lead(stop_id) OVER (PARTITION BY route_id ORDER BY ts, obs_id) AS next_stop FROM obs")
+@query("w20_next_value", "obs", "SELECT obs_id, coalesce(lead(stop_id) OVER (PARTITION BY route_id ORDER BY ts, obs_id), -1) AS next_stop FROM obs")
 def _(t):
-    return wi.next_value(t.obs, ["route_id"], order(), hourly("ts"), "stop_id", "next_stop").select("obs_id", "next_stop")
+    return wi.next_value(t.obs, ["route_id"], order(), hourly("ts"), "stop_id", "next_stop").select("obs_id", F.coalesce("next_stop", F.lit(-1)).alias("next_stop"))
 
 
 @query("w21_dedup_keep_last", "upd", ", r AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY feed_time DESC, price DESC) AS rn FROM upd) SELECT trip_id, stop_sequence, feed_time, price FROM r WHERE rn = 1")

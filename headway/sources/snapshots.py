@@ -85,7 +85,8 @@ def normalize_snapshots(df: DataFrame) -> dict[str, DataFrame]:
     """Flat tables from nested snapshots.
 
     Ids are hashes of natural keys (file for a message, message and entity id for an entity), so
-    loading a file twice gives the same rows. An entity id seen twice in a message counts once.
+    loading a file twice gives the same rows. An entity id seen twice in a message counts once;
+    that is decided inside the message's own array, so entities are not shuffled.
     Keys that name descriptors are computed, so no table is looked up while normalizing.
     """
     msg = df.where(F.col("header").isNotNull()).withColumn("feed_message_id", row_id("feed_type", "file"))
@@ -96,10 +97,15 @@ def normalize_snapshots(df: DataFrame) -> dict[str, DataFrame]:
         F.when(F.coalesce("header.incrementality", F.lit(0)) == 0, "FULL_DATASET").otherwise("DIFFERENTIAL").alias("incrementality"),
         F.col("header.timestamp").alias("timestamp_seconds"), F.col("header.feed_version").alias("feed_version"),
     )
-    every = msg.select("feed_message_id", F.posexplode("entity").alias("at", "entity"))
-    first = every.groupBy("feed_message_id", F.col("entity.id").alias("entity_id")).agg(F.min("at").alias("at"))
-    kept = every.join(first, ["feed_message_id", "at"]).withColumn(
-        "feed_entity_id", row_id("feed_message_id", "entity_id")
+    ids = msg.select(
+        "feed_message_id", F.col("header.timestamp").alias("timestamp_seconds"), "entity",
+        F.transform("entity", lambda e: e["id"]).alias("ids"),
+    )
+    kept = (
+        ids.select("feed_message_id", "timestamp_seconds", "ids", F.posexplode("entity").alias("at", "entity"))
+        .where(F.coalesce(F.array_position("ids", F.col("entity.id")) == F.col("at") + 1, F.lit(True)))
+        .withColumn("entity_id", F.col("entity.id"))
+        .withColumn("feed_entity_id", row_id("feed_message_id", "entity_id"))
     )
     entities = kept.select(
         "feed_entity_id", "feed_message_id", "entity_id",
@@ -126,7 +132,7 @@ def normalize_snapshots(df: DataFrame) -> dict[str, DataFrame]:
     )
     alerts = kept.where(entity_type() == "alert").select(
         "feed_entity_id", row_id("feed_entity_id", F.lit("alert")).alias("alert_id"), F.col("entity.alert").alias("a"),
-        "feed_message_id",
+        "timestamp_seconds",
     )
     texts = F.array(
         *[F.struct(F.lit(t).alias("text_type"), F.col(f"a.{t}.translation").alias("tr")) for t in TEXT_TYPES]
@@ -151,7 +157,7 @@ def normalize_snapshots(df: DataFrame) -> dict[str, DataFrame]:
             map_codes(F.col("v.current_status"), STOP_STATUS, "IN_TRANSIT_TO").alias("current_status"),
             F.col("v.timestamp").alias("timestamp_seconds"), F.col("v.stop_id").alias("stop_id"),
         ),
-        "alerts": alerts.join(headers.select("feed_message_id", "timestamp_seconds"), "feed_message_id").select(
+        "alerts": alerts.select(
             "alert_id", "feed_entity_id", F.coalesce("a.cause", F.lit("UNKNOWN_CAUSE")).alias("cause"),
             F.coalesce("a.effect", F.lit("UNKNOWN_EFFECT")).alias("effect"),
             F.coalesce("a.severity_level", F.lit("UNKNOWN_SEVERITY")).alias("severity_level"),
