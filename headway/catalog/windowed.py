@@ -111,13 +111,13 @@ SELECT {ids}, round(CASE WHEN {x} IS NOT NULL THEN {x} WHEN pp IS NOT NULL AND n
 
 @query("w13_interpolate", "obs", _interp("stop_id", "gappy", "obs_id", "obs", "ts, obs_id"))
 def _(t):
-    d = fi.interpolate(t.obs, ["stop_id"], order(), daily("ts"), "gappy", rows=20)
+    d = fi.interpolate(t.obs, ["stop_id"], order(), daily("ts"), "gappy")
     return d.select("obs_id", r6("gappy").alias("filled"))
 
 
 @query("w14_interpolate_series", "wx", _interp("", "visibility", "hour", "wx", "hour"))
 def _(t):
-    d = fi.interpolate(t.wx, [], [F.col("hour")], daily("hour"), "visibility", rows=50)
+    d = fi.interpolate(t.wx, [], [F.col("hour")], daily("hour"), "visibility")
     return d.select("hour", r6("visibility").alias("filled"))
 
 

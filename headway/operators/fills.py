@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from headway.operators.spans import BLOCK_ROWS, POS, blockwise_known, place, rowwise
+from headway.operators.spans import POS, known_neighbours, rowwise
 
 
 def interpolate(
@@ -16,7 +16,6 @@ def interpolate(
     slices: Sequence,
     cols: str | Sequence[str],
     edges: str = "nearest",
-    rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Linear interpolation by row position inside each key.
 
@@ -24,35 +23,36 @@ def interpolate(
     leaves them. A key without known values stays null.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
-    out = blockwise_known(place(df, keys, order, slices), keys, cols, rows)
-    for x in cols:
+    out = known_neighbours(df, keys, order, slices, cols)
+
+    def filled(x):
         p, n = F.col(f"_p_{x}"), F.col(f"_n_{x}")
-        share = (F.col(POS) - p["pos"]) / (n["pos"] - p["pos"])
+        share = (F.col(POS) - p["pos"]) / F.nullif(n["pos"] - p["pos"], F.lit(0))
         line = F.when(p["pos"] < n["pos"], p["val"] + (n["val"] - p["val"]) * share)
         tail = [p["val"], n["val"]] if edges == "nearest" else []
-        out = out.withColumn(x, F.coalesce(F.col(x), line, *tail)).drop(f"_p_{x}", f"_n_{x}")
-    return out.drop(POS)
+        return F.coalesce(F.col(x), line, *tail)
+
+    return out.withColumns({x: filled(x) for x in cols}).drop(POS, *_near(cols))
+
+
+def _near(cols) -> list[str]:
+    return [f"_{p}_{x}" for p in "pn" for x in cols]
 
 
 def ffill(df, keys, order, slices, cols, limit: int | None = None, default=None) -> DataFrame:
     """Carry the last known value forward over at most ``limit`` rows, then ``default``."""
     cols = [cols] if isinstance(cols, str) else list(cols)
     if limit is None:
-        out = blockwise_known(place(df, keys, order, slices), keys, cols)
-        for x in cols:
-            out = out.withColumn(x, F.coalesce(F.col(x), F.col(f"_p_{x}")["val"]))
-            out = out.drop(f"_p_{x}", f"_n_{x}")
-        out = out.drop(POS)
+        out = known_neighbours(df, keys, order, slices, cols)
+        out = out.withColumns({x: F.coalesce(F.col(x), F.col(f"_p_{x}")["val"]) for x in cols}).drop(POS, *_near(cols))
     else:
         filled = {
             f"_f_{x}": (lambda w, x=x: F.last(x, True).over(w.rowsBetween(-limit, 0))) for x in cols
         }
         out = rowwise(df, keys, order, slices, filled, back=limit)
-        for x in cols:
-            out = out.withColumn(x, F.col(f"_f_{x}")).drop(f"_f_{x}")
+        out = out.withColumns({x: F.col(f"_f_{x}") for x in cols}).drop(*filled)
     if default is not None:
-        for x in cols:
-            out = out.withColumn(x, F.coalesce(F.col(x), F.lit(default)))
+        out = out.withColumns({x: F.coalesce(F.col(x), F.lit(default)) for x in cols})
     return out
 
 

@@ -10,6 +10,7 @@ the one the plain window gives while no task sees more than a slice or a block o
 * :func:`rowwise` evaluates bounded ROWS frames over blocks of consecutive positions.
 * :func:`timewise` evaluates bounded RANGE frames over time slices.
 * :func:`running` gives cumulative sums over an order of any length.
+* :func:`known_neighbours` finds the nearest known value over a gap of any length.
 """
 
 from __future__ import annotations
@@ -48,15 +49,18 @@ def running(
     weight: Column | None = None,
     name: str = POS,
     total: str | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Cumulative sum of ``weight`` (rows when None) per key, current row included.
 
     ``total`` also adds the sum over the whole key. ``order`` must be total and the slices must
-    follow it.
+    follow it. The slice sums are a second, narrow pass over the rows; where ``df`` already
+    carries costly columns, name an earlier frame with the same rows as ``source`` for it.
     """
     w = F.lit(1).cast("long") if weight is None else weight
-    marked = df.withColumn("_span", _span(keys, slices)).withColumn("_weight", w)
-    sums = marked.groupBy("_span").agg(F.sum("_weight").alias("_sum"))
+    marked = df.withColumns({"_span": _span(keys, slices), "_weight": w})
+    narrow = (df if source is None else source).select(_span(keys, slices).alias("_span"), w.alias("_weight"))
+    sums = narrow.groupBy("_span").agg(F.sum("_weight").alias("_sum"))
     key_cols = [F.col(f"_span.k{i}") for i in range(len(keys))]
     over_key = Window.partitionBy(*key_cols)
     earlier = over_key.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,29 +83,28 @@ def running(
     )
 
 
-def place(df, keys, order, slices, name: str = POS, total: str | None = None) -> DataFrame:
+def place(df, keys, order, slices, name: str = POS, total: str | None = None, source=None) -> DataFrame:
     """Exact 1-based row number per key, as bigint."""
-    return running(df, keys, order, slices, None, name, total)
+    return running(df, keys, order, slices, None, name, total, source)
 
 
 def blocked(df: DataFrame, back: int = 0, ahead: int = 0, rows: int = BLOCK_ROWS) -> DataFrame:
     """Cut placed rows into blocks of ``rows`` positions and copy the rows near a cut.
 
-    Adds ``_block`` and ``_own``; a row with ``_own`` false is a copy that only feeds frames.
+    Adds ``_block``; a row outside its own block is a copy that only feeds frames.
     """
     rows = max(rows, back, ahead)
-    at, inside = F.floor((F.col(POS) - 1) / rows), (F.col(POS) - 1) % rows
+    at, inside = _block_of(rows), (F.col(POS) - 1) % rows
     homes = [at]
     if back:
         homes.append(F.when(inside >= rows - back, at + 1))
     if ahead:
         homes.append(F.when((inside < ahead) & (at > 0), at - 1))
-    return (
-        df.withColumn("_home", at)
-        .withColumn("_block", F.explode(F.array_compact(F.array(*homes))))
-        .withColumn("_own", F.col("_block") == F.col("_home"))
-        .drop("_home")
-    )
+    return df.select("*", F.explode(F.array_compact(F.array(*homes))).alias("_block"))
+
+
+def _block_of(rows: int) -> Column:
+    return F.floor((F.col(POS) - 1) / rows)
 
 
 def rowwise(
@@ -115,19 +118,21 @@ def rowwise(
     rows: int = BLOCK_ROWS,
     keep_pos: bool = False,
     total: str | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add window columns whose ROWS frames reach ``back`` rows back and ``ahead`` rows ahead.
 
     Each function gets the ordered window and returns a column over it. One pass serves all of
-    them. ``rows`` bounds a task's share of a key.
+    them. ``rows`` bounds a task's share of a key. In a chain of calls pass the frame the chain
+    began with as ``source``, so that each call adds one narrow pass and not a second copy of
+    everything before it.
     """
-    cut = blocked(place(df, keys, order, slices, POS, total), back, ahead, rows)
+    rows = max(rows, back, ahead)
+    cut = blocked(place(df, keys, order, slices, POS, total, source), back, ahead, rows)
     w = Window.partitionBy(*keys, "_block").orderBy(POS)
-    out = cut
-    for name, fn in exprs.items():
-        out = out.withColumn(name, fn(w))
-    out = out.where("_own").drop("_own", "_block")
-    return out if keep_pos else out.drop(POS)
+    out = cut.withColumns({name: fn(w) for name, fn in exprs.items()})
+    out = out.where(F.col("_block") == _block_of(rows))
+    return out.drop("_block") if keep_pos else out.drop("_block", POS)
 
 
 def timewise(
@@ -147,59 +152,59 @@ def timewise(
     width = max(slice_seconds or 3600, back_seconds)
     home = F.floor(micros(ts) / (width * 1_000_000))
     reach = F.floor((micros(ts) + back_seconds * 1_000_000) / (width * 1_000_000))
-    cut = (
-        df.withColumn("_home", home)
-        .withColumn("_slice", F.explode(F.sequence(home, reach)))
-        .withColumn("_us", micros(ts))
-    )
+    cut = df.select("*", micros(ts).alias("_us"), home.alias("_home"), F.explode(F.sequence(home, reach)).alias("_slice"))
     w = (
         Window.partitionBy(*keys, "_slice")
         .orderBy("_us")
         .rangeBetween(-back_seconds * 1_000_000, -until_seconds * 1_000_000)
     )
-    out = cut
-    for name, fn in exprs.items():
-        out = out.withColumn(name, fn(w))
+    out = cut.withColumns({name: fn(w) for name, fn in exprs.items()})
     return out.where(F.col("_slice") == F.col("_home")).drop("_home", "_slice", "_us")
 
 
-def blockwise_known(
-    df: DataFrame, keys: Sequence[str], cols: Sequence[str], rows: int = BLOCK_ROWS
+def known_neighbours(
+    df: DataFrame, keys: Sequence[str], order: Sequence, slices: Sequence, cols: Sequence[str]
 ) -> DataFrame:
-    """For placed rows: position and value of the nearest non-null before (or at) and after each.
+    """Position, and per column the nearest non-null before (or at) and after each row.
 
-    Adds ``_p_<col>`` and ``_n_<col>`` as struct(pos, val), null where there is none. The gap may
-    be of any length: per block only its first and last known values travel between blocks.
+    Adds ``_pos``, ``_p_<col>`` and ``_n_<col>`` as struct(pos, val), null where there is none.
+    The gap may be of any length: of each slice only its row count and its first and last known
+    values travel to the other slices. Rows are shuffled once, on (key, slice).
     """
-    home = F.floor((F.col(POS) - 1) / rows)
-    cut = df.withColumn("_block", home)
+    marked = df.withColumn("_span", _span(keys, slices))
+    w = Window.partitionBy("_span").orderBy(*order)
 
-    def known(x):
-        return F.when(
-            F.col(x).isNotNull(), F.struct(F.col(POS).alias("pos"), F.col(x).alias("val"))
-        )
+    def known(x, at):
+        return F.when(F.col(x).isNotNull(), F.struct(F.col(at).alias("pos"), F.col(x).alias("val")))
 
-    edge = cut.groupBy(*keys, "_block").agg(
-        *[F.max(known(x)).alias(f"_last_{x}") for x in cols],
-        *[F.min(known(x)).alias(f"_first_{x}") for x in cols],
+    local = marked.withColumn("_at", F.row_number().over(w).cast("long"))
+    edge = local.groupBy("_span").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.max(known(x, "_at")).alias(f"_last_{x}") for x in cols],
+        *[F.min(known(x, "_at")).alias(f"_first_{x}") for x in cols],
     )
-    across = Window.partitionBy(*keys).orderBy("_block")
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    after = across.rowsBetween(1, Window.unboundedFollowing)
+    over_key = Window.partitionBy(*[F.col(f"_span.k{i}") for i in range(len(keys))]).orderBy("_span")
+    before = over_key.rowsBetween(Window.unboundedPreceding, -1)
+    after = over_key.rowsBetween(1, Window.unboundedFollowing)
+    edge = edge.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+
+    def shifted(c):
+        v = F.col(c)
+        return F.when(v.isNotNull(), F.struct((v["pos"] + F.col("_before")).alias("pos"), v["val"].alias("val")))
+
+    edge = edge.withColumns({f"_{e}_{x}": shifted(f"_{e}_{x}") for e in ("last", "first") for x in cols})
     edge = edge.select(
-        F.struct(*keys, "_block").alias("_cell"),
+        "_span", "_before",
         *[F.last(f"_last_{x}", True).over(before).alias(f"_pin_{x}") for x in cols],
         *[F.first(f"_first_{x}", True).over(after).alias(f"_nin_{x}") for x in cols],
     )
-    w = Window.partitionBy("_cell").orderBy(POS)
     up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    out = cut.withColumn("_cell", F.struct(*keys, "_block"))
-    for x in cols:
-        out = out.withColumn(f"_pk_{x}", F.last(known(x), True).over(up))
-        out = out.withColumn(f"_nk_{x}", F.first(known(x), True).over(down))
-    out = out.join(edge, "_cell")
+    here = {f"_pk_{x}": F.last(known(x, "_at"), True).over(up) for x in cols}
+    here |= {f"_nk_{x}": F.first(known(x, "_at"), True).over(down) for x in cols}
+    near = {POS: F.col("_at") + F.col("_before")}
     for x in cols:
-        out = out.withColumn(f"_p_{x}", F.coalesce(f"_pk_{x}", f"_pin_{x}"))
-        out = out.withColumn(f"_n_{x}", F.coalesce(f"_nk_{x}", f"_nin_{x}"))
+        near[f"_p_{x}"] = F.coalesce(shifted(f"_pk_{x}"), f"_pin_{x}")
+        near[f"_n_{x}"] = F.coalesce(shifted(f"_nk_{x}"), f"_nin_{x}")
+    out = local.withColumns(here).join(edge, "_span").withColumns(near)
     drop = [f"_{p}_{x}" for p in ("pk", "nk", "pin", "nin") for x in cols]
-    return out.drop("_cell", "_block", *drop)
+    return out.drop("_span", "_at", "_before", *drop)

@@ -37,16 +37,20 @@ def weather_changes(weather: DataFrame, back: int = 168) -> DataFrame:
     ).drop("_mean", "_wind")
 
 
-def route_windows(base: DataFrame) -> DataFrame:
-    """Past-hour mean, past-rows mean at the same hour and volatility per route and direction."""
+def route_windows(base: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Past-hour mean, past-rows mean at the same hour and volatility per route and direction.
+
+    ``source``: a frame with the same rows that is cheaper to read again for slice sizes.
+    """
+    source = base if source is None else source
     order = [F.col("scheduled_arrival_time"), *[F.col(x) for x in TIE]]
     cut = hourly("scheduled_arrival_time")
     rd = ["route_id", "direction_id"]
     d = timewise(base, rd, "scheduled_arrival_time", {"route_delay_trend_60min": lambda w: F.avg("arrival_delay").over(w)}, 3600, 60)
-    d = rowwise(d, rd, order, cut, {"route_delay_volatility_3h": lambda w: F.stddev_samp("arrival_delay").over(w.rowsBetween(-3, -1))}, back=3)
+    d = rowwise(d, rd, order, cut, {"route_delay_volatility_3h": lambda w: F.stddev_samp("arrival_delay").over(w.rowsBetween(-3, -1))}, back=3, source=source)
     return rowwise(
         d, [*rd, "hour_of_day"], order, daily("scheduled_arrival_time"),
-        {"route_hourly_delay_7d_avg": lambda w: F.avg("arrival_delay").over(w.rowsBetween(-168, -1))}, back=168,
+        {"route_hourly_delay_7d_avg": lambda w: F.avg("arrival_delay").over(w.rowsBetween(-168, -1))}, back=168, source=source,
     )
 
 
@@ -80,7 +84,7 @@ def route_training(base: DataFrame, t: dict[str, DataFrame], rain: float = 6) ->
     d = route_windows(base)
     d = rowwise(
         d, ["trip_id", "hour_of_day"], order, daily("scheduled_arrival_time"),
-        {"delay_mean_by_trip_headsign_hour": lambda w: F.avg("arrival_delay").over(w.rowsBetween(-168, -1))}, back=168,
+        {"delay_mean_by_trip_headsign_hour": lambda w: F.avg("arrival_delay").over(w.rowsBetween(-168, -1))}, back=168, source=base,
     )
     zero = ("route_delay_trend_60min", "route_hourly_delay_7d_avg", "route_delay_volatility_3h", "delay_mean_by_trip_headsign_hour")
     d = d.withColumns({x: F.coalesce(x, F.lit(0.0)) for x in zero})
@@ -97,7 +101,7 @@ def trip_training(base: DataFrame, t: dict[str, DataFrame], rain: float = 6, min
         "prev_2_stop_delay": lambda w: F.lag("arrival_delay", 2).over(w),
     }
     d = rowwise(base, ["trip_id", "start_date"], order, [F.col("stop_sequence")], fns, back=2)
-    d = upstream_ready(route_windows(d), "stop_sequence", "prev_stop_delay", min_seq)
+    d = upstream_ready(route_windows(d, base), "stop_sequence", "prev_stop_delay", min_seq)
     zero = ("prev_stop_delay", "prev_2_stop_delay", "route_delay_trend_60min", "route_hourly_delay_7d_avg", "route_delay_volatility_3h")
     d = d.withColumns({x: F.coalesce(F.col(x).cast("double"), F.lit(0.0)) for x in zero})
     parts = daypart_onehot("hour_of_day", "day_of_week")
