@@ -2,7 +2,7 @@
 
 from headway.catalog.base import ORACLES, QUERIES
 from headway.catalog import (  # noqa: F401
-    aggs, feeds, filters, joining, samples, sets, views, windowed,
+    aggs, feeds, filters, joining, learned, live, samples, sets, views, windowed,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
