@@ -10,6 +10,7 @@ from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssemb
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.storagelevel import StorageLevel
 
 from headway.functions.clock import c
 from headway.functions.encode import finite
@@ -84,8 +85,20 @@ def _labelled(df: DataFrame, y: str) -> DataFrame:
     return df.withColumn(LABEL, F.col(y).cast("double")).where(finite(LABEL))
 
 
+def _on_cached(est, rows: DataFrame):
+    """Fit on rows kept in executor memory and disk, since training reads them many times.
+
+    Lost blocks are computed again from their source.
+    """
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return est.fit(rows)
+    finally:
+        rows.unpersist()
+
+
 def fit(kind: str, df: DataFrame, cols: Sequence[str], y: str, poly: bool = False, **params) -> PipelineModel:
-    return estimator(kind, cols, poly, **params).fit(_labelled(df, y))
+    return _on_cached(estimator(kind, cols, poly, **params), _labelled(df, y).select(*dict.fromkeys([*cols, LABEL])))
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -111,10 +124,11 @@ def _validator(kind, cols, grid, folds, seed, parallelism, **params):
 def tune(kind: str, df: DataFrame, cols, y: str, grid: dict | None = None, folds: int = 5, seed: int = 42, parallelism: int = 2, **params):
     """Best model of a grid by k-fold RMSE, and the average score of every setting."""
     grid = GRIDS.get(kind, {}) if grid is None else grid
-    cv = _validator(kind, cols, grid, folds, seed, parallelism, **params).fit(_labelled(df, y))
+    rows = _labelled(df, y).select(*dict.fromkeys([*cols, LABEL]))
+    cv = _on_cached(_validator(kind, cols, grid, folds, seed, parallelism, **params), rows)
     settings = [{p.name: v for p, v in m.items()} for m in cv.getEstimatorParamMaps()]
-    rows = [(str(s), float(m)) for s, m in zip(settings, cv.avgMetrics)]
-    return cv.bestModel, df.sparkSession.createDataFrame(rows, "params string, rmse double")
+    scores = [(str(s), float(m)) for s, m in zip(settings, cv.avgMetrics)]
+    return cv.bestModel, df.sparkSession.createDataFrame(scores, "params string, rmse double")
 
 
 def importances(model: PipelineModel, spark, cols: Sequence[str]) -> DataFrame:
@@ -135,7 +149,7 @@ def fit_report(kind: str, train: DataFrame, valid: DataFrame, cols, y: str, fold
 
     report = scored(train, "train").unionByName(scored(valid, "valid"))
     if folds:
-        cv = _validator(kind, cols, {}, folds, 42, 2, **params).fit(_labelled(train, y))
+        cv = _on_cached(_validator(kind, cols, {}, folds, 42, 2, **params), _labelled(train, y).select(*dict.fromkeys([*cols, LABEL])))
         report = report.withColumn("cv_rmse", F.lit(float(cv.avgMetrics[0])))
     return model, report
 
@@ -170,7 +184,7 @@ def permute(df: DataFrame, cols: Sequence[str], key: Sequence[str], seed: int) -
     """
     def ranked(name, s):
         h = df.withColumn("_h", hash_text(*key, seed=s))
-        return place(h, [], [F.col("_h"), *[F.col(k) for k in key]], [F.substring("_h", 1, 2)], name).drop("_h")
+        return place(h, [], [F.col("_h"), *[F.col(k) for k in key]], [F.substring("_h", 1, 5)], name).drop("_h")
 
     mine = ranked("_p", 2 * seed).drop(*cols)
     given = ranked("_p", 2 * seed + 1).select("_p", *cols)

@@ -26,7 +26,7 @@ def split_temporal(df, order: Sequence, slices: Sequence[Column], ratio: float =
 
 def split_random(df, key: Sequence[str], ratio: float = 0.9, seed: int = 42) -> DataFrame:
     h = df.withColumn("_h", hash_text(*key, seed=seed))
-    placed = place(h, [], [F.col("_h"), *[F.col(k) for k in key]], [F.substring("_h", 1, 3)], "_pos", "_total")
+    placed = place(h, [], [F.col("_h"), *[F.col(k) for k in key]], [F.substring("_h", 1, 5)], "_pos", "_total")
     return _label(placed, ratio).drop("_h")
 
 
@@ -39,7 +39,7 @@ def split_groups(df, key: Sequence[str], ratio: float = 0.8, seed: int = 42) ->
 def split_stratified(df, group: Sequence[str], key: Sequence[str], ratio: float = 0.8, seed: int = 42) -> DataFrame:
     """The share is taken inside every group."""
     h = df.withColumn("_h", hash_text(*key, seed=seed))
-    placed = place(h, group, [F.col("_h"), *[F.col(k) for k in key]], [F.substring("_h", 1, 2)], "_pos", "_total")
+    placed = place(h, group, [F.col("_h"), *[F.col(k) for k in key]], [F.substring("_h", 1, 4)], "_pos", "_total")
     return _label(placed, ratio).drop("_h")
 
 
