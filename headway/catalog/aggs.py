@@ -325,8 +325,8 @@ def _(t):
     return rounded(ag.trip_rows(t.upd, ["trip_id"], ["feed_time", "stop_sequence", "price"], ["stop_id"], ["delay"]), "delay")
 
 
-@query("a43_importance_by_group", "", """, f AS (SELECT event_type AS feature, avg(value) AS importance FROM events GROUP BY 1)
-SELECT CASE WHEN feature IN ('click', 'view') THEN 'browse' WHEN feature = 'purchase' THEN 'buy' ELSE 'other' END AS "group", round(sum(importance) + 1e-9, 6) AS sum, round(avg(importance) + 1e-9, 6) AS mean, count(*) AS count FROM f GROUP BY 1""".replace(", f AS", "WITH f AS", 1))
+@query("a43_importance_by_group", "", """WITH f AS (SELECT event_type AS feature, avg(value) AS importance FROM events GROUP BY 1)
+SELECT CASE WHEN feature IN ('click', 'view') THEN 'browse' WHEN feature = 'purchase' THEN 'buy' ELSE 'other' END AS "group", round(sum(importance) + 1e-9, 6) AS sum, round(avg(importance) + 1e-9, 6) AS mean, count(*) AS count FROM f GROUP BY 1""")
 def _(t):
     f = t.raw("events").groupBy(F.col("event_type").alias("feature")).agg(F.avg("value").alias("importance"))
     return rounded(me.importance_by_group(f, {"browse": ["click", "view"], "buy": ["purchase"]}), "sum", "mean")

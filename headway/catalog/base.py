@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from headway.functions.clock import epoch, hour_start, isodow
-from headway.session import SETTINGS
+from headway.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,8 +62,7 @@ def query(name: str, ctes: str = "", sql: str | None = None):
 
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", SETTINGS["spark.sql.session.timeZone"])
-            return fn(Tables(spark, sf_dir))
+            return fn(Tables(prepare(spark), sf_dir))
 
         run.__name__ = name
         if name in QUERIES:

@@ -289,18 +289,18 @@ def _(t):
     return tb.complete_hours_only(t.wx, "2024-01-20 12:40:00").select("hour")
 
 
-@query("k09_write_with_metadata", "", "SELECT count(*) AS n_rows, 5 AS n_columns, 'baseline' AS model FROM nation, (SELECT 1) WHERE n_nationkey >= 0 GROUP BY ALL".replace("5 AS", "3 AS"))
+@query("k09_write_with_metadata", "upd", "SELECT count(*) AS n_rows, 10 AS n_columns, 'baseline' AS model FROM upd")
 def _(t):
     path = scratch_path(t.spark, "dataset")
-    tb.write_with_metadata(t.raw("nation"), path, {"model": "baseline"})
+    tb.write_with_metadata(t.upd, path, {"model": "baseline"})
     return t.spark.read.json(f"{path}_metadata").select("n_rows", F.col("n_columns").cast("int"), "model")
 
 
-@query("k10_feature_store", "trips", "SELECT start_date, count(*) AS n FROM trips WHERE start_date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31' GROUP BY 1")
+@query("k10_feature_store", "trips", "SELECT CAST(year(start_date) AS INTEGER) AS year, count(*) AS n FROM trips GROUP BY 1")
 def _(t):
     path = scratch_path(t.spark, "features")
-    tb.write_feature_store(t.trips.where("start_date BETWEEN '1998-01-01' AND '1998-03-31'"), path)
-    return t.spark.read.parquet(path).groupBy("start_date").agg(F.count(F.lit(1)).alias("n"))
+    tb.write_feature_store(t.trips.withColumn("year", F.year("start_date")), path, "year")
+    return t.spark.read.parquet(path).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("k11_write_splits", "trips", """, d AS (SELECT DISTINCT start_date FROM trips), i AS (SELECT start_date, row_number() OVER (ORDER BY start_date) - 1 AS i, count(*) OVER () AS n FROM d),

@@ -166,7 +166,7 @@ def _(t):
 @query("t09_split_report", "obs", """, g AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY md5(obs_id || '|42'), obs_id) <= floor((SELECT count(*) FROM obs) * 0.9) THEN 'train' ELSE 'test' END AS split FROM obs),
 sh AS (SELECT count(*) AS shared_groups FROM (SELECT stop_id FROM g GROUP BY 1 HAVING count(DISTINCT split) > 1))
 SELECT split, count(*) AS n_rows, count(DISTINCT stop_id) AS n_groups, count(*) FILTER (WHERE gappy IS NULL) AS n_null, round(avg(gappy) + 1e-9, 6) AS mean, round(stddev_samp(gappy) + 1e-9, 6) AS std,
-min(gappy) AS "min", max(gappy) AS "max", round(count(*) / 10000e0 * 10000 / (SELECT count(*) FROM obs) + 1e-9, 6) AS share, max(shared_groups) AS shared_groups FROM g, sh GROUP BY 1""")
+min(gappy) AS "min", max(gappy) AS "max", round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM obs) + 1e-9, 6) AS share, max(shared_groups) AS shared_groups FROM g, sh GROUP BY 1""")
 def _(t):
     return rounded(sp.split_report(sp.split_random(t.obs, ["obs_id"]), ["stop_id"], "gappy"), "mean", "std", "share")
 
@@ -176,8 +176,8 @@ def _(t):
     return sp.fold_report(t.obs.withColumn("day", F.to_date("ts")), folds(t), "day")
 
 
-@query("c06_label_encode", "", """, k AS (SELECT DISTINCT event_type AS x FROM events WHERE event_id < 100000 AND value < 100), c AS (SELECT x, CAST(row_number() OVER (ORDER BY x) - 1 AS INTEGER) AS code FROM k WHERE x <> 'view')
-SELECT event_id, coalesce(code, -1) AS event_type_encoded FROM events LEFT JOIN c ON x = event_type""".replace(", k AS", "WITH k AS", 1).replace("WHERE event_id < 100000 AND value < 100", ""))
+@query("c06_label_encode", "", """WITH k AS (SELECT DISTINCT event_type AS x FROM events), c AS (SELECT x, CAST(row_number() OVER (ORDER BY x) - 1 AS INTEGER) AS code FROM k WHERE x <> 'view')
+SELECT event_id, coalesce(code, -1) AS event_type_encoded FROM events LEFT JOIN c ON x = event_type""")
 def _(t):
     e = t.raw("events")
     codes = sc.label_fit(e.where("event_type <> 'view'"), "event_type")

@@ -10,6 +10,7 @@ from headway.catalog.joining import ALERTS, CALENDAR, POSITIONS, STOP_TIMES, ale
 from headway.functions.clock import epoch, hour_start
 from headway.operators.learning import score_regions
 from headway.operators.spans import daily
+from headway.sinks.tables import stage
 from headway.plans import grid as gr, network as nw, realtime as rt, serving as sv, training as tr, trips as tp, weather as we
 
 AS_OF = "1999-06-15 08:00:00"
@@ -235,7 +236,7 @@ pv AS (SELECT trip_id, stop_sequence, arg_max(arrival_delay, (actual_arrival_tim
 def board_inputs(t):
     trips = t.trips.select("trip_id", "route_id", "direction_id", F.col("headsign").alias("trip_headsign"), "service_id")
     p = rt.latest_predictions(predictions(t)).groupBy("stop_id", "stop_sequence", "route_id", "prediction_target_time").agg(F.min("predicted_delay_seconds").alias("predicted_delay_seconds"))
-    return stop_times(t), trips, nw.expand_calendar(t.services), observed(t), p
+    return stop_times(t), trips, nw.expand_calendar(t.services), stage(observed(t)), p
 
 
 @query("v13_stop_board", "upd trips services stops", f""", {BOARD}, na AS (SELECT stop_id, route_id, headsign, service_id, service_date, min(actual_time) AS next_arrival_time, min(arrival_secs) AS arrival_secs FROM tm WHERE actual_time >= TIMESTAMP '{DAY}' GROUP BY 1, 2, 3, 4, 5),
@@ -306,7 +307,7 @@ k AS (SELECT * FROM c WHERE NOT (arrival_delay < -CASE WHEN hod IN (22,23,0,1,2,
 g AS (SELECT route_id, stop_id, hr, dow, avg(arrival_delay) AS d, avg(travel_time_duration) AS tv, count(*) AS n FROM k GROUP BY route_id, direction_id, stop_id, stop_sequence, hr, dow)
 SELECT route_id, stop_id, hr AS time_bucket, dow AS day_of_week, round(d + 1e-9, 6) AS arrival_delay, round(tv + 1e-9, 6) AS travel_time_duration, n AS observation_count, CAST(hour(hr) AS INTEGER) AS hour_of_day FROM g""")
 def _(t):
-    tt = tr.travel_time_dataset(observed(t))
+    tt = stage(tr.travel_time_dataset(observed(t)))
     hours = tt.select(F.col("datetime_60").alias("datetime")).distinct()
     cols = ["temp", "precipitation", "humidex", "wind_speed", "weather_sunny", "weather_cloudy", "weather_rainy"]
     d = tr.offline_features(tt, hours.withColumns({x: F.lit(1.0) for x in cols}), min_obs=1)
@@ -388,14 +389,14 @@ def _(t):
 @query("c14_process_features", "upd trips", """, c AS (SELECT trip_id, stop_sequence FROM upd GROUP BY 1, 2), r AS (SELECT trip_id, stop_sequence, route_id || '_' || direction_id AS k, start_date FROM c JOIN trips USING (trip_id)), e AS (SELECT k, CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT k FROM r))
 SELECT trip_id, stop_sequence, code AS route_direction_encoded, CAST(isodow(start_date) - 1 AS INTEGER) AS day_of_week, CASE WHEN isodow(start_date) >= 6 THEN 1 ELSE 0 END AS is_weekend, 0 AS has_detour FROM r JOIN e USING (k)""")
 def _(t):
-    return tp.process_features(prepared(t)).select("trip_id", "stop_sequence", "route_direction_encoded", "day_of_week", "is_weekend", "has_detour")
+    return tp.process_features(stage(prepared(t))).select("trip_id", "stop_sequence", "route_direction_encoded", "day_of_week", "is_weekend", "has_detour")
 
 
 @query("c15_trip_history", "upd trips", PREP + INTERP + """, m AS (SELECT pt.trip_id, route_id, direction_id, strftime(start_date, '%Y%m%d') || '_' || route_id || '_' || direction_id || '_' || pt.trip_id AS tk, avg(a) AS x, min(t) AS t FROM pt JOIN trips USING (trip_id) GROUP BY 1, 2, 3, 4),
 f AS (SELECT trip_id, coalesce(lag(x, 1) OVER w, 0) AS l1, coalesce(lag(x, 5) OVER w, 0) AS l5, coalesce(avg(x) OVER w3, 0) AS m3, coalesce(stddev_samp(x) OVER w10, 0) AS s10 FROM m WINDOW w AS (PARTITION BY route_id, direction_id ORDER BY t, tk), w3 AS (PARTITION BY route_id, direction_id ORDER BY t, tk ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), w10 AS (PARTITION BY route_id, direction_id ORDER BY t, tk ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
 SELECT trip_id, stop_sequence, round(l1 + 1e-9, 6) AS delay_lag_1, round(l5 + 1e-9, 6) AS delay_lag_5, round(m3 + 1e-9, 6) AS delay_rolling_mean_3, round(s10 + 1e-9, 4) AS delay_rolling_std_10 FROM pt JOIN f USING (trip_id)""")
 def _(t):
-    d = tp.trip_history_features(prepared(t)).select("trip_id", "stop_sequence", "delay_lag_1", "delay_lag_5", "delay_rolling_mean_3", "delay_rolling_std_10")
+    d = tp.trip_history_features(stage(prepared(t))).select("trip_id", "stop_sequence", "delay_lag_1", "delay_lag_5", "delay_rolling_mean_3", "delay_rolling_std_10")
     return rounded(d, "delay_lag_1", "delay_lag_5", "delay_rolling_mean_3").withColumn("delay_rolling_std_10", F.round(F.col("delay_rolling_std_10") + 1e-9, 4))
 
 
@@ -403,5 +404,5 @@ def _(t):
 z AS (SELECT region_id, route_id, direction_id, stop_id, avg(arrival_delay) AS m FROM q WHERE rn <= 2 GROUP BY 1, 2, 3, 4 HAVING count(*) = 2)
 SELECT region_id, route_id, direction_id, stop_id, CAST(h AS INTEGER) AS prediction_hour_offset, TIMESTAMP '1999-06-15 08:00:00' + to_hours(h - 1) AS prediction_target_time, round(m, 1) AS predicted_delay_seconds FROM z, range(1, 4) r(h)""")
 def _(t):
-    d = score_regions(status(t).where("region_id IS NOT NULL"), "1999-06-15 08:25:00", ["arrival_delay", "humidex"], n_in=2)
+    d = score_regions(stage(status(t).where("region_id IS NOT NULL")), "1999-06-15 08:25:00", ["arrival_delay", "humidex"], n_in=2)
     return d.select("region_id", "route_id", "direction_id", "stop_id", "prediction_hour_offset", "prediction_target_time", F.round("predicted_delay_seconds", 1).alias("predicted_delay_seconds"))

@@ -1,6 +1,8 @@
 """Service dates, clock times past midnight, local time and time buckets.
 
-Wall-clock values are ``timestamp_ntz``; instants are ``timestamp_ntz`` in UTC.
+Wall-clock values are ``timestamp_ntz``; instants are ``timestamp_ntz`` in UTC. The session time
+zone has to be UTC, so that a cast between the two timestamp types keeps the digits. The zone is a
+constant, which keeps the conversion inside generated code.
 """
 
 from __future__ import annotations
@@ -58,16 +60,20 @@ def to_instant(wall, zone: str = LOCAL_ZONE) -> Column:
     An hour that occurs twice is read as standard time, so the later of the two instants is
     taken: if the instant one hour later shows the same wall clock, that one is meant.
     """
-    w = c(wall)
-    first = F.convert_timezone(F.lit(zone), F.lit("UTC"), w)
+    if zone == "UTC":
+        return c(wall)
+    w = c(wall).cast("timestamp")
+    first = F.to_utc_timestamp(w, zone)
     later = first + F.expr("INTERVAL '1' HOUR")
-    repeated = F.convert_timezone(F.lit("UTC"), F.lit(zone), later) == w
-    return F.when(repeated, later).otherwise(first)
+    repeated = F.from_utc_timestamp(later, zone) == w
+    return F.when(repeated, later).otherwise(first).cast("timestamp_ntz")
 
 
 def to_local(instant, zone: str = LOCAL_ZONE) -> Column:
     """UTC timestamp to the wall clock of ``zone``."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), c(instant))
+    if zone == "UTC":
+        return c(instant)
+    return F.from_utc_timestamp(c(instant).cast("timestamp"), zone).cast("timestamp_ntz")
 
 
 def stop_actual_time(date, tod, day_offset, zone: str = LOCAL_ZONE) -> Column:

@@ -68,7 +68,8 @@ def with_weather(df, weather, ts: str, bucket: str = "datetime_60") -> DataFrame
 def alert_detail(alerts, entities, periods, texts) -> DataFrame:
     """Alerts with affected entities, active period and English texts, distinct rows.
 
-    Texts are found under their short and their long type names.
+    Texts are found under their short and their long type names. The entities come last: an
+    alert that names very many of them is only spread out in that one join.
     """
     span = periods.groupBy("alert_id").agg(
         F.min("period_start").alias("period_start"), F.max("period_end").alias("period_end")
@@ -81,12 +82,14 @@ def alert_detail(alerts, entities, periods, texts) -> DataFrame:
             "alert_id", F.col("text").alias(name)
         )
 
-    return (
-        alerts.join(entities, "alert_id", "left")
-        .join(span, "alert_id", "left")
+    described = (
+        alerts.join(span, "alert_id", "left")
         .join(text_of("header", "header_text"), "alert_id", "left")
         .join(text_of("description", "description_text"), "alert_id", "left")
         .join(text_of("url", "url"), "alert_id", "left")
+    )
+    return (
+        described.join(entities, "alert_id", "left")
         .select(
             "alert_id", "cause", "effect", "severity_level", "route_id", "stop_id", "agency_id",
             "route_type", "header_text", "description_text", "url",
@@ -225,7 +228,7 @@ def nearest(
     sx: str,
     sy: str,
     name: str = "nearest",
-    small: int = 2_000,
+    small: int = 200,
     cell: float = 0.25,
 ) -> DataFrame:
     """The closest site (Euclidean in the given units) of every point, smallest id on ties.
@@ -233,7 +236,8 @@ def nearest(
     Up to ``small`` sites (counted, with a limit) travel as one array and each point folds over
     it. More sites go through grids of growing cells: a point looks at the 3 x 3 cells around
     it and is settled once a site lies within one cell width, since any site outside those cells
-    is farther. Adds ``name`` and ``<name>_dist``.
+    is farther. Each level is written once, so the next one starts from files. Adds ``name`` and
+    ``<name>_dist``.
     """
     where = sites.where(F.col(sx).isNotNull() & F.col(sy).isNotNull()).select(
         F.col(sid).alias("_id"), F.col(sx).cast("double").alias("_x"),
@@ -262,29 +266,26 @@ def nearest(
     lo_x, hi_x = min(box[0], far[0]), max(box[1], far[1])
     lo_y, hi_y = min(box[2], far[2]), max(box[3], far[3])
     reach = max(((hi_x - lo_x) ** 2 + (hi_y - lo_y) ** 2) ** 0.5, cell)
-    spots = points.select(px, py).na.drop().distinct()
-    settled, open_, width = None, spots, cell
+    from headway.sinks.tables import stage
+
+    open_, settled, width = points.select(px, py).na.drop().distinct(), None, cell
+    offsets = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     while True:
-        last = width >= reach
-        around = open_.withColumn(
-            "_dx", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-        ).withColumn("_dy", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
-        around = around.withColumn("_cx", F.floor(F.col(px) / width) + F.col("_dx")).withColumn(
-            "_cy", F.floor(F.col(py) / width) + F.col("_dy")
-        )
-        grid = places.withColumn("_cx", F.floor(F.col("_x") / width)).withColumn(
-            "_cy", F.floor(F.col("_y") / width)
-        )
+        around = open_.select(px, py, F.explode(offsets).alias("_dx")).select(
+            px, py, (F.floor(F.col(px) / width) + F.col("_dx")).alias("_cx"), F.explode(offsets).alias("_dy")
+        ).select(px, py, "_cx", (F.floor(F.col(py) / width) + F.col("_dy")).alias("_cy"))
+        grid = places.withColumns({"_cx": F.floor(F.col("_x") / width), "_cy": F.floor(F.col("_y") / width)})
         found = (
             around.join(grid, ["_cx", "_cy"])
             .withColumn("_d", gap(F.col("_x"), F.col("_y")))
             .groupBy(px, py).agg(F.min(F.struct("_d", "_id")).alias("_b"))
             .where(F.col("_b._d") <= width)
         )
+        found = stage(found, "nearest")
         settled = found if settled is None else settled.unionByName(found)
-        if last:
-            break
         open_ = open_.join(found, [px, py], "left_anti")
+        if width >= reach or open_.isEmpty():
+            break
         width *= 8
     best = settled.select(px, py, F.col("_b._id").alias(name), F.col("_b._d").alias(dist))
     return points.join(best, [px, py], "left")

@@ -264,7 +264,8 @@ def score_regions(status: DataFrame, as_of: str, features: Sequence[str], model=
 
     ``model`` maps a frame with the step array ``x`` to one with a prediction vector; without it
     the mean delay of the steps is carried forward. Scaling belongs to the model, so training
-    statistics apply and the scored batch never changes them.
+    statistics apply and the scored batch never changes them. ``status`` is read four times, so
+    hand over a stored table.
     """
     cols = [*[f for f in features if f != "arrival_delay"], "arrival_delay"]
     order = ["time_bucket", "line_direction_link_order"]

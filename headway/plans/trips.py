@@ -56,7 +56,7 @@ def trip_history_features(df: DataFrame, lags=(1, 2, 3, 5), windows=(3, 5, 10))
     """Mean delays of earlier trips of the same route and direction, joined back to the stops.
 
     Trips are aggregated first, so the ordered features run over one row per trip; all of them
-    share one pass. Missing history is 0.
+    share one pass. Missing history is 0. ``df`` is read three times, so hand over a stored table.
     """
     trips = trip_agg(df, ["trip_key", "route_direction_key"], "arrival_delay_agg", "scheduled_arrival_time")
     fns = {f"delay_lag_{n}": (lambda w, n=n: F.coalesce(F.lag("trip_mean_delay", n).over(w), F.lit(0.0))) for n in lags}

@@ -11,10 +11,20 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# The settings results or skew handling depend on; they can be set on a running session.
+NEEDED = ("spark.sql.session.timeZone", "spark.sql.adaptive.forceOptimizeSkewedJoin")
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    for k in NEEDED:
+        spark.conf.set(k, SETTINGS[k])
+    return spark
+
 
 def local_session(cores: int = 8, name: str = "headway", memory: str = "8g") -> SparkSession:
     """Session for tests and the bench; a cluster session is made by its launcher."""

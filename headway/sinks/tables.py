@@ -49,6 +49,19 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found)
 
 
+def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """The frame written once to the shared folder and read back.
+
+    For frames that several later steps read: their lineage ends here, lost tasks read the files
+    again, and columns are pruned at the scan.
+    """
+    from headway.session import scratch_path
+
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def current(spark: SparkSession, root: str) -> DataFrame | None:
     """The newest complete version of a versioned table."""
     v = _versions(spark, root)
