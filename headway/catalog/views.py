@@ -126,6 +126,16 @@ def _(t):
     return rt.latest_predictions(predictions(t)).select("route_id", "direction_id", "stop_id", "stop_sequence", "prediction_target_time", "predicted_delay_seconds", "price")
 
 
+@query("f06_register_views", "services exceptions", f""", {CALENDAR}, a AS (SELECT * FROM cal UNION SELECT date, service_id FROM exceptions WHERE exception_type = 1), k AS (SELECT * FROM a
+WHERE NOT EXISTS (SELECT 1 FROM exceptions e WHERE e.exception_type = 2 AND e.date = a.service_date AND e.service_id = a.service_id)), p AS (WITH {PRED} SELECT * FROM pl)
+SELECT CAST(dayofweek(service_date) AS INTEGER) AS day_of_week, count(*) AS n, (SELECT count(*) FROM p) AS predictions FROM k GROUP BY 1""")
+def _(t):
+    from headway.plans.views import register_views
+
+    register_views(t.spark, {"calendar": t.services, "calendar_dates": t.exceptions, "predictions": predictions(t)})
+    return t.spark.sql("SELECT day_of_week, count(*) AS n, (SELECT count(*) FROM predictions_latest) AS predictions FROM active_service_dates GROUP BY day_of_week")
+
+
 def history(t):
     """Observations as past arrivals: the stop is also the route and the trip."""
     o = t.obs
