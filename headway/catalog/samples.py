@@ -104,7 +104,7 @@ def _(t):
 
 @query("t01_split_temporal", "obs", "SELECT obs_id, CASE WHEN row_number() OVER (ORDER BY ts, obs_id) <= floor((SELECT count(*) FROM obs) * 0.9) THEN 'train' ELSE 'test' END AS split FROM obs")
 def _(t):
-    return sp.split_temporal(t.obs, order(), daily("ts")).select("obs_id", "split")
+    return sp.split_temporal(t.obs, order(), hourly("ts")).select("obs_id", "split")
 
 
 @query("t02_split_groups", "upd", """, g AS (SELECT DISTINCT part_id FROM upd), r AS (SELECT part_id, CASE WHEN row_number() OVER (ORDER BY md5(part_id || '|42'), part_id) <= floor((SELECT count(*) FROM g) * 0.8) THEN 'train' ELSE 'test' END AS split FROM g)

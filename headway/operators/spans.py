@@ -147,19 +147,19 @@ def timewise(
     """Add window columns over RANGE frames of time ``[ts - back, ts - until]``.
 
     Rows whose time is within ``back_seconds`` of the end of a slice are copied to the next one.
-    One shuffle on (key, slice).
+    Rows without a time stay and see only each other. One shuffle on (key, slice).
     """
     width = max(slice_seconds or 3600, back_seconds)
     home = F.floor(micros(ts) / (width * 1_000_000))
     reach = F.floor((micros(ts) + back_seconds * 1_000_000) / (width * 1_000_000))
-    cut = df.select("*", micros(ts).alias("_us"), home.alias("_home"), F.explode(F.sequence(home, reach)).alias("_slice"))
+    cut = df.select("*", micros(ts).alias("_us"), home.alias("_home"), F.explode(F.coalesce(F.sequence(home, reach), F.array(home))).alias("_slice"))
     w = (
         Window.partitionBy(*keys, "_slice")
         .orderBy("_us")
         .rangeBetween(-back_seconds * 1_000_000, -until_seconds * 1_000_000)
     )
     out = cut.withColumns({name: fn(w) for name, fn in exprs.items()})
-    return out.where(F.col("_slice") == F.col("_home")).drop("_home", "_slice", "_us")
+    return out.where(F.col("_slice").eqNullSafe(F.col("_home"))).drop("_home", "_slice", "_us")
 
 
 def known_neighbours(

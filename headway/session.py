@@ -46,13 +46,15 @@ def local_session(cores: int = 8, name: str = "headway", memory: str = "8g") ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset (local
-    tests) a temporary folder is taken and set.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset, a session on one machine
+    takes a temporary folder; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="headway-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
