@@ -5,8 +5,9 @@ language an order-4 model is counted by Spark from a bounded sample of labelled
 orders use continuation counts. All probabilities are worked out once, for every n-gram any
 language has seen, and stored beside sorted 64-bit hashes, so that scoring a character is one hash
 lookup when its 4-gram is known and a walk down the orders otherwise. The language with the lowest
-cross-entropy per character wins. A prediction is rejected when that cross-entropy is far above
-what held-back sample rows of the language show for texts of that length.
+cross-entropy per character wins. A prediction is rejected when that cross-entropy is both ``z``
+deviations above what held-back sample rows of the language show for texts of that length and nearer
+to what texts of other languages score under its model.
 
 Edge cases: null text, empty text or text without a letter gives ``und`` with score 0 and is
 rejected. Rows without a language or key are never learned from. With no labelled row at all every
@@ -27,6 +28,8 @@ ORDER = 4
 DISCOUNT = 0.75
 #: Longest run of characters scored at once; a longer text is scored in such pieces and summed.
 PIECE = 1 << 20
+#: Bound on the variance of one symbol's log-probability, for the spread of short texts.
+SYMBOL_VARIANCE = 4.0
 STEP = np.uint64(0x100000001B3)
 UNKNOWN = "und"
 ADDED = "lang_pred string, score double, entropy double, rejected boolean"
@@ -213,8 +216,13 @@ def train(df: DataFrame, text: str, lang: str, key: str, usable: Column, per_lan
 
 
 def calibrate(rows: DataFrame, model: dict) -> dict[str, tuple[float, float, float]]:
-    """Mean cross-entropy of each language, its variance between texts, and per symbol within a text."""
+    """Of each language: its texts' mean cross-entropy, the variance between them, and the level of foreign texts.
+
+    The foreign level is the lowest mean cross-entropy that another language's texts have under this
+    language's model; without another language it is the own mean.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    langs = model["langs"]
 
     def make():
         scorer = Scorer(shared.value)
@@ -226,15 +234,20 @@ def calibrate(rows: DataFrame, model: dict) -> dict[str, tuple[float, float, flo
         return run
 
     scored = annotate(rows, "text", "entropies array<double>, n long", make, ["lang", "calibrate"]).where(F.col("n") > 0)
-    index = F.array_position(F.array(*[F.lit(x) for x in model["langs"]]), F.col("lang"))
-    own = scored.select("lang", "calibrate", F.expr("entropies")[(index - 1).cast("int")].alias("e"), F.col("n").cast("double").alias("n"))
-    long_one, inside = F.col("n") >= 200, F.col("calibrate")
-    stats = own.groupBy("lang").agg(
-        F.coalesce(F.avg(F.when(inside, F.col("e"))), F.avg("e")).alias("mean"),
-        F.coalesce(F.var_pop(F.when(inside & long_one, F.col("e"))), F.var_pop("e")).alias("between"),
+    each = [F.col("entropies")[i] for i in range(len(langs))]
+    stats = scored.groupBy("lang", "calibrate").agg(
+        F.array(*[F.avg(e) for e in each]).alias("mean"), F.array(*[F.var_pop(e) for e in each]).alias("var")
     )
-    out = {r["lang"]: (float(r["mean"]), float(r["between"] or 0.0), 6.0) for r in stats.collect()}
+    best = {}
+    for r in stats.orderBy("calibrate").collect():  # a language's held-back rows, where it has some
+        best[r["lang"]] = r
     shared.unpersist()
+    out = {}
+    for i, lang in enumerate(langs):
+        if lang in best:
+            own = best[lang]["mean"][i]
+            foreign = min((r["mean"][i] for other, r in best.items() if other != lang), default=own)
+            out[lang] = (own, best[lang]["var"][i], foreign)
     return out
 
 
@@ -253,7 +266,7 @@ def predict(df: DataFrame, text: str, model: dict, keep: list[str] | None = None
             return lambda t: {"lang_pred": [UNKNOWN] * len(t), "score": [0.0] * len(t), "entropy": [None] * len(t), "rejected": [True] * len(t)}
         scorer = Scorer(m)
         names = np.array(m["langs"], dtype=object)
-        mean, between, within = (np.array([m["limits"].get(x, (0.0, 1e9, 0.0))[i] for x in m["langs"]]) for i in range(3))
+        mean, between, foreign = (np.array([m["limits"].get(x, (0.0, 1e9, 0.0))[i] for x in m["langs"]]) for i in range(3))
 
         def run(texts):
             sums, n = scorer.sums(texts)
@@ -263,7 +276,7 @@ def predict(df: DataFrame, text: str, model: dict, keep: list[str] | None = None
             best = e.argmin(axis=1)
             low = e[np.arange(len(e)), best]
             share = 1.0 / np.exp((low[:, None] - e) * np.sqrt(size)[:, None]).sum(axis=1)
-            far = low > mean[best] + z * np.sqrt(between[best] + within[best] / size)
+            far = low > np.maximum(mean[best] + z * np.sqrt(between[best] + SYMBOL_VARIANCE / size), (mean[best] + foreign[best]) / 2)
             return {
                 "lang_pred": np.where(some, names[best], UNKNOWN).tolist(),
                 "score": np.where(some, share, 0.0),
