@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headway.llm import decontam, langid, simhash
+from headway.llm import decontam, langid, mixing, pii, simhash, tokens, urls
 from headway.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,52 @@ def op5_language_id(spark, folder):
 @query("op6_simhash")
 def op6_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"), "text", "doc_id")
+
+
+#: The rules of the query, as (host, path, verdict).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query(
+    "op2_url_filter",
+    r"""
+    WITH rules(rh, rp, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+    rest AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS s FROM pages),
+    u AS (SELECT r, page_id,
+        coalesce(translate(regexp_extract(s, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(s, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
+    fit AS (SELECT r, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM u JOIN rules
+        ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r)
+    SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN fit USING (r)""",
+)
+def op2_url_filter(spark, folder):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    out = urls.verdicts(table(spark, folder, "pages").select("page_id", "url"), "url", rules)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_source_mixing")
+def op7_source_mixing(spark, folder):
+    mixed = mixing.mix(table(spark, folder, "documents"), "text", "source", "doc_id", keep=["doc_id", "source"])
+    shards = F.array_sort(F.array_distinct(F.transform("pieces", lambda p: p["shard"])))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", mixing.taken_words().alias("taken"), shards.alias("shards"))
+
+
+#: The key of the query's pseudonyms; a real run takes its own from a secret store.
+PII_KEY = "example key of the registered query"
+
+
+@query("op8_pii")
+def op8_pii(spark, folder):
+    return pii.pseudonymise(table(spark, folder, "documents").select("doc_id", "text"), "text", PII_KEY)
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark, folder, path: str | None = None):
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    docs = table(spark, folder, "documents")
+    out = tokens.count_tokens(docs, "text", spec, public_tokenizers.PATTERN, ["doc_id"])
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
