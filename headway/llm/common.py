@@ -48,7 +48,7 @@ def annotate(
 ) -> DataFrame:
     """Add columns that a batch function computes from whole texts.
 
-    ``inputs`` names the text column, or several whose first one is the text. ``added`` is the DDL of
+    ``inputs`` names the input column, or several; the first one is the text, where there is one. ``added`` is the DDL of
     the new columns. ``make`` runs once in each task and returns a function from a list for each
     input (null is None) to {column: values}. ``keep`` names the columns that stay, all by default.
     Narrow: no shuffle. A task holds one batch of rows; texts reach the function in lists of about
@@ -68,7 +68,10 @@ def annotate(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            size = pc.fill_null(pc.binary_length(batch.column(n_kept)), 0).to_numpy(zero_copy_only=False)
+            first = batch.column(n_kept)
+            size = np.zeros(len(first))
+            if pa.types.is_string(first.type):
+                size = pc.fill_null(pc.binary_length(first), 0).to_numpy(zero_copy_only=False)
             for a, b in chunks(size, CHUNK_BYTES):
                 out = fn(*[batch.column(n_kept + i).slice(a, b - a).to_pylist() for i in range(len(inputs))])
                 arrays = [batch.column(i).slice(a, b - a) for i in range(n_kept)]

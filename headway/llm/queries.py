@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headway.llm import decontam, langid, mixing, pii, simhash, tokens, urls
+from headway.llm import decontam, langid, mixing, pii, quality, simhash, tokens, urls
 from headway.llm.common import held_out, table
+from headway.sinks.tables import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +119,12 @@ def op9_token_counts(spark, folder, path: str | None = None):
     docs = table(spark, folder, "documents")
     out = tokens.count_tokens(docs, "text", spec, public_tokenizers.PATTERN, ["doc_id"])
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query("op4_quality")
+def op4_quality(spark, folder):
+    docs = table(spark, folder, "documents")
+    described = stage(quality.with_statistics(docs, "text", ["doc_id"]), "quality-stats")
+    model = quality.train(described, table(spark, folder, "labels"), "doc_id", "quality", ~held_out("doc_id"))
+    out = quality.predict(described, model, ["doc_id"])
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
