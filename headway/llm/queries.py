@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headway.llm import decontam, langid, mixing, pii, quality, simhash, tokens, urls
+from headway.llm import decontam, langid, mixing, pii, quality, search, simhash, tokens, urls
 from headway.llm.common import held_out, table
 from headway.sinks.tables import stage
 
@@ -128,3 +128,10 @@ def op4_quality(spark, folder):
     model = quality.train(described, table(spark, folder, "labels"), "doc_id", "quality", ~held_out("doc_id"))
     out = quality.predict(described, model, ["doc_id"])
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op3_bm25_search")
+def op3_bm25_search(spark, folder):
+    docs = table(spark, folder, "documents")
+    index = search.build_index(docs, "text", "doc_id")
+    return search.search(index, docs.where(F.col("doc_id") % 20 == 0), "text", "doc_id", 10)
