@@ -39,6 +39,15 @@ def held_out(key: str, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(col(key).cast("string")) % folds == 0, F.lit(False))
 
 
+def thinned(df: DataFrame, key: str, want: int, have: Column | int, seed: int) -> DataFrame:
+    """Rows whose key hashes below twice the share ``want`` of ``have``: a little more than ``want`` rows.
+
+    Goes before an exact limit, so that tasks send few rows to it however many they read.
+    """
+    share = F.lit(2.0 * want + 100) / have
+    return df.where(F.pmod(F.xxhash64(col(key), F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30))
+
+
 def annotate(
     df: DataFrame,
     inputs: str | list[str],

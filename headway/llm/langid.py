@@ -22,7 +22,7 @@ from functools import cache
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from headway.llm.common import SortedHashes, annotate, col, mix
+from headway.llm.common import SortedHashes, annotate, col, mix, thinned
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -37,17 +37,20 @@ ADDED = "lang_pred string, score double, entropy double, rejected boolean"
 
 def sample_rows(df: DataFrame, text: str, lang: str, key: str, per_lang: int, usable: Column) -> DataFrame:
     """At most ``per_lang`` labelled rows of each language, the first by a hash of their key."""
-    order = F.xxhash64(col(key), F.lit(5))
     w = Window.partitionBy("lang").orderBy("h", "key")
+    named = df.where(usable & col(lang).isNotNull() & col(text).isNotNull() & col(key).isNotNull()).select(
+        col(lang).alias("lang"), col(key).alias("key"), F.xxhash64(col(key), F.lit(6)).alias("h")
+    )
+    have = named.groupBy("lang").agg(F.count(F.lit(1)).alias("have"))
     ids = (
-        df.where(usable & col(lang).isNotNull() & col(text).isNotNull() & col(key).isNotNull())
-        .select(col(lang).alias("lang"), col(key).alias("key"), order.alias("h"))
+        thinned(named.join(have, "lang"), "key", per_lang, F.col("have"), 5)
         .withColumn("n", F.row_number().over(w))
         .where(F.col("n") <= per_lang)
         .select("lang", "key", (F.col("n") % 4 == 0).alias("calibrate"))
         .groupBy("key").agg(F.min("lang").alias("lang"), F.min("calibrate").alias("calibrate"))
     )
-    return df.select(col(key).alias("key"), col(text).alias("text")).join(ids, "key").select("lang", "text", "calibrate")
+    # At most per_lang rows a language, so the texts stay where they are.
+    return df.select(col(key).alias("key"), col(text).alias("text")).join(F.broadcast(ids), "key").select("lang", "text", "calibrate")
 
 
 def count_grams(rows: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from headway.llm.common import annotate, col
+from headway.llm.common import annotate, col, thinned
 
 NAMES = (
     "log_bytes", "log_words", "log_lines", "upper", "digit", "space", "newline", "non_ascii", "stop_marks", "bang", "bar",
@@ -140,8 +140,9 @@ def train(described: DataFrame, labels: DataFrame, key: str, label: str, usable:
         labels.where(usable & col(key).isNotNull() & col(label).isNotNull())
         .groupBy(col(key).alias("key")).agg(F.max(col(label).cast("int")).alias("y"))
     )
-    joined = described.select(col(key).alias("key"), "stats").join(named, "key")
-    sample = joined.orderBy(F.xxhash64("key", F.lit(4)), "key").limit(rows).select("stats", "y").toPandas()
+    picked = thinned(named, "key", rows, max(1, named.count()), 4)
+    joined = described.select(col(key).alias("key"), "stats").join(picked, "key")
+    sample = joined.orderBy(F.xxhash64("key", F.lit(5)), "key").limit(rows).select("stats", "y").toPandas()
     x = np.array(sample["stats"].tolist(), float).reshape(len(sample), -1)
     return fit(x, sample["y"].to_numpy(float), **options)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headway.llm import decontam, langid, mixing, pii, quality, search, simhash, tokens, urls
+from headway.llm import decontam, langid, licenses, mixing, pii, quality, search, simhash, tokens, urls
 from headway.llm.common import held_out, table
 from headway.sinks.tables import stage
 
@@ -135,3 +135,10 @@ def op3_bm25_search(spark, folder):
     docs = table(spark, folder, "documents")
     index = search.build_index(docs, "text", "doc_id")
     return search.search(index, docs.where(F.col("doc_id") % 20 == 0), "text", "doc_id", 10)
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = licenses.scan(docs, "text", licenses.train(docs, "text", "doc_id"), ["doc_id"])
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_windows", "confidence", "n_unconfirmed")
