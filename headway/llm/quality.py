@@ -78,7 +78,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
         "threshold": np.full((trees, inner), np.inf), "leaf": np.zeros((trees, 2**depth)),
     }
     if n == 0 or width == 0:
-        model["leaf"] = model["leaf"][:0]
+        model["base"], model["leaf"] = 0.0, model["leaf"][:0]
         model["feature"], model["threshold"] = model["feature"][:0], model["threshold"][:0]
         return model
     cuts = _bins(x, bins)
@@ -143,7 +143,7 @@ def train(described: DataFrame, labels: DataFrame, key: str, label: str, usable:
     picked = thinned(named, "key", rows, max(1, named.count()), 4)
     joined = described.select(col(key).alias("key"), "stats").join(picked, "key")
     sample = joined.orderBy(F.xxhash64("key", F.lit(5)), "key").limit(rows).select("stats", "y").toPandas()
-    x = np.array(sample["stats"].tolist(), float).reshape(len(sample), -1)
+    x = np.array(sample["stats"].tolist(), float).reshape(len(sample), len(NAMES))
     return fit(x, sample["y"].to_numpy(float), **options)
 
 
@@ -153,6 +153,6 @@ def predict(described: DataFrame, model: dict, keep: list[str] | None = None) ->
 
     def make():
         m = shared.value
-        return lambda stats: {"score": 1 / (1 + np.exp(-log_odds(m, np.array(stats, float).reshape(len(stats), -1))))}
+        return lambda stats: {"score": 1 / (1 + np.exp(-log_odds(m, np.array(stats, float).reshape(len(stats), len(NAMES)))))}
 
     return annotate(described, "stats", "score double", make, keep)
