@@ -167,7 +167,7 @@ def _(t):
     return rounded(ag.completeness(t.upd.where("delay > 0"), t.upd, ["trip_id"], "stop_sequence"), "ratio")
 
 
-@query("a23_count_matrix", "upd", "SELECT stop_id, stop_sequence, least(count(*), 80) AS n FROM upd GROUP BY 1, 2")
+@query("a23_count_matrix", "upd", "SELECT stop_id, stop_sequence, count(*) AS n, least(count(*), 80) AS shown FROM upd GROUP BY 1, 2")
 def _(t):
     return ag.count_matrix(t.upd, "stop_id", "stop_sequence", 80)
 

@@ -226,10 +226,10 @@ def _(t):
 PAIR = ["trip_id", "stop_sequence"]
 
 
-@query("k01_append", "upd", "SELECT trip_id, stop_sequence, price FROM upd WHERE flag = 'A' UNION ALL SELECT trip_id, stop_sequence, price FROM upd WHERE flag = 'R'")
+@query("k01_append", "upd", "SELECT trip_id, stop_sequence, price FROM upd")
 def _(t):
     path, u = scratch_path(t.spark, "append"), t.upd.select(*PAIR, "price", "flag")
-    for f in ("A", "R"):
+    for f in ("A", "R", "N"):
         tb.append(u.where(F.col("flag") == f).drop("flag"), path)
     return t.spark.read.parquet(path)
 

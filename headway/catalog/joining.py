@@ -87,9 +87,9 @@ def _(t):
     return rounded(d.select("obs_id", "delay", "mean_delay"), "mean_delay")
 
 
-@query("j05_with_weather", "obs wx", "SELECT obs_id, delay, hour AS datetime_60, temperature, cloud FROM obs JOIN wx ON date_trunc('hour', ts) = hour WHERE cloud > 2")
+@query("j05_with_weather", "obs wx", "SELECT obs_id, delay, hour AS datetime_60, temperature, cloud FROM obs JOIN wx ON date_trunc('hour', ts) = hour")
 def _(t):
-    w = t.wx.where("cloud > 2").withColumnRenamed("hour", "datetime_60")
+    w = t.wx.withColumnRenamed("hour", "datetime_60")
     return jo.with_weather(t.obs, w, "ts").select("obs_id", "delay", "datetime_60", "temperature", "cloud")
 
 
@@ -133,10 +133,10 @@ def _(t):
     return point_in_polygon(t.cstops, t.tiles, "stop_lon", "stop_lat", ["region_id"]).select("stop_id", "region_id")
 
 
-@query("j08_interval_join", "obs", """, p AS (SELECT DISTINCT stop_id, date_trunc('hour', ts) + INTERVAL 30 MINUTE AS target FROM obs WHERE delay > 0)
+@query("j08_interval_join", "obs", """, p AS (SELECT DISTINCT stop_id, date_trunc('hour', ts) + INTERVAL 30 MINUTE AS target FROM obs)
 SELECT o.obs_id, p.target FROM obs o LEFT JOIN p ON p.stop_id = o.stop_id AND p.target <= o.ts AND p.target + INTERVAL 1 HOUR > o.ts""")
 def _(t):
-    p = t.obs.where("delay > 0").select("stop_id", (hour_start("ts") + F.expr("INTERVAL 30 MINUTE")).alias("target")).distinct()
+    p = t.obs.select("stop_id", (hour_start("ts") + F.expr("INTERVAL 30 MINUTE")).alias("target")).distinct()
     return jo.interval_join(t.obs, p, ["stop_id"], "ts", "target").select("obs_id", "target")
 
 
@@ -214,7 +214,7 @@ def _(t):
 SELECT stop_id, round(min(dist) + 1e-9, 6) AS dist FROM d GROUP BY 1""")
 def _(t):
     s = t.stops.select(F.col("stop_id").alias("sid"), F.col("stop_lon").alias("sx"), F.col("stop_lat").alias("sy"))
-    d = jo.nearest(t.cstops, s, "stop_lon", "stop_lat", "sid", "sx", "sy", "near", small=0, cell=0.02)
+    d = jo.nearest(t.cstops, s, "stop_lon", "stop_lat", "sid", "sx", "sy", "near", cell=0.02)
     return d.select("stop_id", r6("near_dist").alias("dist"))
 
 

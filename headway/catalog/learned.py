@@ -40,6 +40,14 @@ def _(t):
     return le.predict(m, t.upd).select("trip_id", "stop_sequence", "price", F.round("prediction", 3).alias("prediction"))
 
 
+@query("m02_ridge_closed_form", "upd", """, c AS (SELECT avg(pred) AS mp, stddev_pop(pred) AS sp, avg(delay) AS md, count(*) AS n FROM upd),
+w AS (SELECT sum((pred - mp) / sp * (delay - md)) / (any_value(n) + 100.0) AS b, any_value(mp) AS mp, any_value(sp) AS sp, any_value(md) AS md FROM upd, c)
+SELECT trip_id, stop_sequence, price, round(md + b * (pred - mp) / sp, 3) AS prediction FROM upd, w""")
+def _(t):
+    m = le.fit("ridge", t.upd, ["pred"], "delay", alpha=100.0)
+    return le.predict(m, t.upd).select("trip_id", "stop_sequence", "price", F.round("prediction", 3).alias("prediction"))
+
+
 @query("m02_regularized")
 def _(t):
     train, test = parts(t)
@@ -53,20 +61,20 @@ def _(t):
 @query("m03_tree_models")
 def _(t):
     train, test = parts(t)
-    a = le.predict(le.fit("random_forest", train, COLS, "delay", numTrees=5, maxDepth=4), test)
-    b = le.predict(le.fit("gradient_boosting", train, COLS, "delay", maxIter=5), test)
+    a = le.predict(le.fit("random_forest", train, COLS, "delay"), test)
+    b = le.predict(le.fit("gradient_boosting", train, COLS, "delay"), test)
     f = me.regression_metrics(a, "delay", "prediction").withColumn("kind", F.lit("random_forest"))
     return f.unionByName(me.regression_metrics(b, "delay", "prediction").withColumn("kind", F.lit("gradient_boosting")))
 
 
 @query("m04_tune")
 def _(t):
-    return le.tune("ridge", rows(t), COLS, "delay", {"regParam": [0.1, 10.0]}, 2)[1]
+    return le.tune("ridge", rows(t), COLS, "delay")[1]
 
 
 @query("m05_importances")
 def _(t):
-    m = le.fit("random_forest", rows(t), COLS, "delay", numTrees=5, maxDepth=4)
+    m = le.fit("random_forest", rows(t), COLS, "delay")
     return le.importances(m, t.spark, COLS)
 
 
@@ -80,7 +88,7 @@ def _(t):
 def _(t):
     d = t.obs.select("obs_id", "hour_of_day", "k", "delay")
     m = le.fit("linear", d, ["hour_of_day", "k"], "delay")
-    return le.permutation_importance(m, d, ["hour_of_day", "k"], "delay", ["obs_id"], 2)
+    return le.permutation_importance(m, d, ["hour_of_day", "k"], "delay", ["obs_id"])
 
 
 @query("m07_permuted_column", "obs", """, a AS (SELECT *, row_number() OVER (ORDER BY md5(obs_id || '|2'), obs_id) AS p FROM obs), b AS (SELECT delay, row_number() OVER (ORDER BY md5(obs_id || '|3'), obs_id) AS p FROM obs)
@@ -114,32 +122,32 @@ def _(t):
     return e.select("n", F.round(F.col("mae") + 1e-9, 5).alias("mae"), F.round(F.col("rmse") + 1e-9, 5).alias("rmse"))
 
 
-_LEN = ", ".join(f"avg(v) OVER w{n} AS y{n}, count(*) OVER w{n} AS c{n}" for n in (2, 4))
-_LENW = ", ".join(f"w{n} AS (PARTITION BY route, stop_sequence ORDER BY first_time, trip_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in (2, 4))
+_LEN = ", ".join(f"avg(v) OVER w{n} AS y{n}, count(*) OVER w{n} AS c{n}" for n in (3, 5, 7, 10))
+_LENW = ", ".join(f"w{n} AS (PARTITION BY route, stop_sequence ORDER BY first_time, trip_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in (3, 5, 7, 10))
 
 
-@query("m12_length_experiment", "upd", PAST + f", q AS (SELECT v, {_LEN} FROM m WINDOW {_LENW}) SELECT 2 AS n_past, count(*) AS n, round(avg(abs(v - y2)) + 1e-9, 6) AS mae FROM q WHERE c2 = 2 UNION ALL SELECT 4, count(*), round(avg(abs(v - y4)) + 1e-9, 6) FROM q WHERE c4 = 4")
+@query("m12_length_experiment", "upd", PAST + f", q AS (SELECT v, {_LEN} FROM m WINDOW {_LENW}) " + " UNION ALL ".join(f"SELECT {n} AS n_past, count(*) AS n, round(avg(abs(v - y{n})) + 1e-9, 6) AS mae FROM q WHERE c{n} = {n}" for n in (3, 5, 7, 10)))
 def _(t):
     d = t.upd.withColumn("route", F.col("trip_id") % 40)
-    out = le.length_experiment(d, (2, 4), "route", "trip_id", "feed_time", "stop_sequence", "delay")
+    out = le.length_experiment(d, (3, 5, 7, 10), "route", "trip_id", "feed_time", "stop_sequence", "delay")
     return rounded(out.select("n_past", "n", "mae"), "mae")
 
 
 @query("m13_fit_report")
 def _(t):
     train, test = parts(t)
-    model, report = le.fit_report("ridge", train, test, COLS, "delay", folds=2)
+    model, report = le.fit_report("ridge", train, test, COLS, "delay", folds=5)
     path = scratch_path(t.spark, "model")
     le.save(model, path)
     again = me.regression_metrics(le.predict(le.load(path), test), "delay", "prediction")
     return report.unionByName(again.withColumn("part", F.lit("reloaded")), allowMissingColumns=True)
 
 
-@query("c18_model_input", "upd", """, f AS (SELECT avg(delay) AS m1, stddev_samp(delay) AS s1, avg(delay * pred) AS m2, stddev_samp(delay * pred) AS s2 FROM upd) SELECT trip_id, stop_sequence, price, round((delay - m1) / s1, 4) AS first, round((delay * pred - m2) / s2, 4) AS cross_term FROM upd, f""")
+@query("c18_model_input", "upd", """, f AS (SELECT avg(delay) AS m1, stddev_pop(delay) AS s1, avg(delay * pred) AS m2, stddev_pop(delay * pred) AS s2 FROM upd) SELECT trip_id, stop_sequence, price, round((delay - m1) / s1, 4) AS first, round((delay * pred - m2) / s2, 4) AS cross_term FROM upd, f""")
 def _(t):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
-    m = Pipeline(stages=le.model_input(["delay", "pred"], poly=True)).fit(t.upd)
+    m = Pipeline(stages=le.model_input(["delay", "pred"], t.upd.count(), poly=True)).fit(t.upd)
     d = m.transform(t.upd).withColumn("v", vector_to_array("features"))
     return d.select("trip_id", "stop_sequence", "price", F.round(F.get("v", F.lit(0)), 4).alias("first"), F.round(F.get("v", F.lit(3)), 4).alias("cross_term"))

@@ -8,9 +8,9 @@ from headway.sinks.tables import current
 from headway.streaming import jobs as st
 
 
-def stream(t):
+def stream(t, source=None):
     e = t.raw("events")
-    s = st.event_stream(t.spark, f"{t.folder}/events*.parquet", e.schema)
+    s = source if source is not None else st.event_stream(t.spark, f"{t.folder}/events*.parquet", e.schema)
     return s.select(F.col("event_id").alias("obs_id"), "ts", F.col("event_type").alias("route_id"), F.col("user_id").alias("stop_id"), ((F.col("value") - 50) * 20).alias("delay"))
 
 
@@ -43,8 +43,13 @@ def _(t):
 @query("r03_new_dimension_rows", "obs", "SELECT DISTINCT stop_id, route_id FROM obs")
 def _(t):
     data, check = paths(t, "dimension-stream")
-    drained(st.new_dimension_rows(stream(t), ["stop_id", "route_id"], "ts", data, check))
-    return t.spark.read.parquet(data).select("stop_id", "route_id").distinct()
+    # Two batches over two folders: later events first, so that keys return and others come late.
+    e, halves = t.raw("events"), scratch_path(t.spark, "dimension-source")
+    for late in (False, True):
+        e.where((F.col("event_id") % 3 == 0) if late else (F.col("event_id") % 3 > 0)).write.mode("append").parquet(halves)
+        source = st.event_stream(t.spark, halves, e.schema)
+        drained(st.new_dimension_rows(stream(t, source), ["stop_id", "route_id"], "ts", data, check))
+    return t.spark.read.parquet(data).select("stop_id", "route_id")
 
 
 @query("r04_hourly_buckets", "obs", """SELECT date_trunc('hour', ts) AS time_bucket, route_id, round(avg(delay) + 1e-9, 6) AS mean, count(*) AS n FROM obs GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM obs) - INTERVAL 10 MINUTE""")

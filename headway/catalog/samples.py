@@ -95,10 +95,10 @@ def _(t):
     return sq.stop_edges(t.obs, ["route_id"], ["ts", "obs_id"], hourly("ts"), "stop_id")
 
 
-@query("qs8_source_mask", "upd", """, e AS (SELECT stop_id AS src, lead(stop_id) OVER (PARTITION BY trip_id ORDER BY stop_sequence, price) AS dst FROM upd WHERE delay > 480), s AS (SELECT DISTINCT src FROM e WHERE dst IS NOT NULL AND src <> dst)
+@query("qs8_source_mask", "upd", """, e AS (SELECT stop_id AS src, lead(stop_id) OVER (PARTITION BY trip_id ORDER BY stop_sequence, price) AS dst FROM upd), s AS (SELECT DISTINCT src FROM e WHERE dst IS NOT NULL AND src <> dst)
 SELECT s_suppkey AS stop_id, CASE WHEN src IS NULL THEN 0 ELSE 1 END AS node_mask FROM supplier LEFT JOIN s ON src = s_suppkey""")
 def _(t):
-    e = sq.stop_edges(t.upd.where("delay > 480"), ["trip_id"], ["stop_sequence", "price"], [F.col("stop_sequence")], "stop_id")
+    e = sq.stop_edges(t.upd, ["trip_id"], ["stop_sequence", "price"], [F.col("stop_sequence")], "stop_id")
     return sq.source_mask(t.stops, e, "stop_id")
 
 

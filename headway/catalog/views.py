@@ -245,18 +245,17 @@ pv AS (SELECT trip_id, stop_sequence, arg_max(arrival_delay, (actual_arrival_tim
 
 def board_inputs(t):
     trips = t.trips.select("trip_id", "route_id", "direction_id", F.col("headsign").alias("trip_headsign"), "service_id")
-    p = rt.latest_predictions(predictions(t)).groupBy("stop_id", "stop_sequence", "route_id", "prediction_target_time").agg(F.min("predicted_delay_seconds").alias("predicted_delay_seconds"))
+    p = rt.latest_predictions(predictions(t)).groupBy("stop_id", "stop_sequence", "route_id", "direction_id", "prediction_target_time").agg(F.min("predicted_delay_seconds").alias("predicted_delay_seconds"))
     return stop_times(t), trips, nw.expand_calendar(t.services), stage(observed(t)), p
 
 
-@query("v13_stop_board", "upd trips services stops", f""", {BOARD}, na AS (SELECT stop_id, route_id, headsign, service_id, service_date, min(actual_time) AS next_arrival_time, min(arrival_secs) AS arrival_secs FROM tm WHERE actual_time >= TIMESTAMP '{DAY}' GROUP BY 1, 2, 3, 4, 5),
-pp AS (SELECT stop_id, stop_sequence, prediction_target_time, min(predicted_delay_seconds) AS s FROM pl GROUP BY ALL)
+@query("v13_stop_board", "upd trips services stops", f""", {BOARD}, na AS (SELECT stop_id, route_id, headsign, service_id, service_date, min(actual_time) AS next_arrival_time FROM tm WHERE actual_time >= TIMESTAMP '{DAY}' GROUP BY 1, 2, 3, 4, 5),
+pp AS (SELECT stop_id, stop_sequence, route_id, direction_id, prediction_target_time, min(predicted_delay_seconds) AS s FROM pl GROUP BY ALL)
 SELECT tm.stop_id, tm.route_id, tm.service_date, na.next_arrival_time, tm.trip_id, tm.stop_sequence, round(coalesce(pp.s, av.m) + 1e-9, 6) AS predicted_delay_seconds, coalesce(pv.arrival_delay, -99999) AS previous_stop_arrival_delay
-FROM tm JOIN na USING (stop_id, route_id, headsign, service_id, service_date, arrival_secs) LEFT JOIN pv ON pv.trip_id = tm.trip_id AND pv.stop_sequence = tm.stop_sequence - 1 LEFT JOIN av ON av.route_id = tm.route_id AND av.stop_id = tm.stop_id
-LEFT JOIN pp ON pp.stop_id = tm.stop_id AND pp.stop_sequence = tm.stop_sequence AND pp.prediction_target_time = date_trunc('hour', na.next_arrival_time)""")
+FROM tm JOIN na ON na.stop_id = tm.stop_id AND na.route_id = tm.route_id AND na.headsign = tm.headsign AND na.service_id = tm.service_id AND na.service_date = tm.service_date AND na.next_arrival_time = tm.actual_time LEFT JOIN pv ON pv.trip_id = tm.trip_id AND pv.stop_sequence = tm.stop_sequence - 1 LEFT JOIN av ON av.route_id = tm.route_id AND av.stop_id = tm.stop_id
+LEFT JOIN pp ON pp.stop_id = tm.stop_id AND pp.stop_sequence = tm.stop_sequence AND pp.route_id = tm.route_id AND pp.direction_id = tm.direction_id AND pp.prediction_target_time = date_trunc('hour', na.next_arrival_time)""")
 def _(t):
     st, trips, dates, seen, p = board_inputs(t)
-    p = p.groupBy("stop_id", "stop_sequence", "prediction_target_time").agg(F.min("predicted_delay_seconds").alias("predicted_delay_seconds"))
     d = sv.stop_board(st, trips, dates, seen, p, DAY, zone="UTC")
     d = d.select("stop_id", "route_id", "service_date", "next_arrival_time", "trip_id", "stop_sequence", "predicted_delay_seconds", F.coalesce("previous_stop_arrival_delay", F.lit(-99999)).alias("previous_stop_arrival_delay"))
     return rounded(d, "predicted_delay_seconds")
@@ -268,6 +267,7 @@ FROM tm LEFT JOIN av ON av.route_id = tm.route_id AND av.stop_id = tm.stop_id LE
 WHERE tm.actual_time >= TIMESTAMP '{DAY}' - INTERVAL 5 MINUTE""")
 def _(t):
     st, trips, dates, seen, p = board_inputs(t)
+    p = p.groupBy("stop_id", "stop_sequence", "route_id", "prediction_target_time").agg(F.min("predicted_delay_seconds").alias("predicted_delay_seconds"))
     d = sv.route_timetable(st, trips, dates, seen, p, DAY, zone="UTC")
     d = d.select("route_id", "trip_id", "stop_id", "stop_sequence", "service_date", "actual_arrival_timestamp", "prediction_target_time", "predicted_delay_seconds")
     return rounded(d, "predicted_delay_seconds")

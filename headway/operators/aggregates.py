@@ -244,7 +244,8 @@ def completeness(observed, scheduled, key: Sequence[str], item: str) -> DataFram
 
 
 def count_matrix(df, row: str, col: str, cap: int = 5) -> DataFrame:
-    return df.groupBy(row, col).agg(F.least(_n(), F.lit(cap)).alias("n"))
+    """Rows per cell: the count, and as ``shown`` the count up to ``cap``."""
+    return df.groupBy(row, col).agg(_n().alias("n"), F.least(_n(), F.lit(cap)).alias("shown"))
 
 
 def stop_type_agg(

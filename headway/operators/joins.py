@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from headway.functions.clock import c, hour_start, micros
 
@@ -167,8 +167,7 @@ def exists_flag(df, other, keys: Sequence[str], name: str) -> DataFrame:
 def latest_batch(df, keys: Sequence[str], created_at: str) -> DataFrame:
     """All rows of the newest batch of each key, ties kept; rows with a null key drop out."""
     known = df.na.drop(subset=[*keys, created_at])
-    newest = known.groupBy(*keys).agg(F.max(created_at).alias(created_at))
-    return known.join(newest, [*keys, created_at], "left_semi")
+    return _firsts(known, keys, F.col(created_at).desc())
 
 
 def previous_step(df, other, key: Sequence[str], seq: str, value: str, name: str) -> DataFrame:
@@ -179,9 +178,13 @@ def previous_step(df, other, key: Sequence[str], seq: str, value: str, name: str
 
 def next_per_group(df, group: Sequence[str], ts: str, as_of) -> DataFrame:
     """The rows of each group with the earliest time not before ``as_of``, ties kept."""
-    ahead = df.where(F.col(ts) >= F.lit(as_of).cast("timestamp_ntz"))
-    first = ahead.groupBy(*group).agg(F.min(ts).alias(ts))
-    return ahead.join(first, [*group, ts], "left_semi")
+    return _firsts(df.where(F.col(ts) >= F.lit(as_of).cast("timestamp_ntz")), group, F.col(ts).asc())
+
+
+def _firsts(df, keys: Sequence[str], order: Column) -> DataFrame:
+    """The rows that stand first in their group, ties kept; later ones are cut before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    return df.withColumn("_rank", F.rank().over(w)).where("_rank = 1").drop("_rank")
 
 
 def fallback(df, primary: str, secondary: str, name: str) -> DataFrame:
@@ -228,47 +231,36 @@ def nearest(
     sx: str,
     sy: str,
     name: str = "nearest",
-    small: int = 200,
     cell: float = 0.25,
 ) -> DataFrame:
     """The closest site (Euclidean in the given units) of every point, smallest id on ties.
 
-    Up to ``small`` sites (counted, with a limit) travel as one array and each point folds over
-    it. More sites go through grids of growing cells: a point looks at the 3 x 3 cells around
-    it and is settled once a site lies within one cell width, since any site outside those cells
-    is farther. Each level is written once, so the next one starts from files. Adds ``name`` and
-    ``<name>_dist``.
+    Points go through grids of growing cells: a point looks at the 3 x 3 cells around it and is settled
+    once a site lies within one cell width, since any site outside those cells is farther. Each
+    level is written once, so the next one starts from files. Adds ``name`` and ``<name>_dist``. Both are null
+    for a point with a null or NaN coordinate and where there is no site; sites with such a
+    coordinate do not count.
     """
-    where = sites.where(F.col(sx).isNotNull() & F.col(sy).isNotNull()).select(
-        F.col(sid).alias("_id"), F.col(sx).cast("double").alias("_x"),
-        F.col(sy).cast("double").alias("_y"),
-    )
     dist = f"{name}_dist"
 
+    def placed(df, x, y):
+        return df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
+
+    where = placed(sites, sx, sy).select(
+        F.col(sid).alias("_id"), F.col(sx).cast("double").alias("_x"), F.col(sy).cast("double").alias("_y"),
+    )
+
     def gap(x, y):
         return F.sqrt(F.pow(x - F.col(px), 2) + F.pow(y - F.col(py), 2))
 
-    if where.limit(small + 1).count() <= small:
-        all_sites = where.agg(F.sort_array(F.collect_list(F.struct("_id", "_x", "_y")))).scalar()
-        best = F.array_min(
-            F.transform("_sites", lambda s: F.struct(gap(s["_x"], s["_y"]).alias("d"), s["_id"].alias("i")))
-        )
-        known = F.col(px).isNotNull() & F.col(py).isNotNull()
-        return (
-            points.withColumn("_sites", all_sites).withColumn("_best", F.when(known, best))
-            .withColumn(name, F.col("_best.i")).withColumn(dist, F.col("_best.d")).drop("_best", "_sites")
-        )
     places = where.groupBy("_x", "_y").agg(F.min("_id").alias("_id"))
-    box = places.agg(
-        F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")
-    ).first()
-    far = points.agg(F.min(px), F.max(px), F.min(py), F.max(py)).first()
-    lo_x, hi_x = min(box[0], far[0]), max(box[1], far[1])
-    lo_y, hi_y = min(box[2], far[2]), max(box[3], far[3])
-    reach = max(((hi_x - lo_x) ** 2 + (hi_y - lo_y) ** 2) ** 0.5, cell)
+    seen = placed(points, px, py).select(px, py)
+    every = places.select("_x", "_y").union(seen.select(F.col(px).cast("double"), F.col(py).cast("double")))
+    span = F.sqrt(F.pow(F.max("_x") - F.min("_x"), 2) + F.pow(F.max("_y") - F.min("_y"), 2))
+    reach = every.agg(F.coalesce(F.greatest(span, F.lit(cell)), F.lit(cell))).first()[0]
     from headway.sinks.tables import stage
 
-    open_, settled, width = points.select(px, py).na.drop().distinct(), None, cell
+    open_, settled, width = seen.distinct(), None, cell
     offsets = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     while True:
         around = open_.select(px, py, F.explode(offsets).alias("_dx")).select(

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, PolynomialExpansion, StandardScaler, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -23,21 +27,23 @@ from headway.operators.windows import last_row
 
 LABEL, FEATURES, PREDICTION = "label", "features", "prediction"
 
-# Default settings of the regressors and the grids that tuning tries.
+# Default settings of the regressors and the grids that tuning tries. ``alpha`` and
+# ``l1_ratio`` are penalties as :func:`penalty` reads them; depth 30 is the deepest Spark allows; a node
+# needs twice ``minInstancesPerNode`` rows to be split.
 DEFAULTS = {
     "linear": {},
-    "ridge": {"regParam": 1.0, "elasticNetParam": 0.0},
-    "lasso": {"regParam": 1.0, "elasticNetParam": 1.0, "maxIter": 1000},
-    "elastic": {"regParam": 1.0, "elasticNetParam": 0.5, "maxIter": 1000},
-    "random_forest": {"numTrees": 100, "seed": 42},
+    "ridge": {"alpha": 1.0},
+    "lasso": {"alpha": 1.0, "maxIter": 1000},
+    "elastic": {"alpha": 1.0, "l1_ratio": 0.5, "maxIter": 1000},
+    "random_forest": {"numTrees": 100, "maxDepth": 30, "seed": 42},
     "gradient_boosting": {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3, "seed": 42},
 }
 GRIDS = {
-    "ridge": {"regParam": [0.1, 1.0, 10.0]},
-    "lasso": {"regParam": [0.1, 1.0, 10.0]},
-    "elastic": {"regParam": [0.1, 1.0], "elasticNetParam": [0.3, 0.5, 0.7]},
-    "random_forest": {"numTrees": [50, 100], "maxDepth": [5, 10]},
-    "gradient_boosting": {"maxIter": [50, 100], "maxDepth": [3, 5]},
+    "ridge": {"alpha": [0.1, 1.0, 10.0, 100.0]},
+    "lasso": {"alpha": [0.1, 1.0, 10.0, 100.0]},
+    "elastic": {"alpha": [0.1, 1.0, 10.0], "l1_ratio": [0.1, 0.5, 0.9]},
+    "random_forest": {"numTrees": [50, 100, 200], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 3, 5]},
+    "gradient_boosting": {"maxIter": [50, 100, 200], "stepSize": [0.01, 0.1, 0.2], "maxDepth": [3, 5, 7]},
 }
 
 
@@ -59,63 +65,120 @@ def long_errors(df: DataFrame, ids: Sequence[str], target: str = "target", pred:
     return df.select(*ids, F.posexplode(pairs).alias("position", "p")).select(*ids, "position", "p.*")
 
 
-def regressor(kind: str, **params):
+class Facts(NamedTuple):
+    """Rows of a training set and the population deviation of its label."""
+
+    n: int
+    deviation: float
+
+
+def facts(rows: DataFrame) -> Facts:
+    r = rows.agg(F.count(F.lit(1)), F.stddev_pop(LABEL)).first()
+    return Facts(r[0], r[1] or 0.0)
+
+
+def penalty(kind: str, alpha: float, l1_ratio: float, f: Facts) -> dict:
+    """Spark's strength and mixture for a penalty on the label's own scale.
+
+    Ridge adds ``alpha * |w|^2`` to the sum of squared errors. Lasso and elastic-net add ``alpha * l1_ratio * |w|_1 +
+    alpha * (1 - l1_ratio) / 2 * |w|^2`` to half their mean. Spark divides the label by its deviation
+    first, which leaves the first-order part as stated and divides the quadratic one by the deviation.
+    """
+    first, second = (0.0, alpha / max(1, f.n)) if kind == "ridge" else (alpha * l1_ratio, alpha * (1 - l1_ratio))
+    strength = first + second * f.deviation
+    return {"regParam": strength, "elasticNetParam": first / strength if strength else 0.0}
+
+
+def settings_of(kind: str, f: Facts, **params) -> dict:
+    """Default and given settings in Spark's names."""
+    p = {**DEFAULTS[kind], **params}
+    if "alpha" in p:
+        ratio = p.pop("l1_ratio", 1.0 if kind == "lasso" else 0.5)
+        p |= penalty(kind, p.pop("alpha"), ratio, f)
+    return p
+
+
+def regressor(kind: str, f: Facts, **params):
     cls = {"random_forest": RandomForestRegressor, "gradient_boosting": GBTRegressor}.get(kind, LinearRegression)
-    return cls(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, **{**DEFAULTS[kind], **params})
+    p = settings_of(kind, f, **params)
+    if cls is LinearRegression:
+        p = {"standardization": False, **p}  # the features come standardized
+    return cls(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, **p)
+
 
+def model_input(cols: Sequence[str], n: int, poly: bool = False, scale: bool = True, out: str = FEATURES) -> list:
+    """Stages that assemble, expand and standardize features; fitted once with the model.
 
-def model_input(cols: Sequence[str], poly: bool = False, scale: bool = True, out: str = FEATURES) -> list:
-    """Stages that assemble, expand and standardize features; fitted once with the model."""
-    steps, last = [VectorAssembler(inputCols=list(cols), outputCol="_raw", handleInvalid="skip")], "_raw"
+    Deviations are population ones: Spark's scaler takes the sample deviation of the ``n`` rows, which
+    the last stage corrects. A row with a null keeps its place with a vector of NaN.
+    """
+    steps, last = [VectorAssembler(inputCols=list(cols), outputCol="_raw", handleInvalid="keep")], "_raw"
+    width = len(cols)
     if poly:
         steps.append(PolynomialExpansion(degree=2, inputCol=last, outputCol="_poly"))
-        last = "_poly"
+        last, width = "_poly", width + width * (width + 1) // 2
     if scale:
-        steps.append(StandardScaler(inputCol=last, outputCol=out, withMean=True, withStd=True))
+        steps.append(StandardScaler(inputCol=last, outputCol="_scaled", withMean=True, withStd=True))
+        ratio = Vectors.dense([(n / max(1, n - 1)) ** 0.5] * width)
+        steps.append(ElementwiseProduct(scalingVec=ratio, inputCol="_scaled", outputCol=out))
     else:
         steps[-1].setOutputCol(out)
     return steps
 
 
-def estimator(kind: str, cols: Sequence[str], poly: bool = False, **params) -> Pipeline:
-    return Pipeline(stages=[*model_input(cols, poly), regressor(kind, **params)])
+def estimator(kind: str, cols: Sequence[str], f: Facts, poly: bool = False, **params) -> Pipeline:
+    return Pipeline(stages=[*model_input(cols, f.n, poly), regressor(kind, f, **params)])
+
+
+def complete(cols: Sequence[str]) -> Column:
+    """True where every feature is a number."""
+    each = [F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")) for x in cols]
+    return functools.reduce(lambda a, b: a & b, each, F.lit(True))
 
 
 def _labelled(df: DataFrame, y: str) -> DataFrame:
     return df.withColumn(LABEL, F.col(y).cast("double")).where(finite(LABEL))
 
 
-def _on_cached(est, rows: DataFrame):
-    """Fit on rows kept in executor memory and disk, since training reads them many times.
+def training_rows(df: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
+    """Features and label of the rows a model can learn from: finite label, complete features."""
+    return _labelled(df, y).where(complete(cols)).select(*dict.fromkeys([*cols, LABEL]))
+
+
+def _on_cached(make, rows: DataFrame):
+    """``make(facts).fit`` on rows kept in executor memory and disk, since training reads them many times.
 
     Lost blocks are computed again from their source.
     """
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return est.fit(rows)
+        return make(facts(rows)).fit(rows)
     finally:
         rows.unpersist()
 
 
 def fit(kind: str, df: DataFrame, cols: Sequence[str], y: str, poly: bool = False, **params) -> PipelineModel:
-    return _on_cached(estimator(kind, cols, poly, **params), _labelled(df, y).select(*dict.fromkeys([*cols, LABEL])))
+    return _on_cached(lambda f: estimator(kind, cols, f, poly, **params), training_rows(df, cols, y))
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return model.transform(df).drop("_raw", "_poly", FEATURES)
+    """Every row with its prediction, null where a feature is missing."""
+    cols = model.stages[0].getInputCols()
+    out = model.transform(df).drop("_raw", "_poly", "_scaled", FEATURES)
+    return out.withColumn(PREDICTION, F.when(complete(cols), F.col(PREDICTION)))
 
 
-def _grid(model, grid: dict):
-    b = ParamGridBuilder()
-    for name, values in grid.items():
-        b = b.addGrid(getattr(model, name), values)
-    return b.build()
+def combinations(grid: dict) -> list[dict]:
+    return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
 
 
-def _validator(kind, cols, grid, folds, seed, parallelism, **params):
-    p = estimator(kind, cols, **params)
+def _validator(kind, cols, grid, folds, seed, parallelism, f: Facts, **params):
+    p = estimator(kind, cols, f, **params)
+    last = p.getStages()[-1]
+    inside = Facts(f.n * (folds - 1) // folds, f.deviation)
+    maps = [{getattr(last, k): v for k, v in settings_of(kind, inside, **params, **s).items()} for s in combinations(grid or {})]
     return CrossValidator(
-        estimator=p, estimatorParamMaps=_grid(p.getStages()[-1], grid or {}),
+        estimator=p, estimatorParamMaps=maps,
         evaluator=RegressionEvaluator(labelCol=LABEL, predictionCol=PREDICTION, metricName="rmse"),
         numFolds=folds, seed=seed, parallelism=parallelism,
     )
@@ -124,10 +187,8 @@ def _validator(kind, cols, grid, folds, seed, parallelism, **params):
 def tune(kind: str, df: DataFrame, cols, y: str, grid: dict | None = None, folds: int = 5, seed: int = 42, parallelism: int = 2, **params):
     """Best model of a grid by k-fold RMSE, and the average score of every setting."""
     grid = GRIDS.get(kind, {}) if grid is None else grid
-    rows = _labelled(df, y).select(*dict.fromkeys([*cols, LABEL]))
-    cv = _on_cached(_validator(kind, cols, grid, folds, seed, parallelism, **params), rows)
-    settings = [{p.name: v for p, v in m.items()} for m in cv.getEstimatorParamMaps()]
-    scores = [(str(s), float(m)) for s, m in zip(settings, cv.avgMetrics)]
+    cv = _on_cached(lambda f: _validator(kind, cols, grid, folds, seed, parallelism, f, **params), training_rows(df, cols, y))
+    scores = [(str(s), float(m)) for s, m in zip(combinations(grid), cv.avgMetrics)]
     return cv.bestModel, df.sparkSession.createDataFrame(scores, "params string, rmse double")
 
 
@@ -148,8 +209,10 @@ def fit_report(kind: str, train: DataFrame, valid: DataFrame, cols, y: str, fold
         return regression_metrics(predict(model, _labelled(df, y)), LABEL, PREDICTION).withColumn("part", F.lit(name))
 
     report = scored(train, "train").unionByName(scored(valid, "valid"))
+    left_out = train.count() - training_rows(train, cols, y).count()
+    report = report.withColumn("rows_left_out", F.lit(left_out))
     if folds:
-        cv = _on_cached(_validator(kind, cols, {}, folds, 42, 2, **params), _labelled(train, y).select(*dict.fromkeys([*cols, LABEL])))
+        cv = _on_cached(lambda f: _validator(kind, cols, {}, folds, 42, 2, f, **params), training_rows(train, cols, y))
         report = report.withColumn("cv_rmse", F.lit(float(cv.avgMetrics[0])))
     return model, report
 
@@ -213,25 +276,27 @@ def permute_steps(df: DataFrame, x: str, key: Sequence[str], strategy: str, seed
     return df.withColumn(x, F.transform(x, rebuilt))
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, cols, y: str, key: Sequence[str], repeats: int = 10, features=None) -> DataFrame:
-    """Rise of the mean absolute error when a feature is exchanged between samples.
+def permutation_importance(model, df: DataFrame, cols, y: str, key: Sequence[str], repeats: int = 10, features=None, strategy: str = "cross_sample", x: str | None = None, block: int = 2) -> DataFrame:
+    """Rise of the mean absolute error when a feature is permuted.
 
-    Driver loop over features and repeats (both fixed by the model, not by the data); each
-    repeat is one distributed scoring job.
+    ``cross_sample`` exchanges a column between samples; ``within_sample`` and ``block`` reorder the steps of
+    feature number f inside each sample's step array ``x``. ``model`` is a fitted pipeline, or a function
+    that adds a prediction. All features and repeats are one job over tagged copies of the rows.
     """
-    d = _labelled(df, y).select(*dict.fromkeys([*key, *cols, LABEL]))
-    err = F.avg(F.abs(F.col(LABEL) - F.col(PREDICTION))).alias("mae")
-    base = model.transform(d).agg(err).first()[0]
-    parts = []
-    for f in features or cols:
+    score = model if callable(model) else lambda d: predict(model, d)
+    named = _labelled(df, y).select(*dict.fromkeys([*key, *cols, *([x] if x else []), LABEL]))
+    err = F.avg(F.abs(F.col(LABEL) - F.col(PREDICTION)))
+    base = score(named).agg(err).first()[0]
+    copies = []
+    for i, f in enumerate(features or cols):
         for r in range(repeats):
-            parts.append(
-                model.transform(permute(d, [f], key, r + 1)).agg(err).select(F.lit(f).alias("feature"), (F.col("mae") - base).alias("rise"))
-            )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("feature").agg(F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("std"), F.lit(base).alias("baseline_mae"))
+            moved = permute(named, [f], key, r + 1) if strategy == "cross_sample" else permute_steps(named, x, key, strategy, r + 1, i, block)
+            copies.append(moved.withColumns({"_feature": F.lit(f), "_repeat": F.lit(r)}))
+    tagged = functools.reduce(DataFrame.unionByName, copies)
+    rises = score(tagged).groupBy("_feature", "_repeat").agg((err - base).alias("rise"))
+    return rises.groupBy(F.col("_feature").alias("feature")).agg(
+        F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("std"), F.lit(base).alias("baseline_mae")
+    )
 
 
 def decode(df: DataFrame, as_of: str, pred: str = PREDICTION, horizon: int = 3) -> DataFrame:

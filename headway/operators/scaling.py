@@ -13,14 +13,27 @@ from headway.operators.spans import place
 def label_fit(df, x: str, unknown: str = "unknown") -> DataFrame:
     """Codes 0.. of the distinct values in alphabetical order (null reads as ``unknown``).
 
-    Values are numbered in slices by their first letter, so many values stay spread.
+    Values are numbered in slices between sampled values (:func:`_cuts`), so that codes of any shape
+    stay spread.
     """
     d = df.select(F.coalesce(F.col(x), F.lit(unknown)).alias(x)).distinct()
-    return place(d, [], [F.col(x)], [F.substring(x, 1, 1)], "_pos").select(
+    return place(d, [], [F.col(x)], [_cuts(d, x)], "_pos").select(
         x, (F.col("_pos") - 1).cast("int").alias(f"{x}_encoded")
     )
 
 
+def _cuts(d: DataFrame, x: str, slices: int = 256) -> Column:
+    """Slice number of a value: how many of at most ``slices`` cut points it is not below.
+
+    The cut points are the values with the smallest hashes, an even sample whose size is fixed.
+    """
+    points = sorted(r[0] for r in d.orderBy(F.xxhash64(x), x).limit(slices).collect())
+    kind = d.schema[x].dataType
+    if not points:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(p).cast(kind) for p in points]), lambda p: p <= F.col(x)))
+
+
 def label_apply(df, x: str, codes: DataFrame, unknown: str = "unknown") -> DataFrame:
     """Codes joined to rows; values not seen in the fit get -1."""
     name = f"{x}_encoded"

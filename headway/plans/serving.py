@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from headway.functions.clock import LOCAL_ZONE, hour_start, stop_actual_time
 from headway.operators.aggregates import mean_per, region_status
 from headway.operators.filters import lookback
-from headway.operators.joins import fallback, interval_join, previous_step
+from headway.operators.joins import fallback, interval_join, next_per_group, previous_step
 from headway.operators.windows import latest_per
 
 
@@ -19,15 +19,16 @@ def _service_days(dates: DataFrame, as_of: str) -> DataFrame:
 
 def timetable(st: DataFrame, trips: DataFrame, dates: DataFrame, as_of: str, zone: str = LOCAL_ZONE) -> DataFrame:
     """Scheduled stops of yesterday's and today's services with their actual time."""
-    t = trips.select("trip_id", "route_id", "direction_id", "trip_headsign", "service_id")
+    t = trips.select("trip_id", "route_id", "direction_id", "trip_headsign", "service_id").join(_service_days(dates, as_of), "service_id")
     rows = st.select("trip_id", "stop_id", "stop_sequence", "arrival_secs", "arrival_day_offset").join(t, "trip_id")
-    rows = rows.join(_service_days(dates, as_of), "service_id")
     return rows.withColumn("actual_time", stop_actual_time("service_date", "arrival_secs", "arrival_day_offset", zone))
 
 
 def stop_board(st, trips, dates, observed, predictions, as_of: str, stop_id=None, zone: str = LOCAL_ZONE) -> DataFrame:
     """Next arrivals with predicted delay and the delay at the stop before.
 
+    Trip and time come from the same row: the earliest instant of the group, ties kept.
+
     ``observed`` are recent position rows, ``predictions`` the latest batch. Without ``stop_id``
     the boards of all stops come in one job.
     """
@@ -36,19 +37,16 @@ def stop_board(st, trips, dates, observed, predictions, as_of: str, stop_id=None
         predictions = predictions.where(F.col("stop_id") == stop_id)
     rows = timetable(st, trips, dates, as_of, zone)
     group = ["stop_id", "route_id", "trip_headsign", "service_id", "service_date"]
-    ahead = rows.where(F.col("actual_time") >= F.lit(as_of).cast("timestamp_ntz"))
-    first = ahead.groupBy(*group).agg(
-        F.min("actual_time").alias("next_arrival_time"), F.min("arrival_secs").alias("arrival_secs")
-    )
-    nxt = rows.join(first, [*group, "arrival_secs"])
+    nxt = next_per_group(rows, group, "actual_time", as_of).withColumnRenamed("actual_time", "next_arrival_time")
     seen = latest_per(
         observed.select("trip_id", "stop_sequence", "arrival_delay", "actual_arrival_time"), ["trip_id", "stop_sequence"],
         [F.desc("actual_arrival_time"), F.desc("arrival_delay")],
     )
     nxt = previous_step(nxt, seen, ["trip_id"], "stop_sequence", "arrival_delay", "previous_stop_arrival_delay")
     nxt = nxt.join(mean_per(observed, ["route_id", "stop_id"], "arrival_delay", "_mean"), ["route_id", "stop_id"], "left")
-    p = predictions.select("stop_id", "stop_sequence", F.col("prediction_target_time").alias("_hour"), F.col("predicted_delay_seconds").alias("_model"))
-    nxt = nxt.withColumn("_hour", hour_start("next_arrival_time")).join(p, ["stop_id", "stop_sequence", "_hour"], "left")
+    at = ["stop_id", "stop_sequence", "route_id", "direction_id"]
+    p = predictions.select(*at, F.col("prediction_target_time").alias("_hour"), F.col("predicted_delay_seconds").alias("_model"))
+    nxt = nxt.withColumn("_hour", hour_start("next_arrival_time")).join(p, [*at, "_hour"], "left")
     return fallback(nxt, "_model", "_mean", "predicted_delay_seconds").select(
         "stop_id", "route_id", "service_id", "service_date", "next_arrival_time", "trip_id", "direction_id", "trip_headsign",
         "stop_sequence", "predicted_delay_seconds", "previous_stop_arrival_delay",

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from headway.operators.windows import latest_per
-from headway.sinks.tables import current, merge_rows, write_version
+from headway.sinks.tables import current, insert_new, merge_rows, write_version
 
 ONCE = {"availableNow": True}
 
@@ -77,10 +77,17 @@ def latest_updates(stream: DataFrame, keys: Sequence[str], order: Sequence[str],
     return each_batch(stream, _versioned_merge(root, combine), checkpoint, "append", trigger)
 
 
-def new_dimension_rows(stream: DataFrame, keys: Sequence[str], ts: str, path: str, checkpoint: str, watermark="10 minutes", trigger=None):
-    """First row of each key within the watermark."""
-    d = instant(stream, ts).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(keys))
-    return to_parquet(d, path, checkpoint, trigger)
+def new_dimension_rows(stream: DataFrame, keys: Sequence[str], ts: str, path: str, checkpoint: str, trigger=None):
+    """Rows whose key the table does not hold yet, one for each key, however late or often it comes.
+
+    Of the rows of a key in one micro-batch the earliest is stored. A replayed batch finds its keys
+    stored and adds nothing.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        insert_new(latest_per(batch, keys, [F.col(ts).asc_nulls_last(), *[F.col(x) for x in batch.columns if x != ts]]), path, keys)
+
+    return each_batch(stream, run, checkpoint, "append", trigger)
 
 
 def hourly_buckets(stream: DataFrame, keys: Sequence[str], ts: str, x: str, watermark="10 minutes") -> DataFrame:

@@ -8,18 +8,21 @@ from headway.operators.spans import hourly
 from headway.sinks import tables as tb
 
 
-@pytest.mark.parametrize("small", [2_000, 0])
-def test_nearest_against_brute_force(spark, small):
+@pytest.mark.parametrize("n", [0, 1, 60, 201])
+def test_nearest_against_brute_force(spark, n):
     rng = random.Random(3)
-    sites = [(i, rng.gauss(0, 1) if i < 40 else rng.uniform(50, 60), rng.gauss(0, 1)) for i in range(60)]
-    sites += [(100, sites[0][1], sites[0][2])]
-    points = [(i, rng.uniform(-80, 80), rng.uniform(-80, 80)) for i in range(150)] + [(999, None, 1.0)]
+    sites = [(i, rng.gauss(0, 1) if i < 40 else rng.uniform(50, 60), rng.gauss(0, 1)) for i in range(n)]
+    sites += [(1000, *sites[0][1:])] if n else []
+    sites += [(2000, None, 0.0), (2001, float("nan"), 0.0)]
+    points = [(i, rng.uniform(-80, 80), rng.uniform(-80, 80)) for i in range(150)] + [(999, None, 1.0), (998, float("nan"), 1.0)]
     got = jo.nearest(
         spark.createDataFrame(points, "pid int, px double, py double"), spark.createDataFrame(sites, "sid int, sx double, sy double"),
-        "px", "py", "sid", "sx", "sy", small=small,
+        "px", "py", "sid", "sx", "sy",
     ).collect()
-    best = {p[0]: min((((s[1] - p[1]) ** 2 + (s[2] - p[2]) ** 2) ** 0.5, s[0])[::1] for s in sites)[1] if p[1] is not None else None for p in points}
+    best = {p[0]: min((((s[1] - p[1]) ** 2 + (s[2] - p[2]) ** 2) ** 0.5, s[0]) for s in sites[:-2])[1] if n and p[0] < 998 else None for p in points}
     assert {r.pid: r.nearest for r in got} == best
+    empty = spark.createDataFrame([], "pid int, px double, py double")
+    assert jo.nearest(empty, spark.createDataFrame(sites, "sid int, sx double, sy double"), "px", "py", "sid", "sx", "sy").count() == 0
 
 
 def test_interval_join_bounds(spark):
