@@ -61,7 +61,7 @@ def _(t):
 @query("m03_tree_models")
 def _(t):
     train, test = parts(t)
-    a = le.predict(le.fit("random_forest", train, COLS, "delay"), test)
+    a = le.predict(le.fit("random_forest", train, COLS, "delay", maxDepth=10), test)
     b = le.predict(le.fit("gradient_boosting", train, COLS, "delay"), test)
     f = me.regression_metrics(a, "delay", "prediction").withColumn("kind", F.lit("random_forest"))
     return f.unionByName(me.regression_metrics(b, "delay", "prediction").withColumn("kind", F.lit("gradient_boosting")))
@@ -74,7 +74,7 @@ def _(t):
 
 @query("m05_importances")
 def _(t):
-    m = le.fit("random_forest", rows(t), COLS, "delay")
+    m = le.fit("random_forest", rows(t), COLS, "delay", maxDepth=10)
     return le.importances(m, t.spark, COLS)
 
 

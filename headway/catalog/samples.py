@@ -50,7 +50,7 @@ def _(t):
 lead(delay, 3) OVER w AS x_last, lead(delay, 5) OVER w AS y_last FROM upd WINDOW w AS (PARTITION BY trip_id ORDER BY stop_sequence, feed_time, price))
 SELECT trip_id, stop_sequence AS start_stop_sequence, end_stop_sequence, price AS start_price, x_last, y_last FROM o WHERE end_price IS NOT NULL AND len >= 8""")
 def _(t):
-    d = sq.windows(t.upd, ["trip_id"], ["stop_sequence", "feed_time", "price"], [F.col("stop_sequence")], ["delay", "pred"], "delay", 4, 2, min_len=8, marks=["stop_sequence", "price"])
+    d = sq.windows(t.upd, ["trip_id"], ["stop_sequence", "feed_time", "price"], None, ["delay", "pred"], "delay", 4, 2, min_len=8, marks=["stop_sequence", "price"])
     return d.select("trip_id", F.col("first_stop_sequence").alias("start_stop_sequence"), F.col("last_stop_sequence").alias("end_stop_sequence"),
                     F.col("first_price").alias("start_price"), F.get(F.get("x", F.lit(3)), F.lit(0)).alias("x_last"), F.get("y", F.lit(1)).alias("y_last"))
 
@@ -98,7 +98,7 @@ def _(t):
 @query("qs8_source_mask", "upd", """, e AS (SELECT stop_id AS src, lead(stop_id) OVER (PARTITION BY trip_id ORDER BY stop_sequence, price) AS dst FROM upd), s AS (SELECT DISTINCT src FROM e WHERE dst IS NOT NULL AND src <> dst)
 SELECT s_suppkey AS stop_id, CASE WHEN src IS NULL THEN 0 ELSE 1 END AS node_mask FROM supplier LEFT JOIN s ON src = s_suppkey""")
 def _(t):
-    e = sq.stop_edges(t.upd, ["trip_id"], ["stop_sequence", "price"], [F.col("stop_sequence")], "stop_id")
+    e = sq.stop_edges(t.upd, ["trip_id"], ["stop_sequence", "price"], None, "stop_id")
     return sq.source_mask(t.stops, e, "stop_id")
 
 

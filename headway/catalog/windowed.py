@@ -33,7 +33,7 @@ FROM c WINDOW w AS (PARTITION BY trip_id ORDER BY stop_sequence, feed_time, pric
 def _(t):
     d = t.upd.select("trip_id", "stop_sequence", "feed_time", "price", "delay")
     keys = [F.col("stop_sequence"), F.col("feed_time"), F.col("price")]
-    return wi.lag_n(d, ["trip_id"], keys, [F.col("stop_sequence")], "delay", [1, 2], ["prev_stop_delay", "prev_2_stop_delay"])
+    return wi.lag_n(d, ["trip_id"], keys, None, "delay", [1, 2], ["prev_stop_delay", "prev_2_stop_delay"])
 
 
 TREND = "SELECT obs_id, round(avg(delay) OVER (PARTITION BY route_id, direction_id ORDER BY ts RANGE BETWEEN INTERVAL 60 MINUTE PRECEDING AND INTERVAL 1 MINUTE PRECEDING) + 1e-9, 6) AS trend FROM obs"
@@ -148,7 +148,7 @@ def _(t):
 
 @query("w19_reversal_flag", "upd", "SELECT trip_id, stop_sequence, price, coalesce(feed_time < lag(feed_time) OVER (PARTITION BY trip_id ORDER BY stop_sequence, price, stop_id), false) AS time_reversal FROM upd")
 def _(t):
-    d = wi.reversal_flag(t.upd, ["trip_id"], [F.col("stop_sequence"), F.col("price"), F.col("stop_id")], [F.col("stop_sequence")], "feed_time")
+    d = wi.reversal_flag(t.upd, ["trip_id"], [F.col("stop_sequence"), F.col("price"), F.col("stop_id")], None, "feed_time")
     return d.select("trip_id", "stop_sequence", "price", "time_reversal")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -74,18 +75,22 @@ def alert_features(detail, start: str = "active_period_start") -> DataFrame:
         "_effect", F.col("effect").cast("string").try_cast("int")
     )
 
-    def alerts(cond):
-        return F.count_distinct(F.when(cond, F.col("alert_id")))
-
+    flags = {
+        "high_impact_alert_count": F.col("_effect").isin(*HIGH_IMPACT),
+        **{n: F.col("_cause") == code for n, code in CAUSE_FLAGS.items()},
+        **{n: F.col("_effect") == code for n, code in EFFECT_FLAGS.items()},
+    }
     weight = F.when(F.lit(False), 0)
     for code, points in EFFECT_WEIGHT.items():
         weight = weight.when(F.col("_effect") == code, points)
-    return d.groupBy("route_id", hour_start(start).alias("alert_hour")).agg(
+    # An alert's rows are folded first, so that counting alerts needs no distinct and no copies of rows.
+    once = d.groupBy("route_id", hour_start(start).alias("alert_hour"), "alert_id").agg(
+        *[F.max(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()], F.sum(weight.otherwise(1)).alias("_points")
+    )
+    return once.groupBy("route_id", "alert_hour").agg(
         F.max(F.lit(1)).alias("has_active_alert"),
-        alerts(F.col("_effect").isin(*HIGH_IMPACT)).alias("high_impact_alert_count"),
-        *[alerts(F.col("_cause") == code).alias(n) for n, code in CAUSE_FLAGS.items()],
-        *[alerts(F.col("_effect") == code).alias(n) for n, code in EFFECT_FLAGS.items()],
-        F.coalesce(F.sum(weight.otherwise(1)), F.lit(0)).alias("alert_severity_score"),
+        *[F.count_if(F.col(n) & F.col("alert_id").isNotNull()).alias(n) for n in flags],
+        F.coalesce(F.sum("_points"), F.lit(0)).alias("alert_severity_score"),
     )
 
 
@@ -111,15 +116,18 @@ def min_per(df, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
 def route_summary(df, late: int = 300, early: int = -300, route="route_id", travel=None) -> DataFrame:
     """Rows, distinct dates, trips and stops, date range, delay statistics and late/early rows.
 
-    The distinct counts are exact; rows are first reduced per (route, value).
+    The distinct counts are exact. Each is a narrow aggregate of its own, stitched by route: together they
+    would make a copy of every row for each of them.
     """
     d = F.col("arrival_delay")
+    counts = {"unique_dates": "start_date", "unique_trips": "trip_id", "unique_stops": "stop_id"}
+    stitched = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [df.groupBy(route).agg(F.count_distinct(x).alias(n)) for n, x in counts.items()],
+    )
     extra = [F.avg(travel).alias("avg_travel_time")] if travel else []
-    return df.groupBy(route).agg(
+    main = df.groupBy(route).agg(
         _n().alias("total_records"),
-        F.count_distinct("start_date").alias("unique_dates"),
-        F.count_distinct("trip_id").alias("unique_trips"),
-        F.count_distinct("stop_id").alias("unique_stops"),
         F.min("start_date").alias("earliest_date"),
         F.max("start_date").alias("latest_date"),
         F.avg(d).alias("avg_delay"),
@@ -128,6 +136,9 @@ def route_summary(df, late: int = 300, early: int = -300, route="route_id", trav
         F.count_if(d > late).alias("late_records"),
         F.count_if(d < early).alias("early_records"),
     )
+    names = [x for x in main.columns if x != route]
+    both = main.unionByName(stitched, allowMissingColumns=True).groupBy(route).agg(*[F.max(x).alias(x) for x in [*names, *counts]])
+    return both.select(route, names[0], *counts, *names[1:])
 
 
 def available_routes(df, start=None, min_records: int = 1000) -> DataFrame:

@@ -50,8 +50,8 @@ def windows(
         return steps.select(*keys, F.transform("_s", lambda s: s["_r"]["f"]).alias("x"), *first, *last)
     n = n_in + n_out
     fn = {"_s": lambda w: F.collect_list("_r").over(w.rowsBetween(0, n - 1))}
-    slim = df.select(*keys, *order, row.alias("_r"), *[s.alias(f"_cut{i}") for i, s in enumerate(slices)])
-    cuts = [F.col(f"_cut{i}") for i in range(len(slices))]
+    slim = df.select(*keys, *order, row.alias("_r"), *[s.alias(f"_cut{i}") for i, s in enumerate(slices or [])])
+    cuts = None if slices is None else [F.col(f"_cut{i}") for i in range(len(slices))]
     out = rowwise(slim, keys, order_cols, cuts, fn, ahead=n - 1, keep_pos=True, total="_len")
     out = out.where((F.size("_s") == n) & (F.col("_len") >= (min_len or n)))
     return out.select(

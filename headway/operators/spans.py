@@ -111,7 +111,7 @@ def rowwise(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence,
-    slices: Sequence,
+    slices: Sequence | None,
     exprs: dict[str, Callable[[WindowSpec], Column]],
     back: int = 0,
     ahead: int = 0,
@@ -125,8 +125,15 @@ def rowwise(
     Each function gets the ordered window and returns a column over it. One pass serves all of
     them. ``rows`` bounds a task's share of a key. In a chain of calls pass the frame the chain
     began with as ``source``, so that each call adds one narrow pass and not a second copy of
-    everything before it.
+    everything before it. A slice must hold many rows. For keys that are small by nature, a trip with
+    its stops say, pass None as ``slices``: a plain window then needs one shuffle and no second pass.
     """
+    if slices is None:
+        w = Window.partitionBy(*keys)
+        ordered = w.orderBy(*order)
+        extra = {POS: F.row_number().over(ordered).cast("long")} if keep_pos else {}
+        extra |= {total: F.count(F.lit(1)).over(w)} if total else {}
+        return df.withColumns({**{name: fn(ordered) for name, fn in exprs.items()}, **extra})
     rows = max(rows, back, ahead)
     cut = blocked(place(df, keys, order, slices, POS, total, source), back, ahead, rows)
     w = Window.partitionBy(*keys, "_block").orderBy(POS)

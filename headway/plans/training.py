@@ -100,7 +100,7 @@ def trip_training(base: DataFrame, t: dict[str, DataFrame], rain: float = 6, min
         "prev_stop_delay": lambda w: F.lag("arrival_delay", 1).over(w),
         "prev_2_stop_delay": lambda w: F.lag("arrival_delay", 2).over(w),
     }
-    d = rowwise(base, ["trip_id", "start_date"], order, [F.col("stop_sequence")], fns, back=2)
+    d = rowwise(base, ["trip_id", "start_date"], order, None, fns, back=2)
     d = upstream_ready(route_windows(d, base), "stop_sequence", "prev_stop_delay", min_seq)
     zero = ("prev_stop_delay", "prev_2_stop_delay", "route_delay_trend_60min", "route_hourly_delay_7d_avg", "route_delay_volatility_3h")
     d = d.withColumns({x: F.coalesce(F.col(x).cast("double"), F.lit(0.0)) for x in zero})
@@ -118,7 +118,7 @@ def travel_time_dataset(updates: DataFrame, route_ids=None, start=None) -> DataF
     d = delay_plausible(route_since(updates, route_ids, start), "arrival_delay", "actual_arrival_time")
     d = travel_seconds(
         d, ["start_date", "route_id", "trip_id"], [F.col("stop_sequence"), F.col("actual_arrival_time"), F.col("stop_id")],
-        [F.col("stop_sequence")], "actual_arrival_time",
+        None, "actual_arrival_time",
     )
     return valid_travel_time(d, "travel_time_raw_seconds").select(
         F.col("actual_arrival_time").alias("datetime"), hour_start("actual_arrival_time").alias("datetime_60"),

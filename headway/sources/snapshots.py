@@ -99,11 +99,12 @@ def normalize_snapshots(df: DataFrame) -> dict[str, DataFrame]:
     )
     ids = msg.select(
         "feed_message_id", F.col("header.timestamp").alias("timestamp_seconds"), "entity",
-        F.transform("entity", lambda e: e["id"]).alias("ids"),
+        F.array_sort(F.transform("entity", lambda e, i: F.struct(e["id"].alias("id"), i.alias("at")))).alias("ids"),
     )
+    # In id order a repeated id stands next to its first; an entity without an id always counts.
+    first = F.filter("ids", lambda x, i: x["id"].isNull() | (i == 0) | ~F.get("ids", i - 1)["id"].eqNullSafe(x["id"]))
     kept = (
-        ids.select("feed_message_id", "timestamp_seconds", "ids", F.posexplode("entity").alias("at", "entity"))
-        .where(F.coalesce(F.array_position("ids", F.col("entity.id")) == F.col("at") + 1, F.lit(True)))
+        ids.select("feed_message_id", "timestamp_seconds", F.explode(F.transform(first, lambda x: F.get("entity", x["at"]))).alias("entity"))
         .withColumn("entity_id", F.col("entity.id"))
         .withColumn("feed_entity_id", row_id("feed_message_id", "entity_id"))
     )
