@@ -259,13 +259,13 @@ def _(t):
 
 @query("a33_outlier_profile", "upd", """, q AS (SELECT quantile_cont(price, 0.95) AS b FROM upd) SELECT price > b AS is_outlier, count(*) AS n, round(avg(delay) + 1e-9, 6) AS delay, round(avg(stop_sequence) + 1e-9, 6) AS stop_sequence FROM upd, q GROUP BY 1""")
 def _(t):
-    return rounded(me.outlier_profile(t.upd, "price", ["delay", "stop_sequence"], width=100.0), "delay", "stop_sequence")
+    return rounded(me.outlier_profile(t.upd, "price", ["delay", "stop_sequence"]), "delay", "stop_sequence")
 
 
 @query("a33_outlier_routes", "upd", """, q AS (SELECT quantile_cont(price, 0.95) AS b FROM upd) SELECT stop_id, count(*) FILTER (WHERE price > b) AS n_outliers, count(*) AS n, round(count(*) FILTER (WHERE price > b) * 100e0 / count(*) + 1e-9, 6) AS rate
 FROM upd, q GROUP BY 1 HAVING count(*) FILTER (WHERE price > b) > 0""")
 def _(t):
-    return rounded(me.outlier_routes(t.upd, "price", "stop_id", width=100.0), "rate")
+    return rounded(me.outlier_routes(t.upd, "price", "stop_id"), "rate")
 
 
 @query("a34_accuracy_by_region", "upd stops", LOCATED + f" SELECT region_id, flag, {METRICS} FROM l GROUP BY 1, 2")
@@ -283,7 +283,7 @@ s AS (SELECT count(*) AS n, count(*) FILTER (WHERE g) AS n1, sum(CASE WHEN g THE
 u AS (SELECT n1, n - n1 AS n2, r1 - n1 * (n1 + 1) / 2e0 AS u1, n, t3 FROM s)
 SELECT n1, n2, u1, round((abs(u1 - n1 * n2 / 2e0) - 0.5) / sqrt(CAST(n1 AS DOUBLE) * n2 / 12 * (n + 1 - t3 / (CAST(n AS DOUBLE) * (n - 1)))) + 1e-9, 6) AS z FROM u""")
 def _(t):
-    d = di.mann_whitney(t.upd.withColumn("g", (F.col("flag") == "R").cast("int")), "g", "price", 100.0)
+    d = di.mann_whitney(t.upd.withColumn("g", (F.col("flag") == "R").cast("int")), "g", "price")
     return rounded(d.drop("p_value"), "z")
 
 

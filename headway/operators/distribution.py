@@ -1,7 +1,7 @@
 """Exact quantiles, ranks and outlier rules without gathering a group in one task.
 
 Values are first counted per distinct value (map-side combined), then ranked by cumulative counts
-over value slices of a given width, so even one key with a third of all rows is spread.
+over value slices of about equal row counts, so even one key with a third of all rows is spread.
 """
 
 from __future__ import annotations
@@ -13,17 +13,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 from headway.operators.spans import running
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], x: str, width: float = 1.0) -> DataFrame:
-    """One row per (key, distinct value): ``n`` rows, ``upto`` = rows <= value, ``total`` rows.
+SLICES = 64
 
-    ``width`` is the value range of a slice; a slice holds only distinct values.
+
+def value_slices(df: DataFrame, x: str) -> Column:
+    """Number of the slice a value falls in; slices lie between approximate quantiles of the column.
+
+    So they hold about as many rows each whatever the values' range, and there are at most
+    :data:`SLICES` of them. The cut points are one small job before the query.
     """
-    counts = (
-        df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n"))
-    )
-    return running(
-        counts, keys, [F.col(x)], [F.floor(F.col(x) / width)], F.col("n"), "upto", "total"
-    )
+    at = df.select(F.col(x).cast("double").alias("_x")).approxQuantile("_x", [i / SLICES for i in range(1, SLICES)], 0.005)
+    cuts = [F.lit(p) for p in sorted(set(at or []))]
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*cuts), lambda p: p <= F.col(x)))
+
+
+def value_ranks(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+    """One row per (key, distinct value): ``n`` rows, ``upto`` = rows <= value, ``total`` rows."""
+    known = df.where(F.col(x).isNotNull())
+    counts = known.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n"))
+    return running(counts, keys, [F.col(x)], [value_slices(known, x)], F.col("n"), "upto", "total")
 
 
 def percentiles(
@@ -32,11 +42,10 @@ def percentiles(
     qs: Sequence[float],
     keys: Sequence[str] = (),
     names: Sequence[str] | None = None,
-    width: float = 1.0,
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one column per q."""
     names = names or [f"p{int(round(q * 100))}" for q in qs]
-    ranked = value_ranks(df, keys, x, width)
+    ranked = value_ranks(df, keys, x)
 
     def at(rank: Column) -> Column:
         return F.min(F.when(F.col("upto") >= rank, F.col(x)))
@@ -62,18 +71,18 @@ def percentiles(
     )
 
 
-def median(df, x, keys=(), name="median", width: float = 1.0) -> DataFrame:
-    return percentiles(df, x, [0.5], keys, [name], width)
+def median(df, x, keys=(), name="median") -> DataFrame:
+    return percentiles(df, x, [0.5], keys, [name])
 
 
-def mad_filter(df: DataFrame, x: str, k: float = 3, width: float = 1.0) -> DataFrame:
+def mad_filter(df: DataFrame, x: str, k: float = 3) -> DataFrame:
     """Keep rows within ``k`` median absolute deviations of the median; all rows when it is 0.
 
     Null values go, unless the whole column is null.
     """
-    mid = median(df, x, width=width).select(F.first("median")).scalar()
+    mid = median(df, x).select(F.first("median")).scalar()
     off = df.select(F.abs(F.col(x) - mid).alias("_off"))
-    mad = median(off, "_off", width=width).select(F.first("median")).scalar()
+    mad = median(off, "_off").select(F.first("median")).scalar()
     return df.where(
         F.coalesce(mad == 0, F.lit(True)) | (F.abs(F.col(x) - mid) <= F.lit(float(k)) * mad)
     )
@@ -85,9 +94,9 @@ def sigma_filter(df: DataFrame, x: str, k: float = 3) -> DataFrame:
     return df.where(~F.coalesce(F.abs((F.col(x) - mean) / F.nullif(std, F.lit(0.0))) > k, F.lit(False)))
 
 
-def iqr_filter(df: DataFrame, x: str, k: float = 1.5, width: float = 1.0) -> DataFrame:
+def iqr_filter(df: DataFrame, x: str, k: float = 1.5) -> DataFrame:
     """Keep rows within ``k`` interquartile ranges of the quartiles."""
-    q = percentiles(df, x, [0.25, 0.75], names=["q1", "q3"], width=width)
+    q = percentiles(df, x, [0.25, 0.75], names=["q1", "q3"])
     box = q.select(F.struct(F.first("q1").alias("q1"), F.first("q3").alias("q3"))).scalar()
     reach = (box["q3"] - box["q1"]) * F.lit(float(k))
     return df.where((F.col(x) >= box["q1"] - reach) & (F.col(x) <= box["q3"] + reach))
@@ -111,7 +120,7 @@ FLAGS_ADDED = (
 )
 
 
-def describe_exact(df: DataFrame, cols: Sequence[str], width: float = 1.0) -> DataFrame:
+def describe_exact(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max, one row per column."""
     long = df.select(
         F.explode(
@@ -127,10 +136,10 @@ def describe_exact(df: DataFrame, cols: Sequence[str], width: float = 1.0) -> Da
         F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"), F.max("v").alias("max"),
     )
-    return base.join(percentiles(long, "v", [0.25, 0.5, 0.75], ["column"], width=width), "column", "left")
+    return base.join(percentiles(long, "v", [0.25, 0.5, 0.75], ["column"]), "column", "left")
 
 
-def mann_whitney(df: DataFrame, group: str, x: str, width: float = 1.0) -> DataFrame:
+def mann_whitney(df: DataFrame, group: str, x: str) -> DataFrame:
     """Two-sided Mann-Whitney U for two groups (flag 1 against 0).
 
     Average ranks for ties, tie-corrected normal approximation with continuity correction.
@@ -144,7 +153,7 @@ def mann_whitney(df: DataFrame, group: str, x: str, width: float = 1.0) -> DataF
         .groupBy(x)
         .agg(F.count(F.lit(1)).alias("n"), F.sum(flag).alias("n_first"))
     )
-    ranked = running(counts, [], [F.col(x)], [F.floor(F.col(x) / width)], F.col("n"), "upto")
+    ranked = running(counts, [], [F.col(x)], [value_slices(counts, x)], F.col("n"), "upto")
     rank = F.col("upto") - (F.col("n") - 1) / 2
     s = ranked.agg(
         F.sum("n").cast("double").alias("n"),

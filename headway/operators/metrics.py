@@ -116,17 +116,17 @@ def trip_errors(df, key: Sequence[str], y: str, yhat: str) -> DataFrame:
     )
 
 
-def outlier_profile(df, x: str, cols: Sequence[str], q: float = 0.95, width: float = 1.0) -> DataFrame:
+def outlier_profile(df, x: str, cols: Sequence[str], q: float = 0.95) -> DataFrame:
     """Means of some columns for rows above the q-quantile of x and for the rest."""
-    bound = percentiles(df, x, [q], names=["b"], width=width).select(F.first("b")).scalar()
+    bound = percentiles(df, x, [q], names=["b"]).select(F.first("b")).scalar()
     return df.withColumn("is_outlier", F.col(x) > bound).groupBy("is_outlier").agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in cols]
     )
 
 
-def outlier_routes(df, x: str, route: str, q: float = 0.95, width: float = 1.0) -> DataFrame:
+def outlier_routes(df, x: str, route: str, q: float = 0.95) -> DataFrame:
     """Outliers and their share per route, routes with outliers only."""
-    bound = percentiles(df, x, [q], names=["b"], width=width).select(F.first("b")).scalar()
+    bound = percentiles(df, x, [q], names=["b"]).select(F.first("b")).scalar()
     out = df.groupBy(route).agg(F.count_if(F.col(x) > bound).alias("n_outliers"), F.count(F.lit(1)).alias("n"))
     return out.where("n_outliers > 0").withColumn("rate", F.col("n_outliers") * 100.0 / F.col("n"))
 

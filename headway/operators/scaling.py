@@ -91,12 +91,12 @@ def standard_apply_steps(df, fit: DataFrame, x: str = "x") -> DataFrame:
     return df.withColumn("_fit", s).withColumn(x, scaled).drop("_fit")
 
 
-def robust_fit(df, cols: Sequence[str], width: float = 1.0) -> DataFrame:
+def robust_fit(df, cols: Sequence[str]) -> DataFrame:
     """Median and interquartile range of each column, one row per column."""
     long = df.select(
         F.explode(F.array(*[F.struct(F.lit(x).alias("column"), F.col(x).cast("double").alias("v")) for x in cols])).alias("e")
     ).select("e.*")
-    q = percentiles(long, "v", [0.25, 0.5, 0.75], ["column"], ["q1", "median", "q3"], width)
+    q = percentiles(long, "v", [0.25, 0.5, 0.75], ["column"], ["q1", "median", "q3"])
     return q.select("column", "median", (F.col("q3") - F.col("q1")).alias("iqr"))
 
 
