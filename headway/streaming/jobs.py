@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from headway.operators.windows import latest_per
-from headway.sinks.tables import current, insert_new, merge_rows, write_version
+from headway.sinks.tables import current, insert_new, upsert, write_version
 
 ONCE = {"availableNow": True}
 
@@ -109,17 +109,21 @@ def sliding_trend(stream: DataFrame, keys: Sequence[str], ts: str, x: str, lengt
 
 
 def live_regions(stream: DataFrame, region: str, ts: str, x: str, root: str, checkpoint: str, length="2 hours", step="30 minutes", watermark="10 minutes", trigger=None):
-    """Sliding region status, each window kept up to date in a versioned table."""
+    """Sliding region status, each window kept up to date in a table by (window, region)."""
     d = (
         instant(stream, ts).withWatermark(ts, watermark).groupBy(F.window(ts, length, step).alias("w"), region)
         .agg(F.avg(x).alias("avg_delay_seconds"), F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").cast("timestamp_ntz").alias("start"), region, "avg_delay_seconds", "n")
     )
 
-    def combine(have, batch):
-        return batch if have is None else merge_rows(have, batch, ["start", region])
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()
+        try:
+            upsert(rows, root, ["start", region])
+        finally:
+            rows.unpersist()
 
-    return each_batch(d, _versioned_merge(root, combine), checkpoint, "update", trigger)
+    return each_batch(d, run, checkpoint, "update", trigger)
 
 
 def closed_hours(stream: DataFrame, ts: str, cols: Sequence[str], watermark="0 seconds") -> DataFrame:
