@@ -70,14 +70,20 @@ def fill_across(df, row: Sequence[str], col_order: str, x: str, default=0.0) ->
     return df.withColumn(x, F.coalesce(F.last(x, True).over(w), F.lit(default)))
 
 
-def regular_grid(df, keys: Sequence[str], ts: str, step_seconds: int, x: str) -> DataFrame:
+def regular_grid(df, keys: Sequence[str], ts: str, step_seconds: int, x: str, span: tuple[str, str] | None = None) -> DataFrame:
     """Mean of ``x`` per (key, time step) on every step between the first and last of all keys.
 
+    With ``span``, two times, only rows inside it count and the steps are those between them, so that no
+    wrong clock stretches the grid.
+
     Adds ``observed``; missing steps have null ``x``. The number of steps is bounded by the
     calendar, the expansion grows with keys x steps.
     """
     from headway.functions.clock import floor_to
 
+    if span:
+        lo, hi = (F.lit(s).cast("timestamp_ntz") for s in span)
+        df = df.where(F.col(ts).between(lo, hi))
     cells = df.groupBy(*keys, floor_to(ts, step_seconds).alias(ts)).agg(F.avg(x).alias(x))
     bounds = df.agg(
         F.struct(
@@ -85,6 +91,8 @@ def regular_grid(df, keys: Sequence[str], ts: str, step_seconds: int, x: str) ->
             F.max(floor_to(ts, step_seconds)).alias("hi"),
         )
     ).scalar()
+    if span:
+        bounds = F.struct(floor_to(lo, step_seconds).alias("lo"), floor_to(hi, step_seconds).alias("hi"))
     step = F.expr(f"INTERVAL {int(step_seconds)} SECOND")
     frame = (
         df.select(*keys).distinct()

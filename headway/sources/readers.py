@@ -160,9 +160,14 @@ def read_regions(spark: SparkSession, csv: str, geojson: str, name_col: str = "n
 
 def scan(
     source: SparkSession, name: str, route_ids=None, start_date=None, end_date=None,
-    columns: Sequence[str] | None = None, route="route_id", date="start_date", fmt: str | None = None, **options,
+    columns: Sequence[str] | None = None, route="route_id", date="start_date", fmt: str | None = None,
+    parse_dates: Sequence[str] = (), date_format: str | None = None, zone: str | None = None, **options,
 ) -> DataFrame:
-    """A stored table or path with route, date and column selection pushed to the scan."""
+    """A stored table or path with route, date and column selection pushed to the scan.
+
+    Columns of ``parse_dates`` become timestamps, null where their text is none; with ``zone`` they are
+    taken as UTC and given in that zone's local time. Both happen after the selection, on the result.
+    """
     from headway.operators.filters import route_since
 
     if fmt:
@@ -172,4 +177,12 @@ def scan(
     else:
         df = source.table(name)
     df = route_since(df, route_ids, start_date, end_date, route, date)
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+
+    def parsed(x):
+        v = F.col(x).cast("string")
+        at = F.try_to_timestamp(v, F.lit(date_format)) if date_format else v.try_cast("timestamp_ntz")
+        at = at.cast("timestamp_ntz")
+        return F.convert_timezone(F.lit("UTC"), F.lit(zone), at) if zone else at
+
+    return df.withColumns({x: parsed(x) for x in parse_dates if x in df.columns})

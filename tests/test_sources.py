@@ -110,3 +110,18 @@ def test_read_all_merges(spark, tmp_path):
     spark.range(3).select(F.col("id"), F.lit("x").alias("more"), F.lit(20250102).alias("start_date")).write.parquet(str(tmp_path / "d" / "b"))
     d = rd.read_all(spark, str(tmp_path / "d" / "*"))
     assert d.count() == 5 and dict(d.dtypes)["start_date"] == "string" and "more" in d.columns
+
+
+def test_scan_parses_dates_and_converts_zones(spark, tmp_path):
+    rows = [("a", "2024-07-01 12:30:00", 1), ("b", "no date", 2), ("c", None, 3)]
+    spark.createDataFrame(rows, "route_id string, seen string, n int").write.parquet(f"{tmp_path}/t")
+    got = rd.scan(spark, f"{tmp_path}/t", columns=["route_id", "seen"], parse_dates=["seen"], zone="America/Vancouver")
+    assert [str(r.seen) for r in got.orderBy("route_id").collect()] == ["2024-07-01 05:30:00", "None", "None"]
+
+
+def test_grid_span_bounds_every_key(spark):
+    from headway.operators.fills import regular_grid
+
+    rows = spark.sql("SELECT * FROM VALUES (1, timestamp_ntz'2024-01-01 10:05:00', 2.0), (1, timestamp_ntz'1970-01-01 00:00:00', 9.0), (2, timestamp_ntz'2024-01-01 10:50:00', 4.0) AS t(k, ts, x)")
+    got = regular_grid(rows, ["k"], "ts", 900, "x", ("2024-01-01 10:00:00", "2024-01-01 11:00:00"))
+    assert got.count() == 10 and got.where("observed").count() == 2
