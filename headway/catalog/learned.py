@@ -80,7 +80,7 @@ def _(t):
 
 @query("m06_per_stop")
 def _(t):
-    _m, scored = le.per_stop(past(t), "gradient_boosting", maxIter=3)
+    _m, scored = le.per_stop(past(t, features=("price", "pred")), "gradient_boosting", maxIter=10, maxDepth=5)
     return me.metrics_by_step(scored, "position", "y", "prediction")
 
 

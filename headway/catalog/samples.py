@@ -55,9 +55,9 @@ def _(t):
                     F.col("first_price").alias("start_price"), F.get(F.get("x", F.lit(3)), F.lit(0)).alias("x_last"), F.get("y", F.lit(1)).alias("y_last"))
 
 
-def past(t, n=3):
+def past(t, n=3, features=()):
     d = t.upd.withColumn("route", F.col("trip_id") % 40)
-    return sq.past_trips(d, "route", "trip_id", "feed_time", "stop_sequence", "delay", n)
+    return sq.past_trips(d, "route", "trip_id", "feed_time", "stop_sequence", "delay", n, features=features)
 
 
 PAST = """, c AS (SELECT trip_id % 40 AS route, trip_id, stop_sequence, arg_min(delay, (feed_time, delay)) AS v, min(feed_time) AS t FROM upd GROUP BY 1, 2, 3),
@@ -70,11 +70,13 @@ p AS (SELECT route, trip_id, s AS own, count(*) OVER w AS have, sum(s) OVER w AS
 
 
 @query("qs5_past_trips", "upd", PAST + """ SELECT route, trip_id, round(s / n + 1e-9, 6) AS past_mean, round(sqrt(greatest(ss / n - (s / n) * (s / n), 0)) + 1e-9, 4) AS past_std, round(near - far + 1e-9, 6) AS past_trend,
-round(mx + 1e-9, 6) AS past_max, round(own + 1e-9, 6) AS target_sum FROM p WHERE have = 3""")
+round(mx + 1e-9, 6) AS past_max, round(own + 1e-9, 6) AS target_sum, tf.price AS target_price, coalesce(tf.gap, 0) AS target_gap FROM p
+JOIN (SELECT trip_id % 40 AS route, trip_id, arg_min(price, (feed_time, stop_sequence, price)) AS price, arg_min(pred, (feed_time, stop_sequence, pred)) FILTER (WHERE pred > 0) AS gap FROM upd GROUP BY 1, 2) tf USING (route, trip_id) WHERE have = 3""")
 def _(t):
-    d = past(t)
+    d = t.upd.withColumns({"route": F.col("trip_id") % 40, "gap": F.when(F.col("pred") > 0, F.col("pred"))})
+    d = sq.past_trips(d, "route", "trip_id", "feed_time", "stop_sequence", "delay", 3, features=["price", "gap"])
     own = F.aggregate("target", F.lit(0.0), lambda a, v: a + v)
-    d = d.select("route", "trip_id", "past_mean", F.round(F.col("past_std") + 1e-9, 4).alias("past_std"), "past_trend", "past_max", own.alias("target_sum"))
+    d = d.select("route", "trip_id", "past_mean", F.round(F.col("past_std") + 1e-9, 4).alias("past_std"), "past_trend", "past_max", own.alias("target_sum"), F.get("features", F.lit(0)).alias("target_price"), F.get("features", F.lit(1)).alias("target_gap"))
     return rounded(d, "past_mean", "past_trend", "past_max", "target_sum")
 
 

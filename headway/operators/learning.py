@@ -228,12 +228,18 @@ def load(path: str) -> PipelineModel:
 def per_stop(samples: DataFrame, kind: str = "gradient_boosting", past: str = "past", target: str = "target", **params):
     """One model for all stop positions in long form: the position is a feature.
 
-    Features per row: the position, the past delays at it, and the four summaries of the sample.
+    Features per row: the position, all past delays, those at the position once more, the target trip's
+    features where the samples have them, and the four summaries of the sample. The samples' arrays have one shape, which
+    is read from the first of them.
     """
-    n = samples.select(F.size(past)).first()[0]
+    has = "features" in samples.columns
+    shape = samples.select(F.size(past), F.size(F.get(past, F.lit(0))), F.size("features") if has else F.lit(0)).first() or (0, 0, 0)
+    n = shape[0]
     long = samples.select("*", F.posexplode(target).alias("position", "y"))
     at = {f"past_{i}": F.get(F.get(past, F.lit(i)), F.col("position")) for i in range(n)}
-    long = long.withColumns(at).withColumn("position", F.col("position").cast("double"))
+    at |= {f"past_{i}_{j}": F.get(F.get(past, F.lit(i)), F.lit(j)) for i in range(n) for j in range(shape[1])}
+    at |= {f"target_{k}": F.get("features", F.lit(k)) for k in range(shape[2])}
+    long = long.withColumns(at).drop("features").withColumn("position", F.col("position").cast("double"))
     cols = ["position", *at, "past_mean", "past_std", "past_trend", "past_max"]
     model = fit(kind, long, cols, "y", **params)
     return model, predict(model, long.withColumn(LABEL, F.col("y")))

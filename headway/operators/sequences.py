@@ -99,7 +99,7 @@ def trip_vectors(df, route_key: str, trip_key: str, ts: str, seq: str, delay: st
 
 def mean_of(arr) -> Column:
     a = F.col(arr) if isinstance(arr, str) else arr
-    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
+    return F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, v: s + v), F.size(a))
 
 
 def std_of(arr) -> Column:
@@ -109,22 +109,27 @@ def std_of(arr) -> Column:
     return F.sqrt(F.aggregate(F.transform(a, lambda v: v * v), F.lit(0.0), lambda s, v: s + v) / F.size(a) - m * m)
 
 
-def past_trips(df, route_key, trip_key, ts, seq, delay, n: int = 5, stops=None, slices=None) -> DataFrame:
+def past_trips(df, route_key, trip_key, ts, seq, delay, n: int = 5, stops=None, slices=None, features: Sequence[str] = ()) -> DataFrame:
     """Delays of the past ``n`` trips of the same route as a matrix, with the target trip's.
 
     Adds mean, population deviation, trend (mean of the latest minus mean of the earliest trip)
-    and maximum of the matrix. Trips with fewer than ``n`` predecessors give no row.
+    and maximum of the matrix. Trips with fewer than ``n`` predecessors give no row. ``features`` are
+    columns of the target trip: the array ``features`` has of each the first value that is not null,
+    or 0.
     """
     vec = trip_vectors(df, route_key, trip_key, ts, seq, delay, stops)
     cuts = slices or daily("first_time")
     fn = {"past": lambda w: F.collect_list("delays").over(w.rowsBetween(-n, -1))}
     out = rowwise(vec, [route_key], [F.col("first_time"), F.col(trip_key)], cuts, fn, back=n)
     out = out.where(F.size("past") == n).withColumn("_flat", F.flatten("past"))
-    mean = F.aggregate("_flat", F.lit(0.0), lambda s, v: s + v) / F.size("_flat")
+    mean = F.try_divide(F.aggregate("_flat", F.lit(0.0), lambda s, v: s + v), F.size("_flat"))
     out = out.withColumn("past_mean", mean)
-    spread = F.aggregate(
-        F.transform("_flat", lambda v: F.pow(v - F.col("past_mean"), 2)), F.lit(0.0), lambda s, v: s + v
-    ) / F.size("_flat")
+    squares = F.transform("_flat", lambda v: F.pow(v - F.col("past_mean"), 2))
+    spread = F.try_divide(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v), F.size("_flat"))
+    if features:
+        firsts = [F.min(F.when(F.col(x).isNotNull(), F.struct(ts, seq, F.col(x).cast("double").alias("v"))))["v"] for x in features]
+        own = df.groupBy(route_key, trip_key).agg(F.array(*[F.coalesce(v, F.lit(0.0)) for v in firsts]).alias("features"))
+        out = out.join(own, [route_key, trip_key], "left")
     return (
         out.withColumn("past_std", F.sqrt(spread))
         .withColumn("past_trend", mean_of(F.get("past", F.lit(n - 1))) - mean_of(F.get("past", F.lit(0))))
