@@ -20,6 +20,8 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from headway.llm.common import SortedHashes, annotate, col, mix, thinned
@@ -32,6 +34,7 @@ PIECE = 1 << 20
 SYMBOL_VARIANCE = 4.0
 STEP = np.uint64(0x100000001B3)
 UNKNOWN = "und"
+_NO_LETTER = regex.compile(r"\P{L}+")
 ADDED = "lang_pred string, score double, entropy double, rejected boolean"
 
 
@@ -54,16 +57,20 @@ def sample_rows(df: DataFrame, text: str, lang: str, key: str, per_lang: int, us
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
-    """Counts of the order-4 character n-grams of each language."""
-    letters = F.trim(F.regexp_replace(F.lower("text"), r"\P{L}+", " "))
-    padded = F.concat(F.lit(" " * (ORDER - 1)), letters, F.lit(" "))
-    return (
-        rows.where(F.length(letters) > 0)
-        .select("lang", padded.alias("t"))
-        .select("lang", "t", F.explode(F.sequence(F.lit(1), F.length("t") - (ORDER - 1))).alias("i"))
-        .groupBy("lang", F.expr(f"substring(t, i, {ORDER})").alias("gram"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Counts of the order-4 character n-grams of each language; a task sends each n-gram once a batch."""
+
+    def count(batches):
+        for pdf in batches:
+            found: dict[tuple[str, str], int] = {}
+            for lang, text in zip(pdf["lang"], pdf["text"]):
+                letters = " ".join(_NO_LETTER.sub(" ", text.lower()).split())
+                t = " " * (ORDER - 1) + letters + " "
+                for i in range(len(t) - ORDER + 1 if letters else 0):
+                    k = lang, t[i : i + ORDER]
+                    found[k] = found.get(k, 0) + 1
+            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "gram", "n"])
+
+    return rows.select("lang", "text").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def gram_hashes(codes: np.ndarray) -> np.ndarray:
