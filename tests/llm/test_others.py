@@ -2,9 +2,11 @@
 
 import math
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -95,6 +97,21 @@ def test_search_is_exact(spark, odd, words, shard_docs, monkeypatch):
     assert search.search(search.build_index(df.limit(0), "text", "doc_id"), df, "text", "doc_id").count() == 0
 
 
+@pytest.mark.parametrize("idf", [0.1 + 0.0137 * i for i in range(10)])
+def test_search_ties_go_to_the_smaller_key_across_shards(idf):
+    schema = pa.schema([("keys", pa.list_(pa.int64())), *[(x, pa.binary()) for x in ("lengths", "terms", "starts", "docs", "counts")], ("width", pa.int32())])
+    shards = []
+    for top in range(50, 0, -10):  # 50 equal texts, ids descending from shard to shard
+        b = search.Builder()
+        b.add(list(range(top, top - 10, -1)), ["equal words"] * 10)
+        shards.append(pa.RecordBatch.from_pylist([b.row()], schema))
+    wanted = np.unique(np.array([search._hash(b"equal"), search._hash(b"words")], np.uint64))
+    shared = SimpleNamespace(value=([7], [np.arange(2)], wanted, np.array([idf, idf / 3]), 2.0))
+    (out,) = search._searcher(shared, 10)(iter(shards))
+    assert out.column(1).to_pylist() == list(range(1, 11))
+
+
+
 # ---------------------------------------------------------------- quality
 
 
