@@ -112,6 +112,17 @@ def test_search_ties_go_to_the_smaller_key_across_shards(idf):
 
 
 
+def test_queries_with_the_same_terms_are_searched_once_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_TERMS", 100)
+    texts = [np.arange(i, i + 10, dtype=np.uint64).tobytes() for i in range(40)]
+    coded = spark.createDataFrame([(i, bytearray(t), 10) for i, t in enumerate(texts + texts[:1] * 300)], "query_id long, terms binary, n long")
+    sets, blocks = search.term_sets(coded.repartition(3))
+    rows = sets.collect()
+    assert len(rows) == len({bytes(r["terms"]) for r in rows}) == len({r["set_id"] for r in rows}) == 40
+    sizes = Counter(r["block"] for r in rows)
+    assert blocks == 4 and sorted(sizes) == [0, 1, 2, 3] and max(sizes.values()) <= 10
+
+
 # ---------------------------------------------------------------- quality
 
 
