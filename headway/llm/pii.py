@@ -38,14 +38,28 @@ from headway.llm.common import col, others
 ROUNDS = 8
 KINDS = ("email", "secret", "iban", "card", "ssn", "phone", "ip", "date")
 EDGE_L, EDGE_R = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+# Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _grouped(n: int, countries: str) -> str:
+    """An IBAN of n characters in groups of four: words that follow it stay outside."""
+    rest = f" [A-Z0-9]{{{n % 4}}}" if n % 4 else ""
+    return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}{rest}"
+
+
 #: The value must match the whole pattern; the first kind that fits counts.
 SHAPES = {
     "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "secret": r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})",
-    "iban": r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)",
-    "card": r"(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})",
+    "iban": r"(?:" + "|".join(_grouped(n, c) for n, c in IBAN_LENGTHS.items()) + r"|[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?))",
+    "card": r"(?:\d{13,19}|\d{4}([ -])(?:\d{4}\1\d{4}\1\d{4}|\d{6}\1\d{5}))",
     "ssn": r"\d{3}-\d{2}-\d{4}",
-    "phone": r"(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+\d{8,15})",
+    "phone": r"(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+\d{8,15})",
     "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
     "date": r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})",
 }
@@ -204,7 +218,7 @@ def _ssn(v, key):
 
 
 #: Country code, gap, area, gap, exchange, gap, line.
-_TEN = r"^(.*?)(\d{3})(\) ?|[-.])(\d{3})([-.])(\d{4})$"
+_TEN = r"^((?:\+\d{1,3}[ .-]?)?\(?)(\d{3})(\) ?|[-. ])(\d{3})([-. ])(\d{4})$"
 
 
 def _phone(v, key):

@@ -150,3 +150,15 @@ def test_odd_rows(spark, odd):
 def test_no_python_in_the_plan(spark, odd):
     plan = pii.pseudonymise(odd, "text", KEY)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_spaced_phones_grouped_cards_and_ibans_before_words(spark):
+    plain = {
+        "phone": ["415 555 0132", "(415) 555 0132", "+1 (415) 555 0132", "+1 415 555 0132"],
+        "card": ["3782 822463 10005", "3782-822463-10005"],
+        "iban": ["ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00", "AT61 1904 3002 3457 3201"],
+    }
+    rows = [(kind, v, f"pay {v}{tail}") for kind, vs in plain.items() for v in vs for tail in ("", " 250 EUR", " ABCD 12")]
+    df = spark.createDataFrame(rows, "kind string, v string, text string")
+    for r in pii.pseudonymise(df, "text", "k").collect():
+        assert r[f"n_{r['kind']}"] == 1 and r["v"] not in r["text"], r
