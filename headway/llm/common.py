@@ -79,7 +79,7 @@ def annotate(
         for batch in batches:
             first = batch.column(n_kept)
             size = np.zeros(len(first))
-            if pa.types.is_string(first.type):
+            if pa.types.is_string(first.type) or pa.types.is_binary(first.type):
                 size = pc.fill_null(pc.binary_length(first), 0).to_numpy(zero_copy_only=False)
             for a, b in chunks(size, CHUNK_BYTES):
                 out = fn(*[batch.column(n_kept + i).slice(a, b - a).to_pylist() for i in range(len(inputs))])

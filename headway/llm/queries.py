@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headway.llm import decontam, langid, licenses, mixing, pii, quality, search, simhash, tokens, urls
+from headway.llm import decontam, fim, langid, licenses, mixing, pii, quality, search, simhash, tokens, urls
 from headway.llm.common import held_out, table
 from headway.sinks.tables import stage
 
@@ -142,3 +142,25 @@ def op10_license_scan(spark, folder):
     docs = table(spark, folder, "documents")
     found = licenses.scan(docs, "text", licenses.train(docs, "text", "doc_id"), ["doc_id"])
     return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_windows", "confidence", "n_unconfirmed")
+
+
+@query(
+    "op12_fill_in_middle",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+        sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+    k AS (SELECT *, CAST(len(u) AS BIGINT) AS n, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS x FROM d),
+    f AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 100 THEN 'plain'
+            WHEN x[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k),
+    p AS (SELECT *, array_to_string(u[:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM f)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+            ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+)
+def op12_fill_in_middle(spark, folder):
+    out = fim.restored(fim.fill_in_middle(table(spark, folder, "documents"), "text", "doc_id", keep=["doc_id"]))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
