@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headway.llm import decontam, fim, langid, licenses, mixing, pii, quality, search, simhash, tokens, urls
+from headway.llm import decontam, fim, langid, licenses, mixing, pii, quality, search, simhash, tokens, urls, warc
 from headway.llm.common import held_out, table
+from headway.session import scratch_path
 from headway.sinks.tables import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +165,25 @@ def op12_fill_in_middle(spark, folder):
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
         F.sha2("restored", 256).alias("restored_sha256"),
     )
+
+
+@query(
+    "op13_warc",
+    r"""
+    WITH p AS (SELECT row_number() OVER () AS r, page_id, coalesce(html, '') AS t FROM pages),
+    q AS (SELECT *, sha1(t) AS h, row_number() OVER w AS k, first_value(page_id) OVER w AS f FROM p WINDOW w AS (PARTITION BY t ORDER BY page_id NULLS LAST, r)),
+    d AS (SELECT *, [CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT) FOR i IN range(8)] AS v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS a FROM q)
+    SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
+        array_to_string([substr(a, CAST(x >> 15 AS BIGINT) + 1, 1) || substr(a, ((x >> 10) & 31) + 1, 1) || substr(a, ((x >> 5) & 31) + 1, 1)
+            || substr(a, (x & 31) + 1, 1) FOR x IN v], '') AS payload_digest,
+        CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN f END AS refers_to FROM d""",
+)
+def op13_warc(spark, folder):
+    root = scratch_path(spark, "archives")
+    warc.write_arc(table(spark, folder, "pages"), f"{root}/arc", "url", "html", "page_id", "20240101000000")
+    warc.convert(spark, f"{root}/arc", f"{root}/warc")
+    found = warc.read_warc(spark, f"{root}/warc").where("type <> 'warcinfo'")
+    return found.select(
+        F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        F.col("refers_to_key").cast("long").alias("refers_to"),
+    )
