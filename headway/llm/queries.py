@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headway.llm import decontam, fim, langid, licenses, mixing, pii, quality, search, simhash, tokens, urls, warc
+from headway.llm import decontam, fim, langid, licenses, mixing, pii, quality, search, simhash, tokens, trie, urls, warc
 from headway.llm.common import held_out, table
 from headway.session import scratch_path
 from headway.sinks.tables import stage
@@ -145,6 +145,39 @@ def op10_license_scan(spark, folder):
     return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_windows", "confidence", "n_unconfirmed")
 
 
+@query(
+    "op11_prefix_trie",
+    r"""
+    WITH RECURSIVE own AS (
+        SELECT conv_id AS c, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text)) AS l
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY 1),
+    crc AS (
+        SELECT c, 0 AS i, CAST(4294967295 AS BIGINT) AS x FROM own
+        UNION ALL SELECT c, i + 1, list_reduce(range(8), lambda a, b: xor(a >> 1, 3988292384 * (a & 1)), xor(x, CAST(ascii(substr(CAST(c AS VARCHAR), i + 1, 1)) AS BIGINT)))
+        FROM crc WHERE i < len(CAST(c AS VARCHAR))),
+    h AS (SELECT c, xor(x, CAST(4294967295 AS BIGINT)) % 9 AS h FROM crc WHERE i = len(CAST(c AS VARCHAR))),
+    r AS (SELECT o.c, list_concat(coalesce(b.l, [])[:h], o.l[h + 1:]) AS s FROM own o JOIN h ON h.c = o.c LEFT JOIN own b ON b.c = o.c - o.c % 5),
+    pos AS (SELECT c, len(s) AS n, d, s[:d] AS k FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM r)),
+    node AS (
+        SELECT k, d, min(c) AS c, count(*) AS n, CASE WHEN d = 0 THEN 0 ELSE strlen(any_value(k[d].text)) END AS w,
+            sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS e FROM pos GROUP BY k, d),
+    kids AS (SELECT k[:d - 1] AS k, count(*) AS kids FROM node WHERE d > 0 GROUP BY 1),
+    full_node AS (SELECT node.*, coalesce(kids, 0) AS kids FROM node LEFT JOIN kids ON kids.k = node.k),
+    sub AS (SELECT k[:x] AS k, count(*) FILTER (kids = 0) AS leaves, sum((n - 1) * w) AS saved FROM (SELECT *, unnest(range(d + 1)) AS x FROM full_node) GROUP BY 1)
+    SELECT a.c AS conv_id, CAST(a.d AS BIGINT) AS depth, p.c AS parent_conv_id, a.n AS n_convs, a.kids AS n_children, leaves AS n_leaves,
+        CAST(saved AS BIGINT) AS saved_tokens, a.e AS ends_sha256
+    FROM full_node a JOIN sub ON sub.k = a.k LEFT JOIN node p ON p.d = a.d - 1 AND p.k = a.k[:a.d - 1]""",
+)
+def op11_prefix_trie(spark, folder):
+    own = trie.sequences(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text")
+    base = own.where("conv_id % 5 = 0").select(F.col("conv_id").alias("base"), F.slice("turns", 1, 8).alias("begin"))
+    h = (F.crc32(F.col("conv_id").cast("string")) % 9).cast("int")
+    both = own.withColumn("base", F.expr("conv_id - conv_id % 5")).join(base, "base", "left").withColumn("h", h)
+    begin = F.coalesce(F.slice("begin", F.lit(1), F.col("h")), F.slice("turns", 1, 0))
+    rebuilt = F.concat(begin, F.slice("turns", F.col("h") + 1, F.size("turns")))
+    return trie.prefix_nodes(both.select("conv_id", rebuilt.alias("turns")))
+
+
 @query(
     "op12_fill_in_middle",
     r"""
