@@ -52,9 +52,10 @@ def _grouped(n: int, countries: str) -> str:
     return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}{rest}"
 
 
-#: The value must match the whole pattern; the first kind that fits counts.
+#: The value must match the whole pattern; the first kind that fits counts. Groups without an upper bound repeat possessively: the matcher
+#: walks them in a loop, where it would otherwise take a stack frame for each repetition.
 SHAPES = {
-    "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "secret": r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})",
     "iban": r"(?:" + "|".join(_grouped(n, c) for n, c in IBAN_LENGTHS.items()) + r"|[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?))",
     "card": r"(?:\d{13,19}|\d{4}([ -])(?:\d{4}\1\d{4}\1\d{4}|\d{6}\1\d{5}))",

@@ -162,3 +162,14 @@ def test_spaced_phones_grouped_cards_and_ibans_before_words(spark):
     df = spark.createDataFrame(rows, "kind string, v string, text string")
     for r in pii.pseudonymise(df, "text", "k").collect():
         assert r[f"n_{r['kind']}"] == 1 and r["v"] not in r["text"], r
+
+
+def test_very_long_repetitions(spark):
+    """Each repeated part of a pattern, 100,000 times over: no overflow of the matcher's stack, and values beside it are found."""
+    n = 100_000
+    runs = ["a@" + "b." * n + "com", "a." * n + "x@b.com", "a@" + "b-" * n + "c", "1" * n, "+1" + " 23" * n, "+" * n, " " * n, "-" * n, "1." * n, "1-" * n,
+            "0a" * n, "DE12" + " ABCD" * n, "(415) " * n, "@." * n, "a@b." * n, "12/12/" * n]
+    rows = spark.createDataFrame([(i, f"x@y.org {r} 4111 1111 1111 1111") for i, r in enumerate(runs)], "doc_id long, text string")
+    for r in pii.pseudonymise(rows, "text", KEY).collect():
+        assert r["n_email"] >= 1 and not r["text"].startswith("x@y.org "), runs[r["doc_id"]][:9]
+        assert not r["text"].endswith("4111 1111 1111 1111") or runs[r["doc_id"]][0] in "1+", runs[r["doc_id"]][:9]
