@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -75,6 +78,12 @@ def annotate(
     n_kept = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from computed(batches)
+        finally:
+            give_back()
+
+    def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
             first = batch.column(n_kept)
@@ -90,6 +99,14 @@ def annotate(
     return sent.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return a finished task's memory to the system: Spark keeps its Python process for later tasks and other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it has
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges whose sizes sum to at most ``limit``, one row at least."""
     start, total = 0, 0
