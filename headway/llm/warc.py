@@ -281,10 +281,10 @@ def parse_files(spark: SparkSession, path: str, parse: Callable[[Iterator[bytes]
 
 
 def write_text(df: DataFrame, path: str, separator: str) -> None:
-    """The frame's one binary column, record by record, as one gzip file a task."""
+    """The frame's one binary column, record by record, as one gzip file a task; fast compression, a little larger files."""
     name = df.columns[0]
-    out = df.select(F.col(name).cast("string").alias("value"))
-    out.write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", 0).text(path)
+    writer = df.select(F.col(name).cast("string").alias("value")).write.option("lineSep", separator).option("maxRecordsPerFile", 0)
+    writer.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def write_arc(df: DataFrame, path: str, url: str, payload: str, key: str, captured: str, name: str = "pages", version: int | None = None) -> None:
