@@ -37,7 +37,7 @@ def _(t):
 def _(t):
     root, check = paths(t, "latest-stream")
     drained(st.latest_updates(stream(t), ["stop_id", "route_id"], ["ts", "obs_id"], root, check, "ts", "72 hours"))
-    return current(t.spark, root).select("obs_id", "stop_id", "route_id", "delay")
+    return st.live(t.spark, root, "ts", "72 hours").select("obs_id", "stop_id", "route_id", "delay")
 
 
 @query("r03_new_dimension_rows", "obs", "SELECT DISTINCT stop_id, route_id FROM obs")

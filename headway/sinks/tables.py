@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from headway.functions.clock import epoch
 from headway.functions.numbers import row_id
 from headway.operators.joins import new_rows
+from headway.sinks import keyed
 from headway.sources.readers import exists
 
 
@@ -43,8 +44,8 @@ def merge_rows(target: DataFrame, df: DataFrame, keys: Sequence[str]) -> DataFra
     return target.join(df.select(*keys), list(keys), "left_anti").unionByName(df)
 
 
-#: Key parts of a table that is maintained by key, and whole versions kept for readers of older ones.
-PARTS, KEEP = 32, 3
+#: Whole versions kept for readers of older ones.
+KEEP = 3
 
 
 def _glob(spark: SparkSession, pattern: str) -> list:
@@ -56,26 +57,11 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(p.getParent().getName().split("=")[1]) for p in _glob(spark, f"{root}/v=*/_SUCCESS"))
 
 
-def _newest(spark: SparkSession, root: str) -> tuple[int | None, dict[int, int]]:
-    """The newest complete version that holds the whole table, and of each key part the newest later one."""
-    done, parts = _versions(spark, root), {}
-    for p in _glob(spark, f"{root}/v=*/_part=*"):
-        v, k = int(p.getParent().getName().split("=")[1]), int(p.getName().split("=")[1])
-        if v in done:
-            parts.setdefault(k, []).append(v)
-    split = {v for vs in parts.values() for v in vs}
-    whole = max((v for v in done if v not in split), default=None)
-    return whole, {k: max(vs) for k, vs in parts.items() if whole is None or max(vs) > whole}
-
-
 def _retire(spark: SparkSession, root: str) -> None:
-    """Remove versions that hold nothing current and are not among the last few."""
-    whole, parts = _newest(spark, root)
-    used = {whole, *parts.values()}
+    """Remove all whole versions but the last few."""
     for v in _versions(spark, root)[:-KEEP]:
-        if v not in used:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v={v}")
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v={v}")
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -91,52 +77,33 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _read_parts(spark: SparkSession, root: str, only: Sequence[int] | None = None) -> DataFrame | None:
-    _, parts = _newest(spark, root)
-    paths = [f"{root}/v={v}/_part={k}" for k, v in sorted(parts.items()) if only is None or k in only]
-    return spark.read.parquet(*paths) if paths else None
-
-
 def current(spark: SparkSession, root: str) -> DataFrame | None:
     """The newest complete state of a versioned table."""
-    whole, parts = _newest(spark, root)
-    if parts:
-        return _read_parts(spark, root)
-    return None if whole is None else spark.read.parquet(f"{root}/v={whole}")
+    whole, parts = (_versions(spark, root) or [0])[-1], keyed.newest(spark, root)
+    if parts and parts["n"] > whole:
+        return keyed.read(spark, root, parts)
+    return spark.read.parquet(f"{root}/v={whole}") if whole else None
 
 
 def write_version(df: DataFrame, root: str) -> int:
     """The whole table as a new version; older versions go, but for the last few."""
     spark = df.sparkSession
-    n = (_versions(spark, root) or [0])[-1] + 1
+    n = max((_versions(spark, root) or [0])[-1], (keyed.newest(spark, root) or {"n": 0})["n"]) + 1
     df.write.mode("overwrite").parquet(f"{root}/v={n}")
     _retire(spark, root)
     return n
 
 
-def upsert(df: DataFrame, root: str, keys: Sequence[str]) -> int:
+def upsert(df: DataFrame, root: str, keys: Sequence[str], batch: tuple[str, int] | None = None) -> int:
     """Insert or replace by key; returns the version's number.
 
-    The table lies in parts by a hash of the key. A version holds only the parts that have a key of
-    ``df``; the others stay in the versions before. ``df`` must give the same rows when read again, and keys
-    keep their types.
+    The rows are written as a change; parts of the table take their changes in once those make up a
+    quarter of them (:mod:`headway.sinks.keyed`). ``batch`` names the writer and numbers its batches: a number that the
+    table has seen adds nothing. Keys are unique in ``df`` and keep their types.
     """
     spark = df.sparkSession
-    n = (_versions(spark, root) or [0])[-1] + 1
-    part = F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
-    whole, parts = _newest(spark, root)
-    touched = [r[0] for r in df.select(part.alias("p")).distinct().collect()]
-    if not touched:
-        return n - 1
-    rows = df
-    if whole is not None and not parts:  # a table written whole is cut into parts once
-        rows = merge_rows(spark.read.parquet(f"{root}/v={whole}"), df, keys)
-    elif parts:
-        have = _read_parts(spark, root, touched)
-        rows = df if have is None else merge_rows(have, df, keys)
-    rows.withColumn("_part", part).repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(f"{root}/v={n}")
-    _retire(spark, root)
-    return n
+    whole = (_versions(spark, root) or [0])[-1]
+    return keyed.upsert(df, root, keys, whole, batch)
 
 
 def append_new_timestamps(df: DataFrame, path: str, ts: str) -> None:

@@ -54,26 +54,6 @@ def test_versions_survive_a_failed_refresh(spark, tmp_path):
     assert spark.read.parquet(log).count() == 2
 
 
-def test_upsert_replaces_and_keeps(spark, tmp_path):
-    root = str(tmp_path / "u")
-    tb.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), root, ["k"])
-    tb.upsert(spark.createDataFrame([(2, "z"), (3, "c")], "k int, v string"), root, ["k"])
-    assert sorted(map(tuple, tb.current(spark, root).collect())) == [(1, "a"), (2, "z"), (3, "c")]
-    many = spark.range(500).selectExpr("cast(id as int) AS k", "'m' AS v")
-    tb.upsert(many, root, ["k"])
-    files = {p for p in map(str, __import__("pathlib").Path(root).rglob("*.parquet"))}
-    for i in range(5):
-        tb.upsert(spark.createDataFrame([(7, str(i))], "k int, v string"), root, ["k"])
-    left = {p for p in map(str, __import__("pathlib").Path(root).rglob("*.parquet"))}
-    part = next(p.split("/_part=")[1].split("/")[0] for p in left - files)
-    assert {p for p in files & left if "/v=3/" in p} == {p for p in files if "/v=3/" in p}
-    assert all(f"/_part={part}/" in p for p in left - files) and len({p.split("/v=")[1].split("/")[0] for p in left - files}) == tb.KEEP
-    got = dict(map(tuple, tb.current(spark, root).collect()))
-    assert len(got) == 500 and got[7] == "4" and got[8] == "m"
-    tb.write_version(many.limit(2), root)
-    assert tb.current(spark, root).count() == 2
-
-
 @pytest.fixture(scope="module")
 def obs(spark):
     rng = random.Random(2)
