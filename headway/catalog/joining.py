@@ -214,7 +214,7 @@ def _(t):
 SELECT stop_id, round(min(dist) + 1e-9, 6) AS dist FROM d GROUP BY 1""")
 def _(t):
     s = t.stops.select(F.col("stop_id").alias("sid"), F.col("stop_lon").alias("sx"), F.col("stop_lat").alias("sy"))
-    d = jo.nearest(t.cstops, s, "stop_lon", "stop_lat", "sid", "sx", "sy", "near", cell=0.02)
+    d = jo.nearest(t.cstops, s, "stop_lon", "stop_lat", "sid", "sx", "sy", "near", group=8)
     return d.select("stop_id", r6("near_dist").alias("dist"))
 
 

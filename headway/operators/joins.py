@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from headway.functions.clock import c, hour_start, micros
+from headway.operators.nearest import GROUP, nearest_sites
 
 
 def stop_updates_flat(t: dict[str, DataFrame]) -> DataFrame:
@@ -166,8 +167,8 @@ def exists_flag(df, other, keys: Sequence[str], name: str) -> DataFrame:
 
 def latest_batch(df, keys: Sequence[str], created_at: str) -> DataFrame:
     """All rows of the newest batch of each key, ties kept; rows with a null key drop out."""
-    known = df.na.drop(subset=[*keys, created_at])
-    return _firsts(known, keys, F.col(created_at).desc())
+    last = df.na.drop(subset=[*keys, created_at]).groupBy(*keys).agg(F.max(created_at).alias(created_at))
+    return df.join(last, [*keys, created_at], "left_semi")
 
 
 def previous_step(df, other, key: Sequence[str], seq: str, value: str, name: str) -> DataFrame:
@@ -178,13 +179,9 @@ def previous_step(df, other, key: Sequence[str], seq: str, value: str, name: str
 
 def next_per_group(df, group: Sequence[str], ts: str, as_of) -> DataFrame:
     """The rows of each group with the earliest time not before ``as_of``, ties kept."""
-    return _firsts(df.where(F.col(ts) >= F.lit(as_of).cast("timestamp_ntz")), group, F.col(ts).asc())
-
-
-def _firsts(df, keys: Sequence[str], order: Column) -> DataFrame:
-    """The rows that stand first in their group, ties kept; later ones are cut before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_rank", F.rank().over(w)).where("_rank = 1").drop("_rank")
+    w = Window.partitionBy(*group).orderBy(F.col(ts).asc())
+    later = df.where(F.col(ts) >= F.lit(as_of).cast("timestamp_ntz"))
+    return later.withColumn("_rank", F.rank().over(w)).where("_rank = 1").drop("_rank")
 
 
 def fallback(df, primary: str, secondary: str, name: str) -> DataFrame:
@@ -231,53 +228,15 @@ def nearest(
     sx: str,
     sy: str,
     name: str = "nearest",
-    cell: float = 0.25,
+    group: int = GROUP,
 ) -> DataFrame:
     """The closest site (Euclidean in the given units) of every point, smallest id on ties.
 
-    Points go through grids of growing cells: a point looks at the 3 x 3 cells around it and is settled
-    once a site lies within one cell width, since any site outside those cells is farther. Each
-    level is written once, so the next one starts from files. Adds ``name`` and ``<name>_dist``. Both are null
-    for a point with a null or NaN coordinate and where there is no site; sites with such a
-    coordinate do not count.
+    Works over a k-d partition of the sites in groups of ``group`` (:mod:`headway.operators.nearest`). Adds ``name``
+    and ``<name>_dist``. Both are null for a point with a null, NaN or infinite coordinate and where there is no site;
+    sites with such a coordinate do not count.
     """
-    dist = f"{name}_dist"
-
-    def placed(df, x, y):
-        return df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
-
-    where = placed(sites, sx, sy).select(
-        F.col(sid).alias("_id"), F.col(sx).cast("double").alias("_x"), F.col(sy).cast("double").alias("_y"),
-    )
-
-    def gap(x, y):
-        return F.sqrt(F.pow(x - F.col(px), 2) + F.pow(y - F.col(py), 2))
-
-    places = where.groupBy("_x", "_y").agg(F.min("_id").alias("_id"))
-    seen = placed(points, px, py).select(px, py)
-    every = places.select("_x", "_y").union(seen.select(F.col(px).cast("double"), F.col(py).cast("double")))
-    span = F.sqrt(F.pow(F.max("_x") - F.min("_x"), 2) + F.pow(F.max("_y") - F.min("_y"), 2))
-    reach = every.agg(F.coalesce(F.greatest(span, F.lit(cell)), F.lit(cell))).first()[0]
-    from headway.sinks.tables import stage
-
-    open_, settled, width = seen.distinct(), None, cell
-    offsets = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    while True:
-        around = open_.select(px, py, F.explode(offsets).alias("_dx")).select(
-            px, py, (F.floor(F.col(px) / width) + F.col("_dx")).alias("_cx"), F.explode(offsets).alias("_dy")
-        ).select(px, py, "_cx", (F.floor(F.col(py) / width) + F.col("_dy")).alias("_cy"))
-        grid = places.withColumns({"_cx": F.floor(F.col("_x") / width), "_cy": F.floor(F.col("_y") / width)})
-        found = (
-            around.join(grid, ["_cx", "_cy"])
-            .withColumn("_d", gap(F.col("_x"), F.col("_y")))
-            .groupBy(px, py).agg(F.min(F.struct("_d", "_id")).alias("_b"))
-            .where(F.col("_b._d") <= width)
-        )
-        found = stage(found, "nearest")
-        settled = found if settled is None else settled.unionByName(found)
-        open_ = open_.join(found, [px, py], "left_anti")
-        if width >= reach or open_.isEmpty():
-            break
-        width *= 8
-    best = settled.select(px, py, F.col("_b._id").alias(name), F.col("_b._d").alias(dist))
-    return points.join(best, [px, py], "left")
+    best = nearest_sites(points, sites, sid, sx, sy, px, py, group)
+    best = best.select("_x", "_y", F.col("_id").alias(name), F.col("_d").alias(f"{name}_dist"))
+    at = points.withColumns({"_x": F.col(px).cast("double"), "_y": F.col(py).cast("double")})
+    return at.join(best, ["_x", "_y"], "left").drop("_x", "_y")

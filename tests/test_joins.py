@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from headway.operators import joins as jo, sequences as sq, splits as sp
+from headway.operators.nearest import nearest_sites
 from headway.operators.spans import hourly
 from headway.sinks import tables as tb
 
@@ -25,6 +28,25 @@ def test_nearest_against_brute_force(spark, n):
     assert jo.nearest(empty, spark.createDataFrame(sites, "sid int, sx double, sy double"), "px", "py", "sid", "sx", "sy").count() == 0
 
 
+@pytest.mark.parametrize("shape", ["crowd", "line", "copies"])
+def test_nearest_in_crowds(spark, shape):
+    """However dense the sites: equal to brute force, and a point looks at a bounded number of them."""
+    rng = np.random.default_rng(7)
+    n = 100_000 if shape == "crowd" else 5_000
+    sites = {"crowd": rng.uniform(0, 0.25, (n, 2)), "line": np.stack([np.full(n, 0.1), rng.uniform(0, 1, n)], 1), "copies": rng.integers(0, 4, (n, 2)) / 8}[shape]
+    points = np.concatenate([rng.uniform(0, 0.25, (300, 2)), rng.uniform(-3, 3, (20, 2)), sites[:20]])
+    s = spark.createDataFrame(pd.DataFrame({"sid": [f"s{i:06d}" for i in range(n)], "sx": sites[:, 0], "sy": sites[:, 1]}))
+    p = spark.createDataFrame(pd.DataFrame({"px": points[:, 0], "py": points[:, 1]}))
+    got = {(r["_x"], r["_y"]): r for r in nearest_sites(p, s, "sid", "sx", "sy", "px", "py", 1000).collect()}
+    for x, y in points.tolist():
+        d2 = (sites[:, 0] - x) ** 2 + (sites[:, 1] - y) ** 2
+        r = got[x, y]
+        assert r["_id"] == f"s{d2.argmin():06d}" and r["_d"] == pytest.approx(d2.min() ** 0.5, abs=1e-12)
+    if shape == "crowd":
+        looked = [got[x, y]["_looked"] for x, y in points[:300].tolist()]
+        assert max(looked) <= 20 * 64 and sum(looked) / 300 <= 4 * 64
+
+
 def test_interval_join_bounds(spark):
     left = spark.sql("SELECT 1 k, timestamp_ntz'2024-01-01 10:00:00' t UNION ALL SELECT 1, timestamp_ntz'2024-01-01 10:59:59.999999' UNION ALL SELECT 1, timestamp_ntz'2024-01-01 11:00:00' UNION ALL SELECT 2, timestamp_ntz'2024-01-01 10:00:00'")
     right = spark.sql("SELECT 1 k, timestamp_ntz'2024-01-01 10:00:00' target")
