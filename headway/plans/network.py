@@ -14,9 +14,9 @@ from headway.operators.spatial import point_in_polygon
 from headway.sinks.tables import merge_rows
 
 
-def enriched_stops(stops: DataFrame, regions: DataFrame, cell: float = 0.05, classes=None, core=geo.CORE_REGIONS) -> DataFrame:
+def enriched_stops(stops: DataFrame, regions: DataFrame, classes=None, core=geo.CORE_REGIONS) -> DataFrame:
     """Stops with region, distance from downtown, encoded and relative position, density score."""
-    s = point_in_polygon(stops, regions, "stop_lon", "stop_lat", ["region_id", "region_name", "region_type"], cell=cell)
+    s = point_in_polygon(stops, regions, "stop_lon", "stop_lat", ["region_id", "region_name", "region_type"])
     lat, lon = F.col("stop_lat").cast("double"), F.col("stop_lon").cast("double")
     s = s.withColumn("_km", distance_km(lat, lon))
     return s.withColumns(
@@ -45,8 +45,8 @@ def active_service_dates(calendar: DataFrame, exceptions: DataFrame) -> DataFram
     )
 
 
-def stops_with_regions(stops: DataFrame, regions: DataFrame, cell: float = 0.05) -> DataFrame:
-    return point_in_polygon(stops, regions, "stop_lon", "stop_lat", ["region_id", "region_name"], cell=cell)
+def stops_with_regions(stops: DataFrame, regions: DataFrame) -> DataFrame:
+    return point_in_polygon(stops, regions, "stop_lon", "stop_lat", ["region_id", "region_name"])
 
 
 def mapping_summary(mapped: DataFrame) -> DataFrame:
@@ -63,10 +63,10 @@ def stops_per_region(regions: DataFrame, mapped: DataFrame) -> DataFrame:
     )
 
 
-def import_regions(known: DataFrame | None, fresh: DataFrame, stops: DataFrame, cell: float = 0.05) -> dict[str, DataFrame]:
+def import_regions(known: DataFrame | None, fresh: DataFrame, stops: DataFrame) -> dict[str, DataFrame]:
     """Regions upserted by id, stops mapped to them, and the two summaries."""
     regions = fresh if known is None else merge_rows(known, fresh, ["region_id"])
-    mapped = stops_with_regions(stops, regions, cell)
+    mapped = stops_with_regions(stops, regions)
     return {
         "regions": regions, "stops": mapped, "summary": mapping_summary(mapped),
         "per_region": stops_per_region(regions, mapped),

@@ -1,11 +1,12 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from headway.functions import clock as ck, encode as en, geo
-from headway.operators.spatial import point_in_polygon
+from headway.operators.spatial import point_in_polygon, polygon_cells
 
 
 def one(spark, *cols):
@@ -66,8 +67,8 @@ def test_polygon_with_hole_and_parts(spark):
     poly = spark.createDataFrame([("a", wkt)], "id string, w string").select("id", geo.parse_wkt("w").alias("rings"))
     pts = [(1, 1.0, 1.0), (2, 5.0, 5.0), (3, 21.0, 1.0), (4, 15.0, 1.0), (5, 0.0, 5.0), (6, 10.0, 5.0), (7, 5.0, 3.999), (8, None, 1.0)]
     p = spark.createDataFrame(pts, "pid int, x double, y double")
-    for cell in (0.5, 3.0, 100.0):
-        rows = point_in_polygon(p, poly, "x", "y", ["id"], cell=cell).collect()
+    for edges in (1, 4, 100):
+        rows = point_in_polygon(p, poly, "x", "y", ["id"], edges=edges).collect()
         inside = {r.pid for r in rows if r.id}
         assert len(rows) == len(pts)
         assert inside == {1, 3, 5, 7}
@@ -77,3 +78,38 @@ def test_geojson_rings(spark):
     text = '{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]],[[[5,5],[6,5],[6,6],[5,5]]]]}'
     got = one(spark, geo.rings_from_geojson(F.lit(text)).alias("r")).r
     assert len(got) == 2 and got[1][0].x == 5.0
+
+
+def _ray(x, y, edges):
+    return sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for x1, y1, x2, y2 in edges) % 2 == 1
+
+
+def _star(cx, cy, size, n, rng, rough=0.7):
+    turn = np.sort(rng.uniform(0, 2 * np.pi, n))
+    far = size * (1 - rough * rng.uniform(0, 1, n)) * (1 - 0.3 * np.sin(3 * turn) ** 2)
+    return [(cx + f * np.cos(a), cy + f * np.sin(a)) for a, f in zip(turn, far)]
+
+
+def test_country_beside_city_blocks(spark):
+    """A large outline and small blocks: few cells, most of them whole, and the result of the plain ray over all edges."""
+    rng = np.random.default_rng(5)
+    country = _star(0.0, 0.0, 400.0, 4000, rng, 0.002)
+    blocks = {f"b{i}": [(x, y), (x + 0.01, y), (x + 0.01, y + 0.01), (x, y + 0.01)] for i, (x, y) in enumerate(rng.integers(0, 40, (200, 2)) / 100)}
+    shapes = {"country": country, "star": _star(3.3, -7.1, 0.7, 60, rng)} | blocks
+    rows = [(k, [[{"x": float(x), "y": float(y)} for x, y in ring]]) for k, ring in shapes.items()] + [("none", []), ("null", None), ("dot", [[{"x": 1.0, "y": 1.0}]])]
+    polygons = spark.createDataFrame(rows, "id string, rings array<array<struct<x: double, y: double>>>")
+    spots = np.concatenate([rng.uniform(-400, 400, (150, 2)), rng.uniform(0, 0.5, (150, 2)), rng.uniform(2, 5, (40, 2)) * [1, -2], rng.integers(0, 50, (100, 2)) / 100, country[:40]])
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(spots)] + [(9999, None, 1.0)], "pid int, x double, y double")
+    got = {}
+    for r in point_in_polygon(points, polygons, "x", "y", ["id"]).collect():
+        got.setdefault(r.pid, set()).add(r.id)
+    edges = {k: [(*a, *b) for a, b in zip(ring, ring[1:] + ring[:1])] for k, ring in shapes.items()}
+    for i, (x, y) in enumerate(spots.tolist()):
+        assert got[i] == ({k for k, e in edges.items() if _ray(x, y, e)} or {None}), (i, x, y)
+    assert got[9999] == {None}
+    cells = polygon_cells(polygons, ["id"]).select("id", F.size("_edges").alias("n"), F.size("_ends").alias("ends"), "_lv").collect()
+    big = [c for c in cells if c.id == "country"]
+    assert len(big) < 3 * 4000 and max(c.n for c in big) <= 32 and len({c["_lv"] for c in big}) > 3
+    assert sum(c.n == c.ends == 0 for c in big) > 100 and len(cells) - len(big) < 200 * 16
+    assert point_in_polygon(points, polygons, "x", "y", ["id"], how="inner").where("id is null").count() == 0
+    assert point_in_polygon(points, polygons.limit(0), "x", "y", ["id"]).where("id is null").count() == len(spots) + 1
