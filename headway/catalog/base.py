@@ -54,7 +54,8 @@ CTES = {
 
 def with_ctes(names: str, body: str) -> str:
     parts = [f"{n} AS ({CTES[n]})" for n in names.split()]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+    word, body = ("WITH RECURSIVE ", body.removeprefix("RECURSIVE")) if body.startswith("RECURSIVE") else ("WITH ", body)
+    return (word + ",\n".join(parts) + "\n" if parts else "") + body
 
 
 def query(name: str, ctes: str = "", sql: str | None = None):

@@ -150,9 +150,9 @@ def _(t):
     return jo.expand_calendar(t.services)
 
 
-@query("j10_anti_removed", "trips exceptions", "SELECT trip_id, start_date FROM trips t WHERE NOT EXISTS (SELECT 1 FROM exceptions e WHERE e.service_id = t.service_id AND e.date = t.start_date)")
+@query("j10_anti_removed", "trips exceptions", "SELECT trip_id, start_date FROM trips t WHERE NOT EXISTS (SELECT 1 FROM exceptions e WHERE e.service_id = t.service_id AND e.date = t.start_date AND e.exception_type = 2)")
 def _(t):
-    gone = t.exceptions.select("service_id", F.col("date").alias("start_date"))
+    gone = t.exceptions.where("exception_type = 2").select("service_id", F.col("date").alias("start_date"))
     return jo.anti(t.trips, gone, ["service_id", "start_date"]).select("trip_id", "start_date")
 
 

@@ -358,14 +358,14 @@ def _(t):
     return cleaned(we.ingest_weather(raw_weather(t), have, "2024-01-20 12:30:00"))
 
 
-@query("v22_stop_grid", "obs", """, c AS (SELECT stop_id, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS ts, avg(delay) AS d FROM obs GROUP BY 1, 2), lim AS (SELECT min(ts) AS lo, max(ts) AS hi FROM c),
-st AS (SELECT unnest(generate_series(lo, hi, INTERVAL 6 HOUR)) AS ts FROM lim), i AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM st),
+@query("v22_stop_grid", "obs", """, c AS (SELECT stop_id, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS ts, avg(delay) AS d FROM obs GROUP BY 1, 2), lim AS (SELECT min(ts) AS lo, max(ts) AS hi FROM c),
+st AS (SELECT unnest(generate_series(lo, hi, INTERVAL 15 MINUTE)) AS ts FROM lim), i AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM st),
 g AS (SELECT r.stop_id, i.ts, i.i, i.n, c.d FROM (SELECT DISTINCT stop_id FROM obs) r CROSS JOIN i LEFT JOIN c ON c.stop_id = r.stop_id AND c.ts = i.ts),
 f AS (SELECT stop_id, ts, i < floor(n * 0.7e0) AS is_train, d IS NOT NULL AS observed, coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY stop_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 0) AS delay FROM g),
 s AS (SELECT avg(delay) AS m, stddev_pop(delay) AS sd FROM f WHERE is_train) SELECT stop_id, ts, is_train, observed, round((delay - m) / sd + 1e-9, 6) AS scaled FROM f, s""")
 def _(t):
     o = t.obs.select("stop_id", F.col("route_id").alias("trip_id"), F.col("ts").alias("actual_arrival_time"), F.col("obs_id").alias("stop_sequence"), F.col("delay").alias("arrival_delay"))
-    d = gr.stop_grid(o, step=21600)["grid"]
+    d = gr.stop_grid(o)["grid"]
     return rounded(d.select("stop_id", F.col("actual_arrival_time").alias("ts"), "is_train", "observed", F.col("arrival_delay_scaled").alias("scaled")), "scaled")
 
 

@@ -19,11 +19,13 @@ from pyspark.storagelevel import StorageLevel
 from headway.functions.clock import c
 from headway.functions.encode import finite
 from headway.functions.numbers import hash_text
+from headway.operators import gram
 from headway.operators.metrics import masked_metrics, regression_metrics
 from headway.operators.scaling import standard_inverse
 from headway.operators.sequences import past_trips, windows
 from headway.operators.spans import place
 from headway.operators.windows import last_row
+from headway.sinks.tables import stage
 
 LABEL, FEATURES, PREDICTION = "label", "features", "prediction"
 
@@ -184,12 +186,29 @@ def _validator(kind, cols, grid, folds, seed, parallelism, f: Facts, **params):
     )
 
 
-def tune(kind: str, df: DataFrame, cols, y: str, grid: dict | None = None, folds: int = 5, seed: int = 42, parallelism: int = 2, **params):
-    """Best model of a grid by k-fold RMSE, and the average score of every setting."""
+LINEAR = ("ridge", "lasso", "elastic")
+
+
+def tune(
+    kind: str, df: DataFrame, cols, y: str, grid: dict | None = None, folds: int = 5, seed: int = 42, parallelism: int = 2, fold: Column | None = None, **params
+):
+    """Best model of a grid by k-fold RMSE, and the average score of every setting.
+
+    Linear models score all settings and folds from one pass over the rows (:mod:`headway.operators.gram`); the folds are
+    those of ``fold``, a whole number a row, or of a hash of the row. Trees are fitted setting by setting.
+    """
     grid = GRIDS.get(kind, {}) if grid is None else grid
-    cv = _on_cached(lambda f: _validator(kind, cols, grid, folds, seed, parallelism, f, **params), training_rows(df, cols, y))
-    scores = [(str(s), float(m)) for s, m in zip(combinations(grid), cv.avgMetrics)]
-    return cv.bestModel, df.sparkSession.createDataFrame(scores, "params string, rmse double")
+    settings = combinations(grid)
+    if kind in LINEAR:
+        part = F.pmod(F.xxhash64(F.lit(seed), *cols, y), F.lit(folds)) if fold is None else fold
+        rows = _labelled(df, y).where(complete(cols))
+        base = {k: v for k, v in {**DEFAULTS[kind], **params}.items() if k in ("alpha", "l1_ratio")}
+        scores = gram.grid_scores(gram.moments(rows, cols, LABEL, part), kind, [{**base, **s} for s in settings])
+        best = fit(kind, df, cols, y, **params, **settings[min(range(len(scores)), key=scores.__getitem__)])
+    else:
+        cv = _on_cached(lambda f: _validator(kind, cols, grid, folds, seed, parallelism, f, **params), training_rows(df, cols, y))
+        scores, best = [float(m) for m in cv.avgMetrics], cv.bestModel
+    return best, df.sparkSession.createDataFrame([(str(s), m) for s, m in zip(settings, scores)], "params string, rmse double")
 
 
 def importances(model: PipelineModel, spark, cols: Sequence[str]) -> DataFrame:
@@ -260,26 +279,65 @@ def permute(df: DataFrame, cols: Sequence[str], key: Sequence[str], seed: int) -
     return mine.join(given, "_p").drop("_p").select(*df.columns)
 
 
-def permute_steps(df: DataFrame, x: str, key: Sequence[str], strategy: str, seed: int, feature: int, block: int = 2) -> DataFrame:
-    """Steps of one feature reordered inside each sample: single steps or blocks of steps."""
+def shift_of(copy, n):
+    """By how many places copy number ``copy`` turns the hash order of ``n`` rows; never by none, where there are two rows."""
+    return 1 + (copy * 7919 + 104729) % F.greatest(n - 1, F.lit(1))
+
+
+def permuted_copies(df: DataFrame, features: Sequence[str], key: Sequence[str], repeats: int = 10, seed: int = 1) -> DataFrame:
+    """Every row once for each feature and repeat, with that feature's value from another row.
+
+    Rows are numbered once, in the order of a hash of their key; a copy turns that order by its own number of places, a bijection.
+    So a row sends each copy one value, and the copies of all features and repeats are one exchange: the plan is the same for any
+    number of repeats. Adds ``_feature`` (its number) and ``_repeat``. ``features`` are numbers.
+    """
+    h = df.withColumn("_h", hash_text(*key, seed=seed))
+    order = [F.col("_h"), *[F.col(k) for k in key]]
+    rows = stage(place(h, [], order, [F.substring("_h", 1, 5)], "_p").drop("_h"), "permuted")
+    n = rows.count()
+    copies = F.explode(F.sequence(F.lit(0), F.lit(len(features) * repeats - 1))).alias("_copy")
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    sent = rows.select("_p", values.alias("_all"), copies).select(
+        (F.pmod(F.col("_p") - 1 - shift_of(F.col("_copy"), F.lit(n)), F.lit(max(n, 1))) + 1).alias("_p"),
+        F.floor(F.col("_copy") / repeats).cast("int").alias("_feature"), (F.col("_copy") % repeats).alias("_repeat"), "_all",
+    ).select("_p", "_feature", "_repeat", F.get("_all", F.col("_feature")).alias("_value"))
+    put = {f: F.when(F.col("_feature") == i, F.col("_value").cast(df.schema[f].dataType)).otherwise(F.col(f)) for i, f in enumerate(features)}
+    return rows.join(sent, "_p").withColumns(put).drop("_p", "_value")
+
+
+def permute_steps(df: DataFrame, x: str, key: Sequence[str], strategy: str, seed, feature, block: int = 2) -> DataFrame:
+    """Steps of one feature reordered inside each sample: single steps or blocks of steps.
+
+    ``seed`` and ``feature`` (its number in a step) are numbers or columns.
+    """
     size = 1 if strategy == "within_sample" else block
     steps = F.size(x)
     n = F.floor(steps / size).cast("int")
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
     order = F.sort_array(
         F.transform(
             F.sequence(F.lit(0), n - 1),
-            lambda i: F.struct(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)), i.cast("string")).cast("binary")).alias("h"), i.alias("i")),
+            lambda i: F.struct(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], seed.cast("string"), i.cast("string")).cast("binary")).alias("h"), i.alias("i")),
         )
     )
 
     def source(t):
         b = F.floor(t / size).cast("int")
-        return F.when(b < n, F.get(order, b)["i"] * size + t % size).otherwise(t)
+        return F.when(b < n, F.get("_order", b)["i"] * size + t % size).otherwise(t)
 
     def rebuilt(step, t):
-        return F.transform(step, lambda v, j: F.when(j == feature, F.get(F.get(F.col(x), source(t)), F.lit(feature))).otherwise(v))
+        return F.transform(step, lambda v, j: F.when(j == feature, F.get(F.get(F.col(x), source(t)), j)).otherwise(v))
 
-    return df.withColumn(x, F.transform(x, rebuilt))
+    # Fewer steps than a block stay as they are: a sequence from 0 to -1 would run backwards.
+    d = df.withColumn("_order", F.when(n > 0, order))
+    return d.withColumn(x, F.when(F.col("_order").isNull(), F.col(x)).otherwise(F.transform(x, rebuilt))).drop("_order")
+
+
+def step_copies(df: DataFrame, x: str, key: Sequence[str], n_features: int, repeats: int, strategy: str, block: int = 2) -> DataFrame:
+    """Every sample once for each feature and repeat, the steps of that feature reordered; no exchange."""
+    copies = df.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(n_features * repeats - 1))))
+    tagged = copies.withColumns({"_feature": F.floor(F.col("_copy") / repeats).cast("int"), "_repeat": F.col("_copy") % repeats}).drop("_copy")
+    return permute_steps(tagged, x, key, strategy, F.col("_repeat") + 1, F.col("_feature"), block)
 
 
 def permutation_importance(model, df: DataFrame, cols, y: str, key: Sequence[str], repeats: int = 10, features=None, strategy: str = "cross_sample", x: str | None = None, block: int = 2) -> DataFrame:
@@ -287,20 +345,21 @@ def permutation_importance(model, df: DataFrame, cols, y: str, key: Sequence[str
 
     ``cross_sample`` exchanges a column between samples; ``within_sample`` and ``block`` reorder the steps of
     feature number f inside each sample's step array ``x``. ``model`` is a fitted pipeline, or a function
-    that adds a prediction. All features and repeats are one job over tagged copies of the rows.
+    that adds a prediction. All features and repeats are one job over tagged copies of the rows, whose plan does not depend on
+    the number of repeats.
     """
     score = model if callable(model) else lambda d: predict(model, d)
     named = _labelled(df, y).select(*dict.fromkeys([*key, *cols, *([x] if x else []), LABEL]))
     err = F.avg(F.abs(F.col(LABEL) - F.col(PREDICTION)))
     base = score(named).agg(err).first()[0]
-    copies = []
-    for i, f in enumerate(features or cols):
-        for r in range(repeats):
-            moved = permute(named, [f], key, r + 1) if strategy == "cross_sample" else permute_steps(named, x, key, strategy, r + 1, i, block)
-            copies.append(moved.withColumns({"_feature": F.lit(f), "_repeat": F.lit(r)}))
-    tagged = functools.reduce(DataFrame.unionByName, copies)
+    names = list(features or cols)
+    if strategy == "cross_sample":
+        tagged = permuted_copies(named, names, key, repeats)
+    else:
+        tagged = step_copies(named, x, key, len(names), repeats, strategy, block)
     rises = score(tagged).groupBy("_feature", "_repeat").agg((err - base).alias("rise"))
-    return rises.groupBy(F.col("_feature").alias("feature")).agg(
+    label = F.get(F.array(*[F.lit(f) for f in names]), F.col("_feature"))
+    return rises.groupBy(label.alias("feature")).agg(
         F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("std"), F.lit(base).alias("baseline_mae")
     )
 
