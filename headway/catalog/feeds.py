@@ -11,7 +11,6 @@ from headway.session import scratch_path
 from headway.sinks import tables as tb
 from headway.sources import readers as rd, snapshots as sn
 from headway.sources.schemas import FEED
-from headway.sources.wire import decode_frames
 
 
 @query("s01_type_schedule", "upd", """SELECT DISTINCT CAST(trip_id AS VARCHAR) AS trip_id, stop_sequence, CAST((stop_sequence * 5 % 24) * 3600 + 61 AS INTEGER) AS arrival_secs, CAST(stop_sequence * 5 // 24 AS INTEGER) AS arrival_day_offset, 0 AS departure_day_offset FROM upd""")
@@ -45,22 +44,46 @@ def _text(x):
     return F.encode(x.cast("string"), "utf-8")
 
 
-@query("s05_decode_snapshots", "upd", "SELECT CAST(trip_id AS VARCHAR) AS trip, CAST(stop_id AS VARCHAR) AS stop, stop_sequence, '2.0' AS version, price FROM upd")
-def _(t):
+def binary_entities(t):
+    """A vehicle entity for each update, as the bytes of a feed message."""
     trip = _chunk("0A", _chunk("0A", _text(F.col("trip_id"))))
     seen = F.concat(trip, F.unhex(F.lit("18")), F.unhex(F.lpad(F.hex("stop_sequence"), 2, "0")), _chunk("3A", _text(F.col("stop_id"))))
     entity = _chunk("12", F.concat(_chunk("0A", F.encode(F.lit("e1"), "utf-8")), _chunk("22", seen)))
     header = _chunk("0A", _chunk("0A", F.encode(F.lit("2.0"), "utf-8")))
-    files = t.upd.select(F.concat_ws("/", "trip_id", "price").alias("path"), F.lit(1).cast("bigint").alias("length"), F.concat(header, entity).alias("content"))
-    from headway.sources.schemas import SNAPSHOT
+    return t.upd.select("trip_id", "price", "flag", F.concat(header, entity).alias("content"))
+
+
+def write_binary(t, path):
+    """Files of feed messages: messages one behind the other are one message, parted here by a field that readers skip."""
+    d = binary_entities(t).select(F.col("content").cast("string"))
+    d.write.option("lineSep", "x\0").text(path)
 
-    d = files.mapInPandas(lambda it: decode_frames(it, "vehicle"), SNAPSHOT).select("file", "header", F.explode("entity").alias("e"))
-    return d.select(
+
+def seen_vehicles(d):
+    e = d.select("header", F.explode("entity").alias("e"))
+    return e.select(
         F.col("e.vehicle.trip.trip_id").alias("trip"), F.col("e.vehicle.stop_id").alias("stop"), F.col("e.vehicle.current_stop_sequence").alias("stop_sequence"),
-        F.col("header.gtfs_realtime_version").alias("version"), F.split("file", "/")[1].cast("double").alias("price"),
+        F.col("header.gtfs_realtime_version").alias("version"),
     )
 
 
+@query("s05_decode_snapshots", "upd", "SELECT CAST(trip_id AS VARCHAR) AS trip, CAST(stop_id AS VARCHAR) AS stop, stop_sequence, '2.0' AS version FROM upd")
+def _(t):
+    path = scratch_path(t.spark, "binary")
+    write_binary(t, path)
+    return seen_vehicles(sn.read_snapshots(t.spark, f"{path}/part-*", "vehicle"))
+
+
+@query("s05_damaged_snapshots", "upd", """SELECT flag, count(*) AS files, count(*) FILTER (WHERE flag <> 'N') AS entities, count(*) FILTER (WHERE flag <> 'A') AS errors FROM upd GROUP BY 1""")
+def _(t):
+    """Whole messages, messages with half an entity behind a whole one, and messages cut in their entity."""
+    c = F.col("content")
+    some = F.when(F.col("flag") == "A", c).when(F.col("flag") == "R", F.concat(c, F.unhex(F.lit("12300A0265")))).otherwise(F.substring(c, F.lit(1), F.length(c) - 2))
+    files = binary_entities(t).select(F.col("flag").alias("path"), F.length("content").cast("long").alias("length"), some.alias("content"))
+    d = sn.decode_files(files, "vehicle")
+    return d.groupBy(F.col("file").alias("flag")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.size("entity")).alias("entities"), F.count("error").alias("errors"))
+
+
 def snapshots(t):
     """One snapshot per lineitem row as JSON text read with the feed schema.
 

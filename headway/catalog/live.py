@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from headway.catalog.base import query, r6, rounded
+from headway.catalog.feeds import seen_vehicles, write_binary
 from headway.session import scratch_path
 from headway.sinks.tables import current
+from headway.sources.snapshots import stream_snapshots
 from headway.streaming import jobs as st
 
 
@@ -33,6 +35,16 @@ def _(t):
     return t.spark.read.parquet(data)
 
 
+@query("r01_binary_snapshots", "upd", "SELECT CAST(trip_id AS VARCHAR) AS trip, CAST(stop_id AS VARCHAR) AS stop, stop_sequence, '2.0' AS version FROM upd")
+def _(t):
+    data, check = paths(t, "binary-stream")
+    source = scratch_path(t.spark, "binary-source")
+    write_binary(t, source)
+    for _i in range(2):
+        drained(st.append_snapshots(seen_vehicles(stream_snapshots(t.spark, f"{source}/part-*", "vehicle", 3)), data, check))
+    return t.spark.read.parquet(data)
+
+
 @query("r02_latest_updates", "obs", """, r AS (SELECT *, row_number() OVER (PARTITION BY stop_id, route_id ORDER BY ts DESC, obs_id DESC) AS rn FROM obs) SELECT obs_id, stop_id, route_id, delay FROM r WHERE rn = 1 AND ts >= (SELECT max(ts) FROM obs) - INTERVAL 72 HOUR""")
 def _(t):
     root, check = paths(t, "latest-stream")

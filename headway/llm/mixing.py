@@ -150,23 +150,21 @@ PIECES = "array<struct<shard:int,draw:long,copy:int,first:long,n:long>>"
 
 def mix(
     df: DataFrame, text: str, source: str, key: str, weights: tuple[float, ...] = (3, 1, 2), ratio: float = 1.5,
-    most: int = 2, shards: int = SHARDS, seed: int = 7, keep: list[str] | None = None,
+    most: int = 2, shards: int = SHARDS, seed: int = 7, keep: list[str] | None = None, stored: bool = False,
 ) -> DataFrame:
     """Add ``size``, ``source_size``, ``target`` (its source's) and ``pieces`` to every document.
 
     A piece is a run of ``n`` words from word ``first`` (0-based) that ``shard`` takes, ``draw`` being its
     place among the source's draws and ``copy`` the times its block was taken before. ``keep`` names
-    the columns that stay. The input is written once with its sizes.
+    the columns that stay. The input is written once with its sizes, unless it is ``stored`` already: then it is read three times.
     """
     kept = [x for x in others(df, ADDED) if keep is None or x in keep]
     src = F.coalesce(F.concat(F.lit("="), col(source).cast("string")), F.lit(""))
     # Ties of the key are told apart by text and, for equal rows, do not matter.
     order = F.xxhash64(F.lit(seed), col(key).cast("string"), col(text))
-    rows = stage(
-        df.select(*[col(x).alias(f"k{i}") for i, x in enumerate(kept)], src.alias("src"), col(source).cast("string").alias("source"),
-                  words_in(col(text)).alias("size"), order.alias("h")),
-        "mixing-rows",
-    )
+    rows = df.select(*[col(x).alias(f"k{i}") for i, x in enumerate(kept)], src.alias("src"), col(source).cast("string").alias("source"),
+                     words_in(col(text)).alias("size"), order.alias("h"))
+    rows = rows if stored else stage(rows, "mixing-rows")
     sizes = rows.groupBy("src").agg(F.first("source", True).alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     aims = targets(sizes.select("src", "source", "source_size"), weights, ratio, float(most))
     facts = sizes.agg(F.sum("source_size").alias("words"), F.sum("docs").alias("docs")).first()

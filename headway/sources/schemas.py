@@ -41,7 +41,7 @@ _ALERT = (
 HEADER = "struct<gtfs_realtime_version:string,incrementality:int,timestamp:bigint,feed_version:string>"
 ENTITY = f"struct<id:string,is_deleted:boolean,trip_update:{_UPDATE},vehicle:{_SEEN},alert:{_ALERT}>"
 FEED = f"header {HEADER}, entity array<{ENTITY}>"
-SNAPSHOT = f"feed_type string, file string, file_size bigint, {FEED}"
+SNAPSHOT = f"feed_type string, file string, file_size bigint, {FEED}, error string"
 
 WEATHER = "date_time_local string, unixtime bigint, pressure_station string, pressure_sea string, wind_dir string, wind_dir_10s string, wind_speed string, wind_gust string, relative_humidity string, dew_point string, temperature string, windchill string, humidex string, visibility string, health_index string, cloud_cover_4 string, cloud_cover_8 string, cloud_cover_10 string, solar_radiation string, max_air_temp_pst1hr string, min_air_temp_pst1hr string, humidex_v string"
 WEATHER_NUMBERS = {

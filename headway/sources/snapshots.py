@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from headway.functions.encode import map_codes
 from headway.functions.numbers import row_id
 from headway.sources.schemas import FEED, SNAPSHOT
+from headway.sources.wire import decode_batches
 
 # Codes of the realtime format and their labels.
 TRIP_RELATIONSHIP = {0: "SCHEDULED", 1: "ADDED", 2: "UNSCHEDULED", 3: "CANCELED", 5: "REPLACEMENT",
@@ -24,18 +26,27 @@ def read_snapshots(spark: SparkSession, path: str, feed_type: str, fmt: str = "p
     """Snapshot files as nested records, one row per file.
 
     Binary files are decoded inside tasks, each file on its own; JSON files hold one record per
-    line. A file that cannot be decoded has a null header.
+    line. A damaged binary file gives the entities that can be read and says what is wrong in ``error``.
     """
     if fmt == "json":
         df = spark.read.schema(FEED).json(path)
         return df.select(
             F.lit(feed_type).alias("feed_type"), F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_size").alias("file_size"), "header", "entity",
+            F.col("_metadata.file_size").alias("file_size"), "header", "entity", F.lit(None).cast("string").alias("error"),
         )
-    from headway.sources.wire import decode_frames
+    return decode_files(spark.read.format("binaryFile").load(path), feed_type)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
-    return files.mapInPandas(lambda it: decode_frames(it, feed_type), SNAPSHOT)
+
+def stream_snapshots(spark: SparkSession, path: str, feed_type: str, files: int | None = None) -> DataFrame:
+    """Binary snapshot files of a folder as a stream, each file once; ``files`` bounds those of a batch."""
+    r = spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary").format("binaryFile")
+    return decode_files((r.option("maxFilesPerTrigger", files) if files else r).load(path), feed_type)
+
+
+def decode_files(files: DataFrame, feed_type: str) -> DataFrame:
+    """Rows (path, length, content) decoded, as a batch or a stream."""
+    schema = T.StructType.fromDDL(SNAPSHOT)
+    return files.select("path", "length", "content").mapInArrow(decode_batches(feed_type, to_arrow_schema(schema)), schema)
 
 
 def validate_snapshots(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from headway.sources import readers as rd, snapshots as sn
-from headway.sources.wire import decode
+from headway.sources.wire import decode, decode_feed
 
 
 def varint(n):
@@ -45,6 +45,31 @@ def test_decode():
         decode(feed()[:-3])
 
 
+def test_damaged_feeds_keep_what_comes_before():
+    whole = decode_feed(feed())
+    assert whole["error"] is None and len(whole["entity"]) == 4
+    for cut in range(1, len(feed())):
+        got = decode_feed(feed()[:cut])
+        assert got["entity"] == whole["entity"][: len(got["entity"])] and (got["error"] or got["header"]) is not None
+    cut = decode_feed(feed()[:-3])
+    assert cut["entity"] == whole["entity"][:3] and "after 3 entities" in cut["error"] and cut["header"] == whole["header"]
+    inner = decode_feed(feed() + part(2, part(1, "x") + b"\x1a\x7f") + part(2, part(1, "z")))
+    assert [e["id"] for e in inner["entity"]] == ["a", "b", "c", "a", "z"] and "entity in field 6" in inner["error"]
+    assert decode_feed(b"") == {"header": None, "entity": [], "error": None}
+
+
+def test_snapshot_stream(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for i, data in enumerate((feed(), feed()[:-3])):
+        (source / f"{i}.pb").write_bytes(data)
+        q = sn.stream_snapshots(spark, str(source), "vehicle").select("file", F.size("entity").alias("n"), "error").writeStream.format("parquet")
+        q = q.option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {r.file[-4:]: (r.n, r.error is None) for r in spark.read.parquet(out).collect()}
+    assert got == {"0.pb": (4, True), "1.pb": (3, False)} and spark.read.parquet(out).count() == 2
+
+
 def test_snapshot_files(spark, tmp_path):
     (tmp_path / "one.pb").write_bytes(feed())
     (tmp_path / "bad.pb").write_bytes(b"\x0a\xff\xff")
