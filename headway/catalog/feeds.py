@@ -357,6 +357,14 @@ def _(t):
     return rounded(tb.compare_models(t.spark, path).select("model_name", "n", "mae"), "mae")
 
 
+@query("k14_incremental", "obs", "SELECT route_id, stop_id, count(*) AS n, round(avg(delay) + 1e-9, 6) AS mean_delay, min(k) AS min_k, max(delay) AS max_delay FROM obs GROUP BY 1, 2")
+def _(t):
+    root = scratch_path(t.spark, "grouped")
+    for upto in ("2024-01-10", "2024-01-11", "2024-01-20", "2100-01-01", "2100-01-01"):
+        tb.refresh_groups(t.obs.where(F.col("ts") < upto), root, ["route_id", "stop_id"], "ts", ["delay"], ["k"], ["delay"])
+    return rounded(tb.grouped(t.spark, root), "mean_delay")
+
+
 @query("k14_refresh", "", "SELECT 'broken' AS view_name, 'failed' AS status, -1 AS rows_affected UNION ALL SELECT 'route_counts', 'success', count(DISTINCT o_custkey) FROM orders")
 def _(t):
     root, log = scratch_path(t.spark, "views"), scratch_path(t.spark, "log")

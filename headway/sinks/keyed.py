@@ -117,6 +117,21 @@ def read(spark: SparkSession, root: str, m: dict) -> DataFrame:
     return rows if base is None else _put(base, rows, m["keys"])
 
 
+def lookup(spark: SparkSession, root: str, m: dict, wanted: DataFrame) -> DataFrame:
+    """The table's rows with a key of ``wanted`` (unique keys); only the parts that can hold them are read."""
+    keys, depth = m["keys"], _depth(m)
+    found = {_part_of(r[0], m["parts"]) for r in wanted.select(bits(keys, depth)).distinct().collect()}
+    base = _base(spark, root, m, sorted(found))
+    waiting = [c for c in m["changes"] if found & set(c["waits"])]
+    if waiting:
+        rows = changes(spark, root, m, waiting, found)
+        base = rows if base is None else _put(base, rows, keys)
+    if base is None:
+        return read(spark, root, m).limit(0)
+    named = wanted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    return base.join(named, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left_semi")
+
+
 def _taken_in(spark: SparkSession, root: str, m: dict, parts: dict[str, int], n: int) -> dict[str, dict]:
     """The given parts (with their waiting rows) written with all changes that wait for them: the parts that take their place."""
     keys, depth = m["keys"], _depth(m)

@@ -193,6 +193,50 @@ def refresh(spark: SparkSession, name: str, builder: Callable[[], DataFrame], ro
     return status
 
 
+def refresh_groups(
+    source: DataFrame, root: str, keys: Sequence[str], ts: str, sums: Sequence[str] = (), least: Sequence[str] = (), most: Sequence[str] = ()
+) -> int:
+    """Bring a grouped table up to date with the rows that came after its last refresh; returns how many they were.
+
+    The table holds, for each key, mergeable parts: ``n`` rows, ``sum_`` and ``n_`` (values that are not null) of ``sums``, ``min_`` of
+    ``least`` and ``max_`` of ``most``; :func:`grouped` turns sums to means. Its state keeps the highest ``ts`` taken in. A refresh
+    reads the source's rows above that mark (a predicate that reaches the scan) and the groups they touch, and writes those groups. ``ts``
+    is the time of arrival: a row that comes with a time at or below the mark, or none, is not seen.
+    """
+    spark = source.sparkSession
+    m = keyed.newest(spark, root)
+    mark = m["seen"].get("mark") if m else None
+    rows = source.where(F.col(ts).isNotNull())
+    zone_free = dict(source.dtypes)[ts] != "timestamp"
+    if mark is not None:
+        at = F.timestamp_micros(F.lit(mark))
+        rows = rows.where(F.col(ts) > (at.cast("timestamp_ntz") if zone_free else at))
+    reach = F.unix_micros(F.max(F.col(ts)).cast("timestamp")).alias("_reach")
+    parts = [F.count(F.lit(1)).alias("n")]
+    parts += [f(x).alias(f"{p}_{x}") for xs, fs in ((sums, ((F.sum, "sum"), (F.count, "n"))), (least, ((F.min, "min"),)), (most, ((F.max, "max"),))) for x in xs for f, p in fs]
+    fresh = stage(rows.groupBy(*keys).agg(*parts, reach), "refresh")
+    new = fresh.agg(F.max("_reach"), F.sum("n")).first()
+    if new[0] is None:
+        return 0
+    fresh = fresh.drop("_reach")
+    if m:
+        both = keyed.lookup(spark, root, m, fresh).unionByName(fresh)
+        fold = {"min": F.min, "max": F.max}
+        merged = both.groupBy(*keys).agg(*[fold.get(x.split("_")[0], F.sum)(x).alias(x) for x in fresh.columns if x not in keys])
+        fresh = stage(merged, "refreshed")
+    upsert(fresh, root, keys, ("mark", new[0]))
+    return new[1]
+
+
+def grouped(spark: SparkSession, root: str) -> DataFrame | None:
+    """The table of :func:`refresh_groups` with means in place of sums."""
+    d = current(spark, root)
+    if d is None:
+        return None
+    means = {x[4:]: F.try_divide(F.col(x), F.col(f"n_{x[4:]}")) for x in d.columns if x.startswith("sum_")}
+    return d.withColumns({f"mean_{k}": v for k, v in means.items()}).drop(*[f"{p}_{k}" for k in means for p in ("sum", "n")])
+
+
 def refresh_status(log: DataFrame, as_of: str) -> DataFrame:
     """Latest log row per view with its age in minutes (one digit)."""
     last = log.groupBy("view_name").agg(

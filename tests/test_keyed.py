@@ -118,3 +118,26 @@ def test_live_table_over_batches(spark, tmp_path):
     got, _ = batch(("a", 5.0, 10, 7), ("e", 50.0, 11, 4), ("a", 49.0, 12, 3))
     assert got == {"a": (12, 3), "d": (8, 1), "e": (11, 4)}
     assert "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass") or "")  # put back
+
+
+def test_refresh_reads_new_rows_and_touched_groups(spark, tmp_path, small):
+    """After 1 % new rows a refresh takes in those rows, reads few parts, and the table equals a full rebuild."""
+    root, source = str(tmp_path / "g"), str(tmp_path / "source")
+    made = spark.range(4000).selectExpr("id % 900 AS k", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts", "if(id % 7 = 0, null, id * 0.5D) AS x")
+    made.write.parquet(source)
+    args = (root, ["k"], "ts", ["x"], ["x"], ["x"])
+    assert tb.refresh_groups(spark.read.parquet(source), *args) == 4000
+    assert tb.refresh_groups(spark.read.parquet(source), *args) == 0
+    more = spark.range(40).selectExpr("cast(900 + id % 2 as long) AS k", "timestamp_ntz'2024-02-01' AS ts", "cast(id as double) AS x").unionByName(
+        spark.sql("SELECT 5L AS k, timestamp_ntz'2024-02-01' AS ts, -3.0D AS x UNION ALL SELECT 6L, null, 1.0D UNION ALL SELECT null, timestamp_ntz'2024-02-01', 1.0D")
+    )
+    more.write.mode("append").parquet(source)
+    m = keyed.newest(spark, root)
+    assert len(m["parts"]) > 4
+    seen = keyed.lookup(spark, root, m, spark.sql("SELECT 5L AS k UNION ALL SELECT 900L UNION ALL SELECT CAST(NULL AS LONG)"))
+    read = {f for f in seen.inputFiles()}
+    assert seen.count() == 1 and len(read) < len(tb.current(spark, root).inputFiles()) / 2
+    assert tb.refresh_groups(spark.read.parquet(source), *args) == 42
+    want = spark.read.parquet(source).where("ts is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"), F.round(F.avg("x"), 6).alias("c"))
+    got = tb.grouped(spark, root).select("k", "n", F.col("min_x").alias("a"), F.col("max_x").alias("b"), F.round("mean_x", 6).alias("c"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
