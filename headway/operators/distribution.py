@@ -1,14 +1,16 @@
 """Exact quantiles, ranks and outlier rules without gathering a group in one task.
 
-Values are first counted per distinct value (map-side combined), then ranked by cumulative counts
-over value slices of about equal row counts, so even one key with a third of all rows is spread.
+Percentiles of a whole column are selected by counts in buckets that get finer around the ranks asked for. Percentiles by
+key, and ranks, count distinct values first (map-side combined) and rank them by cumulative counts over value slices of about equal
+row counts, so that one key with a third of all rows is spread.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from headway.operators.spans import running
 
@@ -36,6 +38,75 @@ def value_ranks(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     return running(counts, keys, [F.col(x)], [value_slices(known, x)], F.col("n"), "upto", "total")
 
 
+#: Buckets that an interval is counted in, and values that are left to the driver at most.
+BUCKETS, LEFT = 4096, 50_000
+
+
+def order_statistics(df: DataFrame, x: str, ranks: Callable[[int], Sequence[int]]) -> list[float] | None:
+    """The values with the given ranks (from 1 on; a function of the number of values) of a numeric column, NaN last.
+
+    Values are counted in buckets between their extremes; a bucket that holds a rank is counted in finer buckets between its own, all
+    such buckets in one pass, until it has one value or few values are left. No task sorts or ranks anything: it sends at most
+    ``BUCKETS`` counts an interval. A pass narrows each interval 4096 times; three are usual. None where a value is infinite.
+    """
+    v = F.col(x).cast("double")
+    real = F.when(~F.isnan(v), v)
+    all_, n, low, high = df.where(v.isNotNull()).agg(F.count(v), F.count(real), F.min(real), F.max(real)).first()
+    if n and max(abs(low), abs(high)) == float("inf"):
+        return None
+    wanted = ranks(all_)
+    found = {r: float("nan") for r in wanted if r > n}
+    # Each open rank: the interval it lies in and the values below that.
+    open_ = {r: (low, high, 0, n) for r in wanted if r <= n}
+    while True:
+        found |= {r: lo for r, (lo, hi, _b, _n) in open_.items() if lo == hi}
+        open_ = {r: at for r, at in open_.items() if r not in found}
+        if not open_:
+            break
+        spans = sorted(set(open_.values()))
+        inside = [(v >= lo) & (v <= hi) for lo, hi, _b, _n in spans]
+        which = F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(inside)])
+        rows = df.select(v.alias("v"), which.alias("i")).where(F.col("i").isNotNull())
+        if sum(k for _lo, _hi, _b, k in spans) <= LEFT:
+            counts = rows.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+            cells = [(r["i"], r["v"], r["v"], r["n"]) for r in counts.collect()]
+        else:
+            at = F.coalesce(*[F.when(F.col("i") == i, _share(lo, hi)) for i, (lo, hi, _b, _n) in enumerate(spans)])
+            b = F.least(F.floor(at * BUCKETS), F.lit(BUCKETS - 1))
+            counts = rows.groupBy("i", b.alias("b")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+            cells = [(r["i"], r["lo"], r["hi"], r["n"]) for r in counts.collect()]
+        below = {i: base for i, (_lo, _hi, base, _n) in enumerate(spans)}
+        for i, lo, hi, k in sorted(cells):
+            for r, at in open_.items():
+                if at == spans[i] and below[i] < r <= below[i] + k:
+                    open_[r] = (lo, hi, below[i], k)
+            below[i] += k
+    return [found[r] for r in wanted]
+
+
+def _share(lo: float, hi: float) -> Column:
+    """Where ``v`` lies between two different bounds, from 0 to 1."""
+    half = 1.0 if math.isfinite(hi - lo) else 0.5
+    return (F.col("v") * half - lo * half) / (hi * half - lo * half)
+
+
+def _percentiles_of_all(df: DataFrame, x: str, qs: Sequence[float], names: Sequence[str]) -> DataFrame | None:
+    """Percentiles of a whole column of whole or floating numbers; None where they have to be ranked."""
+    if dict(df.dtypes)[x] not in ("double", "float", "int", "bigint", "smallint", "tinyint"):
+        return None
+    at: list[float] = []
+
+    def ranks(n):
+        at[:] = [(n - 1) * float(q) for q in qs]
+        return [int(f(h)) + 1 for h in at for f in (math.floor, math.ceil)] if n else []
+
+    got = order_statistics(df, x, ranks)
+    if got is None:
+        return None
+    row = [lo + (hi - lo) * (h - math.floor(h)) for lo, hi, h in zip(got[::2], got[1::2], at)] or [None] * len(qs)
+    return df.sparkSession.createDataFrame([tuple(row)], T.StructType([T.StructField(k, T.DoubleType()) for k in names]))
+
+
 def percentiles(
     df: DataFrame,
     x: str,
@@ -45,6 +116,8 @@ def percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one column per q."""
     names = names or [f"p{int(round(q * 100))}" for q in qs]
+    if not keys and (whole := _percentiles_of_all(df, x, qs, names)) is not None:
+        return whole
     ranked = value_ranks(df, keys, x)
 
     def at(rank: Column) -> Column:

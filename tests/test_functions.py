@@ -113,3 +113,30 @@ def test_country_beside_city_blocks(spark):
     assert sum(c.n == c.ends == 0 for c in big) > 100 and len(cells) - len(big) < 200 * 16
     assert point_in_polygon(points, polygons, "x", "y", ["id"], how="inner").where("id is null").count() == 0
     assert point_in_polygon(points, polygons.limit(0), "x", "y", ["id"]).where("id is null").count() == len(spots) + 1
+
+
+@pytest.mark.parametrize("left", [0, 50, 50_000])
+def test_percentiles_by_buckets(spark, monkeypatch, left):
+    """Against numpy: skewed, far apart, repeated, negative and NaN values, and one value only."""
+    from headway.operators import distribution as di
+
+    monkeypatch.setattr(di, "LEFT", left)
+    monkeypatch.setattr(di, "BUCKETS", 16 if left < 100 else 4096)
+    rng = np.random.default_rng(3)
+    shapes = {
+        "skewed": np.exp(rng.normal(0, 8, 3000)), "far": np.array([-1.7e308, 1.7e308, 0.0, 5e-324, 1.0] * 3), "copies": rng.integers(0, 3, 2000) * 1.0,
+        "one": np.array([4.0]), "even": rng.uniform(-1, 1, 1001), "two": np.array([1.0, 2.0]),
+    }
+    qs = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
+    for name, v in shapes.items():
+        d = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "x double").repartition(3)
+        got = list(di.percentiles(d, "x", qs).first())
+        h = [(len(v) - 1) * q for q in qs]
+        o = np.sort(v)
+        want = [o[int(np.floor(k))] + (o[int(np.ceil(k))] - o[int(np.floor(k))]) * (k - np.floor(k)) for k in h]
+        assert got == pytest.approx(want, rel=1e-12, nan_ok=True), name
+    assert list(di.percentiles(spark.createDataFrame([], "x double"), "x", [0.5]).first()) == [None]
+    tail = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),)], "x double")
+    assert di.percentiles(tail, "x", [0.5]).first()[0] == 2.0 and np.isnan(di.percentiles(tail, "x", [1.0]).first()[0])
+    ends = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),)], "x double")
+    assert di.percentiles(ends, "x", [0.5]).first()[0] == 2.0
