@@ -1,12 +1,18 @@
 """Licence scan: a paragraph classifier over sparse word n-grams, with templates confirming it.
 
-Every line of a text is read in windows of 40 words that overlap by half. A softmax regression over
-counts of the words and word pairs of the templates gives each window a licence family or the unknown
-class. It is trained here, on the templates and fragments of them set among other words, and on
-windows of a bounded sample of documents as the unknown class. The unknown class is calibrated: a
-family is only believed above the highest probability that held-back unknown windows reach. What is
-believed is then compared with the family's templates, and counts when enough of their word
-triples agree.
+A paragraph is a run of lines that have words; a line without a word ends it, so notices wrapped over
+lines or set in comment marks stay whole. A paragraph is read in windows of 40 words that overlap by half. A
+softmax regression over counts of the words and word pairs of the templates gives each window a licence
+family or the unknown class. It is trained here, on the templates, fragments and pairs of them set among
+other words, and on windows of a bounded sample of documents as the unknown class. The unknown class
+is calibrated: each family is weighed against it alone, and believed only above the highest value that
+held-back unknown windows reach; two licences in one window do not take belief from each other.
+
+Believed windows, with a window around them, are compared with the templates of every believed family.
+A template counts when half of its word triples (or of a window's, where that is less) stand close
+together; a short one must stand there whole, and a template that states a number needs that number.
+Of templates that fit the same words, the one with most agreeing triples wins. After
+``SPDX-License-Identifier:`` the whole expression is read, with AND, OR and WITH.
 
 Words that no template has carry no weight, so a window without a template word is unknown at once, and
 windows are scored from sums over half windows in whole arrays.
@@ -28,6 +34,11 @@ HALF = 20
 UNKNOWN = 0
 #: Share of word triples that must agree; a template of SHORT triples or fewer must stand there whole.
 CONFIRM, SHORT = 0.5, 6
+SPDX, JOINS = [b"spdx", b"license", b"identifier"], (b"and", b"or")
+#: Pairs of templates learned from.
+PAIRS = 300
+#: Most words of a licence or an exception that is not one of ours, in an expression.
+OTHER_ID = 6
 
 # What public licences and the notices that grant them say.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -147,7 +158,18 @@ class Model:
         self.weights = np.zeros((self.width, len(FAMILIES)))
         self.bias = np.zeros(len(FAMILIES))
         self.threshold = 0.5
-        self.shapes = [[], *[[_triples(words_of(t)) for t in ts] for ts in TEMPLATES.values()]]
+        #: (family, triples, words, triples with a number) of each template, and where each triple stands in them.
+        self.templates: list[tuple[int, int, int, set[int]]] = []
+        self.where: dict[tuple, list[tuple[int, int]]] = {}
+        for family, texts in enumerate(TEMPLATES.values(), 1):
+            for words in map(words_of, texts):
+                if words[:3] == SPDX:  # read by expression
+                    continue
+                shape = list(dict.fromkeys(_triples(words)))
+                for number, triple in enumerate(shape):
+                    self.where.setdefault(triple, []).append((len(self.templates), number))
+                numbers = {i for i, t in enumerate(shape) if any(w.isdigit() for w in t)}
+                self.templates.append((family, len(shape), len(words), numbers))
 
     def features(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, feature) of the known words and pairs of a row of word numbers (-1: unknown)."""
@@ -187,42 +209,66 @@ class Model:
         self.weights, self.bias = w, b
 
     def calibrate(self, unknown: list[list[bytes]]) -> None:
-        """The threshold: the highest family probability of held-back unknown windows, between 0.5 and 0.95."""
+        """The threshold: the highest belief that held-back unknown windows reach, between 0.5 and 0.95."""
         if unknown:
-            p = self.probabilities(self.rows(unknown) @ self.weights + self.bias)
-            self.threshold = float(np.clip(p[:, 1:].max() * 1.01, 0.5, 0.95))
-
-    def confirms(self, family: int, words: list[bytes]) -> bool:
-        """Enough of a template's triples stand in the window, or of a long template's the window's in it."""
-        mine = _triples(words)
-        for shape in self.shapes[family]:
-            both = len(mine & shape)
-            need = len(shape) if len(shape) <= SHORT else CONFIRM * len(shape)
-            if both >= need or (len(mine) > SHORT and both >= CONFIRM * len(mine)):
-                return True
-        return False
+            top = _belief(self.rows(unknown) @ self.weights + self.bias).max()
+            self.threshold = float(np.clip(top * 1.01, 0.5, 0.95))
+
+    def overlaps(self, words: list[bytes]) -> int:
+        """The most triples of one template that the words have."""
+        found: dict[int, set] = {}
+        for triple in _triples(words):
+            for template, number in self.where.get(triple, ()):
+                found.setdefault(template, set()).add(number)
+        return max(map(len, found.values()), default=3 if _spdx(words) else 0)
+
+    def confirmed(self, words: list[bytes], families) -> list[tuple[int, int, int]]:
+        """(family, from, to) of the templates of these families that stand in the words, and of SPDX expressions."""
+        triples = _triples(words)
+        hits: dict[int, list[tuple[int, int]]] = {}
+        for i, triple in enumerate(triples):
+            for template, number in self.where.get(triple, ()):
+                hits.setdefault(template, []).append((i, number))
+        room = min(2 * HALF - 2, len(triples)) if len(triples) > SHORT else 2 * HALF - 2
+        fits = []
+        for template, at in hits.items():
+            family, size, length, numbers = self.templates[template]
+            if family not in families:
+                continue
+            short = size <= SHORT
+            count, lo, hi = _densest(at, size - 1 if short else length + length // 4)
+            if count < (size if short else CONFIRM * min(size, room)):
+                continue
+            if numbers and not any(n in numbers for _, n in at[lo:hi]):
+                continue
+            fits.append((-count, -count / size, template, family, {i for i, _ in at[lo:hi]}))
+        kept: list[tuple[int, set]] = []
+        for *_, family, at in sorted(fits, key=lambda x: x[:3]):
+            if all(f == family or 2 * len(at & other) < len(at) for f, other in kept):
+                kept.append((family, at))
+        return [(family, min(at), max(at) + 3) for family, at in kept] + _spdx(words)
 
     def scan(self, texts: list) -> list[tuple[int, list[int], float, int]]:
-        """Per text: windows, confirmed families, the best confirmed probability, unconfirmed windows."""
+        """Per text: windows, confirmed families, the highest belief in one of them, windows believed but not confirmed."""
         lines = [[words_of(x) for x in (t or "").split("\n")] for t in texts]
         words = [w for ls in lines for l in ls for w in l]
         sizes = np.array([len(l) for ls in lines for l in ls], np.int64)
         owner = np.repeat(np.arange(len(texts)), [len(ls) for ls in lines])
-        owner, sizes = owner[sizes > 0], sizes[sizes > 0]
-        if not len(sizes):
+        if not len(words):
             return [(0, [], 0.0, 0)] * len(texts)
-        # Half windows: runs of HALF words inside a line, numbered through; a window is two neighbours.
+        full = sizes > 0
+        opens = full & np.concatenate([[True], ~full[:-1] | (owner[1:] != owner[:-1])])
+        sizes = np.bincount((np.cumsum(opens) - 1)[full], sizes[full]).astype(np.int64)
+        owner = owner[opens]
+        # Half windows: runs of HALF words inside a paragraph, numbered through; a window is two neighbours.
         halves = -(-sizes // HALF)
         first_half = np.cumsum(halves) - halves
-        line = np.repeat(np.arange(len(sizes)), sizes)
+        para = np.repeat(np.arange(len(sizes)), sizes)
         begin = np.cumsum(sizes) - sizes
-        half = first_half[line] + (np.arange(len(words)) - begin[line]) // HALF
-        ids = self.ids(words)
-        ids_cut = ids.copy()
-        pos, feature = self.features(ids_cut)
-        same = pos + 1 < len(words)
+        half = first_half[para] + (np.arange(len(words)) - begin[para]) // HALF
+        pos, feature = self.features(self.ids(words))
         pair = feature >= self.n_words
-        inside = ~pair | (same & (line[np.minimum(pos + 1, len(words) - 1)] == line[pos]))
+        inside = ~pair | (para[np.minimum(pos + 1, len(words) - 1)] == para[pos])
         pos, feature = pos[inside], feature[inside]
         order = np.argsort(half[pos], kind="stable")
         pos, feature = pos[order], feature[order]
@@ -232,37 +278,89 @@ class Model:
             at = half[pos]
             cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             sums[at[cut]] = np.add.reduceat(self.weights[feature], cut, axis=0)
-        half_line = np.repeat(np.arange(len(sizes)), halves)
-        last = np.append(half_line[1:] != half_line[:-1], True)
-        whole = np.concatenate([[True], last[:-1]]) & last
-        score = sums[:-1] + np.where(last[:, None], 0, sums[1:]) + self.bias
-        p = self.probabilities(score)
-        family = p.argmax(axis=1)
-        top = p[np.arange(n_half), family]
-        believed = np.flatnonzero((family != UNKNOWN) & (top >= self.threshold))
-        windows = np.bincount(owner[half_line], (~last | whole), len(texts)).astype(int)
-        out = [[int(n), set(), 0.0, 0] for n in windows]
-        half_begin = begin[half_line] + (np.arange(n_half) - first_half[half_line]) * HALF
-        for h in believed.tolist():
-            end = min(half_begin[h] + 2 * HALF, begin[half_line[h]] + sizes[half_line[h]])
-            row = out[owner[half_line[h]]]
-            if self.confirms(int(family[h]), words[half_begin[h] : end]):
-                row[1].add(int(family[h]))
-                row[2] = max(row[2], float(top[h]))
+        half_para = np.repeat(np.arange(len(sizes)), halves)
+        last = np.append(half_para[1:] != half_para[:-1], True)
+        window = ~last | np.concatenate([[True], last[:-1]])
+        belief = _belief(sums[:-1] + np.where(last[:, None], 0, sums[1:]) + self.bias)
+        out = [[int(n), set(), 0.0, 0] for n in np.bincount(owner[half_para], window, len(texts))]
+        ends = begin + sizes
+        regions: list[list] = []  # [paragraph, from, to, windows]
+        for h in np.flatnonzero(window & (belief.max(axis=1) >= self.threshold)).tolist():
+            p = int(half_para[h])
+            start = int(begin[p]) + (h - int(first_half[p])) * HALF
+            lo, hi = max(int(begin[p]), start - 2 * HALF), min(start + 4 * HALF, int(ends[p]))
+            if regions and regions[-1][0] == p and lo <= regions[-1][2]:
+                regions[-1][2] = hi
             else:
-                row[3] += 1
+                regions.append([p, lo, hi, []])
+            regions[-1][3].append((h, start))
+        for p, lo, hi, members in regions:
+            top = belief[[h for h, _ in members]].max(axis=0)
+            found = self.confirmed(words[lo:hi], set((np.flatnonzero(top >= self.threshold) + 1).tolist()))
+            row = out[owner[p]]
+            for family, _, _ in found:
+                row[1].add(family)
+                row[2] = max(row[2], float(top[family - 1]))
+            spans = [(lo + a, lo + b) for _, a, b in found]
+            row[3] += sum(all(b <= start or a >= start + 2 * HALF for a, b in spans) for _, start in members)
         return [(n, sorted(found), best, open_) for n, found, best, open_ in out]
 
 
-def _triples(words: list[bytes]) -> set:
-    """Word triples, with marks for the end so that short phrases have some too."""
-    if len(words) < 3:
-        return {tuple(words)}
-    return set(zip(words, words[1:], words[2:]))
+def _belief(scores: np.ndarray) -> np.ndarray:
+    """Of each family, its probability when there is only it and the unknown class."""
+    return 1 / (1 + np.exp(np.clip(scores[:, :1] - scores[:, 1:], -500, 500)))
+
+
+def _densest(at: list[tuple[int, int]], reach: int) -> tuple[int, int, int]:
+    """The most different numbers among (position, number) pairs whose positions are at most ``reach`` apart, and where."""
+    inside: dict[int, int] = {}
+    best, lo = (0, 0, 0), 0
+    for hi, (i, number) in enumerate(at):
+        inside[number] = inside.get(number, 0) + 1
+        while i - at[lo][0] > reach:
+            old = at[lo][1]
+            inside[old] -= 1
+            if not inside[old]:
+                del inside[old]
+            lo += 1
+        if len(inside) > best[0]:
+            best = len(inside), lo, hi + 1
+    return best
+
+
+def _spdx(words: list[bytes]) -> list[tuple[int, int, int]]:
+    """(family, from, to) of every known licence in the SPDX expressions of a row of words."""
+    found = []
+    for start in [i for i, w in enumerate(words) if w == SPDX[0] and words[i : i + 3] == SPDX]:
+        i = start + 3
+        while True:
+            known = ((n, IDS[x]) for n in range(OTHER_ID, 0, -1) if (x := tuple(words[i : i + n])) in IDS and len(x) == n)
+            n, family = next(known, (0, UNKNOWN))
+            i += n
+            if family != UNKNOWN:
+                found.append((family, start, i))
+            if family == UNKNOWN or words[i : i + 1] == [b"with"]:  # another licence or an exception: on to what joins it
+                i = next((j for j in range(i, min(i + OTHER_ID + 1, len(words))) if words[j] in JOINS), len(words))
+            if i >= len(words) or words[i] not in JOINS:
+                break
+            i += 1
+    return found
+
+
+def _triples(words: list[bytes]) -> list[tuple]:
+    return list(zip(words, words[1:], words[2:]))
+
+
+#: What SPDX identifiers look like as words, with and without what says if later versions count.
+IDS = {
+    (*words_of(name), *words_of(tail)): family
+    for family, name in enumerate(TEMPLATES, 1)
+    for tail in ("", "only", "or later")
+} | {(b"mit", b"0"): UNKNOWN}
 
 
 def training_windows(seed: int, others: list[list[bytes]]) -> tuple[list, list]:
-    """Templates, fragments of them, and both set among other words."""
+    """Templates and fragments of them set among other words, and pairs of them."""
     rng = np.random.default_rng(seed)
     filler = others or [words_of(t) for t in NEAR_MISSES]
 
@@ -274,13 +372,19 @@ def training_windows(seed: int, others: list[list[bytes]]) -> tuple[list, list]:
     for label, phrases in enumerate(TEMPLATES.values(), 1):
         for phrase in phrases:
             words = words_of(phrase)
-            for _ in range(12):
-                lo = int(rng.integers(0, max(1, len(words) - 2 * HALF + 1)))
-                part = words[lo : lo + 2 * HALF]
+            for i in range(12):
+                size = int(rng.integers(HALF // 2, HALF + 1)) if i % 3 == 0 else 2 * HALF
+                lo = int(rng.integers(0, max(1, len(words) - size + 1)))
+                part = words[lo : lo + size]
                 room = 2 * HALF - len(part)
                 before = some(room)
                 samples.append([*before, *part, *some(max(0, room - len(before)))])
                 labels.append(label)
+    phrases = [(label, words_of(x)) for label, texts in enumerate(TEMPLATES.values(), 1) for x in texts]
+    for _ in range(PAIRS):  # two licences in one window count for both
+        two = [phrases[i] for i in rng.integers(len(phrases), size=2)]
+        samples += [[*two[0][1][:HALF], *two[1][1][:HALF]]] * 2
+        labels += [label for label, _ in two]
     for phrase in NEAR_MISSES:
         for _ in range(12):
             samples.append([*some(12), *words_of(phrase), *some(12)])
@@ -292,14 +396,19 @@ def train(df: DataFrame, text: str, key: str, documents: int = 400, windows: int
     """Fit on the templates and on at most ``windows`` windows of about ``documents`` sampled documents."""
     model = Model()
     named = df.where(col(text).isNotNull() & col(key).isNotNull())
-    lines = (
+    width = 2 * HALF
+    cut = F.split(F.trim(F.regexp_replace("paragraph", r"\s+", " ")), " ")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / width).cast("int")), lambda i: F.array_join(F.slice("w", i * width + 1, width), " "))
+    sample = (
         thinned(named.select(col(key).alias("key"), col(text).alias("text")), "key", documents, max(1, named.count()), 9)
-        .select(F.explode(F.split("text", "\n")).alias("line"))
-        .select(F.regexp_extract("line", r"^\s*((?:\S+\s*){1,40})", 1).alias("line")).where("line <> ''").distinct()
-        .orderBy(F.xxhash64("line")).limit(windows)
+        .select(F.explode(F.split("text", r"\n\s*\n")).alias("paragraph"))
+        .select(cut.alias("w"))
+        .select(F.explode(pieces).alias("piece")).where("piece <> ''").distinct()
+        .orderBy(F.xxhash64("piece")).limit(windows)
     )
-    other = [w[: 2 * HALF] for (t,) in lines.collect() if (w := words_of(t))]
-    other = [w for w in other if not any(model.confirms(f, w) for f in range(1, len(FAMILIES)))]
+    other = [w[:width] for (t,) in sample.collect() if (w := words_of(t))]
+    # What resembles a template is not taken for the unknown class.
+    other = [w for w in other if model.overlaps(w) < 3]
     held, used = other[::4], [w for i, w in enumerate(other) if i % 4]
     samples, labels = training_windows(seed, used)
     model.fit(samples + used, labels + [UNKNOWN] * len(used))

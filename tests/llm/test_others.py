@@ -15,6 +15,7 @@ from headway.llm import licenses, quality, search, tokens, urls
 from headway.llm.common import SortedHashes
 from headway.llm.decontam import words_of
 from headway.llm.queries import URL_RULES
+from tests.llm.conftest import SF
 
 
 def test_sorted_hashes():
@@ -211,3 +212,145 @@ def test_licenses_of_odd_rows(spark, odd, license_model):
     assert len(out) == odd.count() and all(r["licenses"] == [] for r in out)
     assert {r["n_windows"] for r in out if not (r["text"] or "").strip()} == {0}
     assert licenses.scan(odd.limit(0), "text", licenses.train(odd.limit(0), "text", "doc_id")).count() == 0
+
+
+WRAPPED = """#!/bin/sh
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# See the file README.
+"""
+PERMISSION = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+NOTICES = [
+    (WRAPPED, ["GPL-3.0"]),
+    (WRAPPED.replace("version 3", "version 2"), ["GPL-2.0"]),
+    (WRAPPED.replace("GNU General", "GNU Affero General"), ["AGPL-3.0"]),
+    (WRAPPED.replace("version 3", "version 7"), []),
+    ("it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or", ["GPL-3.0"]),
+    (PERMISSION, ["MIT"]),
+    (PERMISSION[:75], ["MIT"]),
+    ("Licensed under the MIT License. Licensed under the Apache License, Version 2.0.", ["Apache-2.0", "MIT"]),
+    ("Licensed under the Apache License,\r\nVersion 2.0.", ["Apache-2.0"]),
+    ("Licensed under the Apache License,\n\nVersion 2.0.", []),
+    ("This work is licensed under a Creative Commons\nAttribution 4.0 International License.", ["CC-BY-4.0"]),
+    ("// SPDX-License-Identifier: MIT OR Apache-2.0\nint main() {}", ["Apache-2.0", "MIT"]),
+    ("SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0 AND BSD-3-Clause)", ["BSD-3-Clause", "GPL-2.0"]),
+    ("SPDX-License-Identifier: Zlib OR ISC", ["ISC"]),
+    ("SPDX-License-Identifier: MIT-0", []),
+    ("SPDX-License-Identifier: Zlib\nIt came out in MIT or elsewhere.", []),
+]
+
+
+def found_in(model, text):
+    return sorted(licenses.FAMILIES[f] for f in model.scan([text])[0][1])
+
+
+@pytest.fixture(scope="module")
+def corpus_model(spark):
+    return licenses.train(spark.read.parquet(f"{SF}/documents.parquet"), "text", "doc_id")
+
+
+@pytest.mark.parametrize("text, want", NOTICES)
+@pytest.mark.parametrize("trained_on", ["license_model", "corpus_model"])
+def test_wrapped_and_dual_notices(request, trained_on, text, want, words):
+    model = request.getfixturevalue(trained_on)
+    assert found_in(model, text) == want
+    around = " ".join(words[:90])
+    assert found_in(model, f"{around}\n\n{text}\n\n{around}") == want
+    assert model.scan([text, None, around]) == [model.scan([x])[0] for x in (text, None, around)]
+
+
+def brute_scan(model, text):
+    """The licences of a text by single windows, and by every place where a template could stand."""
+    paragraphs, now = [], []
+    for line in [*(text or "").split("\n"), ""]:
+        if words := words_of(line):
+            now += words
+        elif now:
+            paragraphs.append(now)
+            now = []
+    found, n_windows, level = set(), 0, -math.log(1 / model.threshold - 1)
+    for par in paragraphs:
+        believed = []
+        for a in [0] if len(par) <= 20 else range(0, 20 * (-(-len(par) // 20) - 1), 20):
+            n_windows += 1
+            part = par[a : a + 40]
+            pairs = zip(par[a : a + 40], par[a + 1 : a + 41])
+            x = np.zeros(model.width)
+            for w in part:
+                if w in model.vocab:
+                    x[model.vocab[w]] += 1
+            for v, w in pairs:
+                key = model.vocab[v] * model.n_words + model.vocab[w] if v in model.vocab and w in model.vocab else -1
+                x[model.n_words + np.flatnonzero(model.pairs == key)] += 1
+            score = x @ model.weights + model.bias
+            if families := {f for f in range(1, len(score)) if score[f] - score[0] >= level}:
+                believed.append((a, families))
+        regions = []
+        for a, families in believed:
+            lo, hi = max(0, a - 40), min(len(par), a + 80)
+            if regions and lo <= regions[-1][1]:
+                regions[-1] = (regions[-1][0], hi, regions[-1][2] | families)
+            else:
+                regions.append((lo, hi, families))
+        for lo, hi, families in regions:
+            found |= {f for f, _, _ in licenses._spdx(par[lo:hi])} | set(brute_templates(par[lo:hi], families))
+    return sorted(licenses.FAMILIES[f] for f in found), n_windows
+
+
+def brute_templates(words, families):
+    here = list(zip(words, words[1:], words[2:]))
+    fits = []
+    order = 0
+    for f, texts in enumerate(licenses.TEMPLATES.values(), 1):
+        for t in map(words_of, texts):
+            if t[0] == b"spdx":
+                continue
+            order += 1
+            shape = set(zip(t, t[1:], t[2:]))
+            short = len(shape) <= 6
+            reach = len(shape) if short else len(t) + len(t) // 4 + 1
+            best = max(range(len(here)), key=lambda i: (len(shape & set(here[i : i + reach])), i), default=0)
+            first = min((i for i in range(len(here)) if len(shape & set(here[i : i + reach])) == len(shape & set(here[best : best + reach]))), default=0)
+            count = len(shape & set(here[best : best + reach]))
+            need = len(shape) if short else min(len(shape), 38, len(here) if len(here) > 6 else 38) / 2
+            # the first place from which that many fit, without words before the first and after the last of them
+            spots = [i for i in range(len(here)) if here[i] in shape]
+            ends = [j for j in spots if j < first + reach and len(shape & set(here[max(0, j - reach + 1) : j + 1])) == count]
+            if f not in families or not ends or count < need:
+                continue
+            at = {i for i in spots if ends[0] - reach < i <= ends[0]}
+            if (digits := {x for x in shape if any(w.isdigit() for w in x)}) and not digits & {here[i] for i in at}:
+                continue
+            fits.append((-count, -count / len(shape), order, f, at))
+    kept = []
+    for *_, f, at in sorted(fits, key=lambda x: x[:3]):
+        if all(f == g or 2 * len(at & other) < len(at) for g, other in kept):
+            kept.append((f, at))
+    return [f for f, _ in kept]
+
+
+def test_scan_equals_windows_and_templates_one_by_one(spark, corpus_model, words):
+    rng = np.random.default_rng(3)
+    texts = [t for (t,) in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    phrases = [x for xs in licenses.TEMPLATES.values() for x in xs]
+    for _ in range(150):  # notices, whole and cut, among words and each other, wrapped anywhere
+        parts = []
+        for _ in range(rng.integers(1, 6)):
+            part = phrases[rng.integers(len(phrases))].split(" ") if rng.random() < 0.7 else words[: rng.integers(0, 60)]
+            parts += part[: rng.integers(1, len(part) + 1)] if part and rng.random() < 0.3 else part
+        texts.append("".join(w + [" ", "\n", "\n# \n"][rng.choice(3, p=[0.9, 0.08, 0.02])] for w in parts))
+    texts += [x for x, _ in NOTICES]
+    some = 0
+    for text, (n, families, belief, _) in zip(texts, corpus_model.scan(texts)):
+        want = brute_scan(corpus_model, text)
+        assert (sorted(licenses.FAMILIES[f] for f in families), n) == want, text
+        some += bool(families)
+    assert some > 100
