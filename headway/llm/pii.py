@@ -7,15 +7,21 @@ that equal values stay equal in every document and different values stay differe
 kind        accepted when                            permuted
 ==========  =======================================  =============================================
 email       local part of 64 characters at most      letters and digits of the local part
-secret      32 to 64 hexadecimal digits, one case,    hexadecimal digits
-            a letter and a digit among them
+secret      32 to 64 hexadecimal digits, one case,    hexadecimal digits; letters and digits behind
+            a letter and a digit among them, or      the prefix
+            a key with a known prefix
 iban        check digits right (mod 97)              account part, check digits made right again
 card        13 to 19 digits, Luhn sum right          all but first and last digit, Luhn made right
 ssn         area, group and serial in use            all, within the numbers in use
 phone       3-3-4 digits after an optional country   area, exchange and line; whether they begin
-            code, or a country code and groups       with 0/1 or 2-9 stays
-ip          four numbers up to 255                   all four
-date        a calendar day from 1900 to 2099         the day, within these 200 years
+            code, a country code and groups, groups   with 0/1 or 2-9 stays; in groups all but the
+            behind a 0, or ten digits that follow     country code or the 0
+            a word like tel or call
+ip          four numbers up to 255, or a version 6    all four; hexadecimal digits
+            address of eight groups, or of three
+            to seven with ``::``
+date        a calendar day from 1900 to 2099, in      the day, within these 200 years
+            numbers or with an English month
 ==========  =======================================  =============================================
 
 Each permutation is an alternating Feistel network: one half is shifted by a SHA-256 digest of key,
@@ -52,17 +58,25 @@ def _grouped(n: int, countries: str) -> str:
     return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}{rest}"
 
 
+# English months, prefixes of keys, words before a phone number.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+PREFIXES = {"AKIA": "[0-9A-Z]{16}", "ASIA": "[0-9A-Z]{16}", "AIza": "[0-9A-Za-z_-]{35}", "gh[pousr]_": "[0-9A-Za-z]{36}", "sk_live_": "[0-9A-Za-z]{24,64}"}
+CALLED = r"(?<=\b(?:[Pp]hone|[Tt]el|[Ff]ax|[Cc]all|[Mm]obile|[Cc]ell)(?: (?:number|no|is|at|me at|us at)){0,1}[.:]{0,2} {0,2})"
+TEN_DIGITS = r"[2-9]\d{2}[2-9]\d{6}"
+_MONTH = "(?:" + "|".join(m if len(m) == 3 else f"{m[:3]}(?:{m[3:]})?" for m in MONTHS) + ")"
+_V6 = r"(?<!:)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?!:)"
+
 #: The value must match the whole pattern; the first kind that fits counts. Groups without an upper bound repeat possessively: the matcher
 #: walks them in a loop, where it would otherwise take a stack frame for each repetition.
 SHAPES = {
     "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
-    "secret": r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})",
+    "secret": r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|" + "|".join(map("".join, PREFIXES.items())) + ")",
     "iban": r"(?:" + "|".join(_grouped(n, c) for n, c in IBAN_LENGTHS.items()) + r"|[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?))",
     "card": r"(?:\d{13,19}|\d{4}([ -])(?:\d{4}\1\d{4}\1\d{4}|\d{6}\1\d{5}))",
     "ssn": r"\d{3}-\d{2}-\d{4}",
-    "phone": r"(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+\d{8,15})",
-    "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
-    "date": r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})",
+    "phone": r"(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[-. /])\d{3}[-. ]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+\d{8,15}|(?:\(0\d{2,4}\) ?|0\d{2,4}[ -])\d{3,4}[ -]\d{3,4})",
+    "ip": r"(?:\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}|" + _V6 + ")",
+    "date": r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}|" + rf"\d{{1,2}} {_MONTH} \d{{4}}|{_MONTH} \d{{1,2}}, \d{{4}})",
 }
 _BEFORE = {
     "email": r"(?<![\p{L}\p{N}._%+-])", "phone": r"(?<![\p{L}\p{N}+])", "ip": r"(?<![\p{L}\p{N}]|\d\.)",
@@ -77,6 +91,8 @@ def pattern() -> str:
     for k in KINDS:
         shape = SHAPES[k].replace(r"([ -])", r"(?<gap>[ -])").replace(r"\1", r"\k<gap>")
         parts.append(_BEFORE.get(k, EDGE_L) + shape + _AFTER.get(k, EDGE_R))
+    # Ten digits alone are a phone number only behind a word that says so; nothing else finds ten digits.
+    parts.append(rf"(?={TEN_DIGITS}{EDGE_R}){CALLED}{TEN_DIGITS}")
     return "|".join(parts)
 
 
@@ -175,7 +191,7 @@ def _pad(x: Column, n: int) -> Column:
 
 
 def _whole(kind: str) -> str:
-    return "^(?:" + SHAPES[kind] + ")$"
+    return "^(?:" + SHAPES[kind] + (f"|{TEN_DIGITS}" if kind == "phone" else "") + ")$"
 
 
 def _email(v, key):
@@ -185,11 +201,17 @@ def _email(v, key):
     return at <= 65, new
 
 
+def _hexadecimal(v, key, kind):
+    lower = permute_text(v, key, kind, (DIGITS + "abcdef",))
+    upper = permute_text(v, key, kind, (DIGITS + "ABCDEF",))
+    return F.when(v.rlike("[a-f]"), lower).otherwise(upper)
+
+
 def _secret(v, key):
-    ok = v.rlike("[0-9]") & v.rlike("[A-Fa-f]")
-    lower = permute_text(v, key, "secret", (DIGITS + "abcdef",))
-    upper = permute_text(v, key, "secret", (DIGITS + "ABCDEF",))
-    return ok, F.when(v.rlike("[a-f]"), lower).otherwise(upper)
+    prefix = F.regexp_extract(v, "^(?:" + "|".join(PREFIXES) + ")", 0)
+    known = F.concat(prefix, permute_text(F.substring(v, F.length(prefix) + 1, F.length(v)), key, "secret"))
+    ok = (prefix != "") | (v.rlike("[0-9]") & v.rlike("[A-Fa-f]"))
+    return ok, F.when(prefix != "", known).otherwise(_hexadecimal(v, key, "secret"))
 
 
 def _iban(v, key):
@@ -218,8 +240,8 @@ def _ssn(v, key):
     return ok, F.concat(_pad(a, 3), F.lit("-"), _pad(F.floor(p["r"] / 9999) + 1, 2), F.lit("-"), _pad(p["r"] % 9999 + 1, 4))
 
 
-#: Country code, gap, area, gap, exchange, gap, line.
-_TEN = r"^((?:\+\d{1,3}[ .-]?)?\(?)(\d{3})(\) ?|[-. ])(\d{3})([-. ])(\d{4})$"
+#: Country code, gap, area, gap, exchange, gap, line; without gaps where the ten digits stand alone.
+_TEN = r"^((?:\+\d{1,3}[ .-]?)?\(?)(\d{3})(\) ?|[-. /]|(?<=^\d{3})(?=\d{7}$))(\d{3})([-. ]|(?<=^\d{6}))(\d{4})$"
 
 
 def _phone(v, key):
@@ -231,7 +253,7 @@ def _phone(v, key):
     ten = F.concat(
         part[1], _pad(p["l"] + low_a, 3), part[3], _pad(F.floor(p["r"] / 10000) + low_e, 3), part[5], _pad(p["r"] % 10000, 4)
     )
-    code = F.regexp_extract(v, r"^\+(?:\d{1,3}(?=[ .-])|\d{2})", 0)
+    code = F.regexp_extract(v, r"^(?:\+(?:\d{1,3}(?=[ .-])|\d{2})|\(?0)", 0)
     rest = permute_text(F.substring(v, F.length(code) + 1, F.length(v)), key, "phone", (DIGITS,))
     return F.lit(True), F.when(v.rlike(_TEN), ten).otherwise(F.concat(code, rest))
 
@@ -241,7 +263,9 @@ def _ip(v, key):
     ok = (F.greatest(*o) < 256) & ~v.rlike(r"(^|\.)0\d")
     p = permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
     parts = [F.floor(p["l"] / 256), p["l"] % 256, F.floor(p["r"] / 256), p["r"] % 256]
-    return ok, F.concat_ws(".", *[x.cast("string") for x in parts])
+    six, groups = v.contains(":"), F.size(F.array_remove(F.split(v, ":"), ""))
+    ok = F.when(six, (groups == 8) & ~v.contains("::") | groups.between(3, 7) & v.contains("::")).otherwise(ok)
+    return ok, F.when(six, _hexadecimal(v, key, "ip")).otherwise(F.concat_ws(".", *[x.cast("string") for x in parts]))
 
 
 def _date(v, key):
@@ -252,13 +276,20 @@ def _date(v, key):
     # 00/00/0000 with a slash is read as month/day/year when only that is a calendar day.
     us = ~iso & (gap == "/") & (month.cast("int") > 12)
     shown = F.concat_ws("-", year, F.when(us, day).otherwise(month), F.when(us, month).otherwise(day))
-    at = F.try_to_date(shown, "yyyy-MM-dd")
+    name = F.regexp_extract(v, "[A-Z][a-z]+", 0)
+    spelled, first, short = name != "", v.rlike(r"^\d"), (F.length(name) == 3) & (name != "May")
+    number = F.floor((F.instr(F.lit("".join(m[:3] for m in MONTHS)), F.substring(name, 1, 3)) + 2) / 3)
+    written = F.concat_ws("-", F.substring(v, -4, 4), _pad(number, 2), F.lpad(F.regexp_extract(v, r"\d{1,2}(?= |,)", 0), 2, "0"))
+    at = F.try_to_date(F.when(spelled, written).otherwise(shown), "yyyy-MM-dd")
     n = F.datediff(at, F.lit("1900-01-01").cast("date"))
     ok = at.isNotNull() & (n >= 0) & (n < 17 * 4297)  # the days of 1900 to 2099
     p = permute_pair(F.floor(n / 4297), n % 4297, 17, 4297, key, "date")
     new = F.date_add(F.lit("1900-01-01").cast("date"), (p["l"] * 4297 + p["r"]).cast("int"))
     y, m, d = F.date_format(new, "yyyy"), F.date_format(new, "MM"), F.date_format(new, "dd")
-    return ok, F.when(iso, F.concat(y, gap, m, gap, d)).when(us, F.concat(m, gap, d, gap, y)).otherwise(F.concat(d, gap, m, gap, y))
+    whole = F.element_at(F.array(*map(F.lit, MONTHS)), F.month(new))
+    month, day = F.when(short, F.substring(whole, 1, 3)).otherwise(whole), F.dayofmonth(new).cast("string")
+    words = F.when(first, F.concat_ws(" ", day, month, y)).otherwise(F.concat(month, F.lit(" "), day, F.lit(", "), y))
+    return ok, F.when(spelled, words).when(iso, F.concat(y, gap, m, gap, d)).when(us, F.concat(m, gap, d, gap, y)).otherwise(F.concat(d, gap, m, gap, y))
 
 
 _RULES = {"email": _email, "secret": _secret, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date}
