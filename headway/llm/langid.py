@@ -38,21 +38,25 @@ _NO_LETTER = regex.compile(r"\P{L}+")
 ADDED = "lang_pred string, score double, entropy double, rejected boolean"
 
 
-def sample_rows(df: DataFrame, text: str, lang: str, key: str, per_lang: int, usable: Column) -> DataFrame:
-    """At most ``per_lang`` labelled rows of each language, the first by a hash of their key."""
+def sample_rows(df: DataFrame, text: str, lang: str, key: str, per_lang: int, usable: Column, max_langs: int = 1000) -> DataFrame:
+    """At most ``per_lang`` labelled rows of each of the ``max_langs`` languages with most rows, the first by a hash of their key.
+
+    Both broadcasts are bounded: the counts have ``max_langs`` rows, the ids ``per_lang`` times as many. Rows are thinned
+    before they are dealt by language.
+    """
     w = Window.partitionBy("lang").orderBy("h", "key")
     named = df.where(usable & col(lang).isNotNull() & col(text).isNotNull() & col(key).isNotNull()).select(
         col(lang).alias("lang"), col(key).alias("key"), F.xxhash64(col(key), F.lit(6)).alias("h")
     )
-    have = named.groupBy("lang").agg(F.count(F.lit(1)).alias("have"))
+    have = named.groupBy("lang").agg(F.count(F.lit(1)).alias("have")).orderBy(F.desc("have"), "lang").limit(max_langs)
     ids = (
-        thinned(named.join(have, "lang"), "key", per_lang, F.col("have"), 5)
+        thinned(named.join(F.broadcast(have), "lang"), "key", per_lang, F.col("have"), 5)
         .withColumn("n", F.row_number().over(w))
         .where(F.col("n") <= per_lang)
         .select("lang", "key", (F.col("n") % 4 == 0).alias("calibrate"))
         .groupBy("key").agg(F.min("lang").alias("lang"), F.min("calibrate").alias("calibrate"))
     )
-    # At most per_lang rows a language, so the texts stay where they are.
+    # The texts stay where they are.
     return df.select(col(key).alias("key"), col(text).alias("text")).join(F.broadcast(ids), "key").select("lang", "text", "calibrate")
 
 
