@@ -44,30 +44,38 @@ def _text(x):
     return F.encode(x.cast("string"), "utf-8")
 
 
-def binary_entities(t):
-    """A vehicle entity for each update, as the bytes of a feed message."""
+def binary_entities(t, name=None):
+    """A vehicle entity for each update, as the bytes of a feed message; ``name`` is the entity's id, if it is not null."""
     trip = _chunk("0A", _chunk("0A", _text(F.col("trip_id"))))
     seen = F.concat(trip, F.unhex(F.lit("18")), F.unhex(F.lpad(F.hex("stop_sequence"), 2, "0")), _chunk("3A", _text(F.col("stop_id"))))
-    entity = _chunk("12", F.concat(_chunk("0A", F.encode(F.lit("e1"), "utf-8")), _chunk("22", seen)))
+    own = _chunk("0A", _text(F.lit("e1") if name is None else name))
+    entity = _chunk("12", F.concat(F.coalesce(own, F.unhex(F.lit(""))), _chunk("22", seen)))
     header = _chunk("0A", _chunk("0A", F.encode(F.lit("2.0"), "utf-8")))
     return t.upd.select("trip_id", "price", "flag", F.concat(header, entity).alias("content"))
 
 
+#: Messages of a file. A file is one record with all its entities, so their number bounds a task's memory, whatever the input.
+MESSAGES = 20_000
+
+
 def write_binary(t, path):
-    """Files of feed messages: messages one behind the other are one message, parted here by a field that readers skip."""
-    d = binary_entities(t).select(F.col("content").cast("string"))
-    d.write.option("lineSep", "x\0").text(path)
+    """Files of feed messages: messages one behind the other are one message, parted here by a field that readers skip.
+
+    An entity's id is the price of its update.
+    """
+    d = binary_entities(t, F.col("price").cast("string")).select(F.col("content").cast("string"))
+    d.write.option("lineSep", "x\0").option("maxRecordsPerFile", MESSAGES).text(path)
 
 
 def seen_vehicles(d):
     e = d.select("header", F.explode("entity").alias("e"))
     return e.select(
         F.col("e.vehicle.trip.trip_id").alias("trip"), F.col("e.vehicle.stop_id").alias("stop"), F.col("e.vehicle.current_stop_sequence").alias("stop_sequence"),
-        F.col("header.gtfs_realtime_version").alias("version"),
+        F.col("header.gtfs_realtime_version").alias("version"), F.col("e.id").cast("double").alias("price"),
     )
 
 
-@query("s05_decode_snapshots", "upd", "SELECT CAST(trip_id AS VARCHAR) AS trip, CAST(stop_id AS VARCHAR) AS stop, stop_sequence, '2.0' AS version FROM upd")
+@query("s05_decode_snapshots", "upd", "SELECT CAST(trip_id AS VARCHAR) AS trip, CAST(stop_id AS VARCHAR) AS stop, stop_sequence, '2.0' AS version, price FROM upd")
 def _(t):
     path = scratch_path(t.spark, "binary")
     write_binary(t, path)
