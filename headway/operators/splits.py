@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from headway.functions.numbers import hash_text
-from headway.operators.spans import place
+from headway.operators.spans import HASH_DIGITS, place
 
 
 def _label(df, ratio: float, pos="_pos", total="_total", name="split") -> DataFrame:
@@ -26,7 +26,7 @@ def split_temporal(df, order: Sequence, slices: Sequence[Column], ratio: float =
 
 def split_random(df, key: Sequence[str], ratio: float = 0.9, seed: int = 42) -> DataFrame:
     h = df.withColumn("_h", hash_text(*key, seed=seed))
-    placed = place(h, [], [F.col("_h"), *[F.col(k) for k in key]], [F.substring("_h", 1, 5)], "_pos", "_total")
+    placed = place(h, [], [F.col("_h"), *[F.col(k) for k in key]], [F.substring("_h", 1, HASH_DIGITS)], "_pos", "_total")
     return _label(placed, ratio).drop("_h")
 
 
