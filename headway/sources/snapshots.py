@@ -57,8 +57,8 @@ def validate_snapshots(df: DataFrame) -> DataFrame:
 
 
 def snapshots_to_json(df: DataFrame, path: str) -> None:
-    """One record per snapshot with the original field names."""
-    df.select("header", "entity").write.mode("overwrite").json(path)
+    """One record per snapshot with the original field names, compressed: most of the text is those names."""
+    df.select("header", "entity").write.mode("overwrite").option("compression", "snappy").json(path)
 
 
 def entity_type(e: str = "entity") -> Column:
@@ -136,6 +136,12 @@ def normalize_snapshots(df: DataFrame) -> dict[str, DataFrame]:
     seen = seen.withColumns(
         {"trip_descriptor_id": row_id(*TRIP_KEY), "vehicle_descriptor_id": row_id(*VEHICLE_KEY)}
     )
+    # An entity names one trip and one vehicle, as an update or else as a position: descriptors of both come from one pass.
+    u, v = F.col("entity.trip_update"), F.col("entity.vehicle")
+    named = kept.where(u.isNotNull() | v.isNotNull()).select(
+        F.when(u.isNotNull(), u["trip"]).otherwise(v["trip"]).alias("t"), F.when(u.isNotNull(), u["vehicle"]).otherwise(v["vehicle"]).alias("v")
+    ).select(*_descriptor("t"), *_vehicle("v"))
+    named = named.withColumns({"trip_descriptor_id": row_id(*TRIP_KEY), "vehicle_descriptor_id": row_id(*VEHICLE_KEY)})
     stops = updates.select("trip_update_id", F.explode("u.stop_time_update").alias("s")).select(
         "trip_update_id", "s.stop_sequence", "s.stop_id", F.col("s.arrival.delay").alias("arrival_delay"),
         F.col("s.arrival.time").alias("arrival_time"), F.col("s.departure.delay").alias("departure_delay"),
@@ -158,8 +164,8 @@ def normalize_snapshots(df: DataFrame) -> dict[str, DataFrame]:
 
     return {
         "feed_messages": messages, "feed_headers": headers, "feed_entities": entities,
-        "trip_descriptors": one_per_id(updates.select(*trip_cols).unionByName(seen.select(*trip_cols)), "trip_descriptor_id", trip_cols),
-        "vehicle_descriptors": one_per_id(updates.select(*vehicle_cols).unionByName(seen.select(*vehicle_cols)), "vehicle_descriptor_id", vehicle_cols),
+        "trip_descriptors": one_per_id(named.select(*trip_cols), "trip_descriptor_id", trip_cols),
+        "vehicle_descriptors": one_per_id(named.select(*vehicle_cols), "vehicle_descriptor_id", vehicle_cols),
         "trip_updates": updates.select("trip_update_id", "feed_entity_id", "trip_descriptor_id", "vehicle_descriptor_id"),
         "stop_time_updates": stops,
         "vehicle_positions": seen.select(
