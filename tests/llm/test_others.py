@@ -113,6 +113,33 @@ def test_search_ties_go_to_the_smaller_key_across_shards(idf):
 
 
 
+def test_search_reads_postings_of_short_lists_only(monkeypatch):
+    """Lists longer than a sixteenth of a shard are added by a product, those of at most that by posting; both are exact."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(w for j, w in enumerate(words) if rng.random() < 1 / (2 + j))) for i in range(300)]
+    schema = pa.schema([("keys", pa.list_(pa.int64())), *[(x, pa.binary()) for x in ("lengths", "terms", "starts", "docs", "counts")], ("width", pa.int32())])
+    b = search.Builder()
+    b.add(*map(list, zip(*docs)))
+    shard = pa.RecordBatch.from_pylist([b.row()], schema)
+    wanted = np.unique(np.array([search._hash(w.encode()) for w in words], np.uint64))
+    df = Counter(w for _, t in docs for w in t.split())
+    idf = np.zeros(len(wanted))
+    for w in words:
+        idf[np.searchsorted(wanted, np.uint64(search._hash(w.encode())))] = math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5))
+    mean = sum(len(t.split()) for _, t in docs) / len(docs)
+    asked = [np.sort(np.searchsorted(wanted, np.array([search._hash(w.encode()) for w in t.split()], np.uint64))) for _, t in docs if t]
+    read, ranges = [], search._ranges
+    monkeypatch.setattr(search, "_ranges", lambda begin, size: read.append(size) or ranges(begin, size))
+    shared = SimpleNamespace(value=(list(range(len(asked))), asked, wanted, idf, mean))
+    (out,) = search._searcher(shared, 10)(iter([shard]))
+    assert max(size.max(initial=0) for size in read[1:]) <= 300 // 16  # the first opens the shard
+    got = {}
+    for q, d, s in zip(*[out.column(i).to_pylist() for i in range(3)]):
+        got.setdefault(q, []).append((d, pytest.approx(s, abs=2e-6)))
+    assert got == {q: f[0] for q, f in brute_search(docs, enumerate(t for _, t in docs if t), 10).items()}
+
+
 def test_queries_with_the_same_terms_are_searched_once_in_bounded_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "QUERY_TERMS", 100)
     texts = [np.arange(i, i + 10, dtype=np.uint64).tobytes() for i in range(40)]
