@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from headway.functions.clock import floor_to
 from headway.operators.spans import POS, known_neighbours, rowwise
 
 
@@ -70,6 +71,30 @@ def fill_across(df, row: Sequence[str], col_order: str, x: str, default=0.0) ->
     return df.withColumn(x, F.coalesce(F.last(x, True).over(w), F.lit(default)))
 
 
+#: Steps of a grid whose known values travel as one map.
+CHUNK = 64
+
+
+def grid_bounds(df, ts: str, step_seconds: int, span: tuple[str, str] | None = None) -> Column:
+    """First and last step of :func:`regular_grid` as struct(lo, hi), null for a frame without times."""
+    if span:
+        lo, hi = (F.lit(s).cast("timestamp_ntz") for s in span)
+        return F.struct(floor_to(lo, step_seconds).alias("lo"), floor_to(hi, step_seconds).alias("hi"))
+    at = floor_to(ts, step_seconds)
+    return df.agg(F.struct(F.min(at).alias("lo"), F.max(at).alias("hi"))).scalar()
+
+
+def grid_steps(df, ts: str, step_seconds: int, span: tuple[str, str] | None = None) -> DataFrame:
+    """The steps of :func:`regular_grid`, one row each; as long as the calendar."""
+    bounds = grid_bounds(df, ts, step_seconds, span)
+    one = df.sparkSession.range(1).select(bounds["lo"].alias("lo"), bounds["hi"].alias("hi"))
+    return one.select(F.explode(F.sequence("lo", "hi", _seconds(step_seconds))).alias(ts))
+
+
+def _seconds(n: int) -> Column:
+    return F.expr(f"INTERVAL {int(n)} SECOND")
+
+
 def regular_grid(df, keys: Sequence[str], ts: str, step_seconds: int, x: str, span: tuple[str, str] | None = None) -> DataFrame:
     """Mean of ``x`` per (key, time step) on every step between the first and last of all keys.
 
@@ -77,25 +102,23 @@ def regular_grid(df, keys: Sequence[str], ts: str, step_seconds: int, x: str, sp
     wrong clock stretches the grid.
 
     Adds ``observed``; missing steps have null ``x``. The number of steps is bounded by the
-    calendar, the expansion grows with keys x steps.
+    calendar, the expansion grows with keys x steps. Only known values are shuffled: they are gathered
+    by key, in maps of ``CHUNK`` steps, and every key is spread out where it is. So the grid comes dealt by key.
     """
-    from headway.functions.clock import floor_to
-
     if span:
         lo, hi = (F.lit(s).cast("timestamp_ntz") for s in span)
         df = df.where(F.col(ts).between(lo, hi))
-    cells = df.groupBy(*keys, floor_to(ts, step_seconds).alias(ts)).agg(F.avg(x).alias(x))
-    bounds = df.agg(
-        F.struct(
-            F.min(floor_to(ts, step_seconds)).alias("lo"),
-            F.max(floor_to(ts, step_seconds)).alias("hi"),
-        )
-    ).scalar()
-    if span:
-        bounds = F.struct(floor_to(lo, step_seconds).alias("lo"), floor_to(hi, step_seconds).alias("hi"))
-    step = F.expr(f"INTERVAL {int(step_seconds)} SECOND")
-    frame = (
-        df.select(*keys).distinct()
-        .withColumn(ts, F.explode(F.sequence(bounds["lo"], bounds["hi"], step)))
-    )
-    return frame.join(cells, [*keys, ts], "left").withColumn("observed", F.col(x).isNotNull())
+    bounds, width = grid_bounds(df, ts, step_seconds, span), step_seconds * CHUNK
+    cells = df.groupBy(*keys, floor_to(ts, step_seconds).alias("_at")).agg(F.avg(x).alias("_x"))
+    known = F.when(F.col("_at").isNotNull() & F.col("_x").isNotNull(), F.struct("_at", "_x"))
+    chunks = cells.groupBy(*keys, floor_to("_at", width).alias("_chunk")).agg(F.map_from_entries(F.collect_list(known)).alias("_cells"))
+    some = F.col("_chunk").isNotNull()
+    for k in keys:  # a null key is no key: it has steps, but no values
+        some = some & F.col(k).isNotNull()
+    by_key = chunks.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(some, F.struct("_chunk", "_cells")))).alias("_chunks"))
+    spread = by_key.select(*keys, "_chunks", F.explode(F.sequence(floor_to(bounds["lo"], width), bounds["hi"], _seconds(width))).alias("_chunk"))
+    last = F.least(bounds["hi"], F.col("_chunk") + _seconds(width - step_seconds))
+    steps = F.sequence(F.greatest(bounds["lo"], F.col("_chunk")), last, _seconds(step_seconds))
+    grid = spread.select(*keys, F.try_element_at("_chunks", F.col("_chunk")).alias("_cells"), steps.alias("_steps"))
+    grid = grid.select(*keys, "_cells", F.explode("_steps").alias(ts))
+    return grid.select(*keys, ts, F.try_element_at("_cells", F.col(ts)).alias(x)).withColumn("observed", F.col(x).isNotNull())

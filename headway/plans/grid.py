@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from headway.operators.fills import ffill, regular_grid
+from headway.operators.fills import ffill, grid_steps, regular_grid
 from headway.operators.scaling import standard_apply, standard_fit
 from headway.operators.sequences import source_mask, stop_edges
 from headway.operators.spans import daily
@@ -17,9 +17,11 @@ def stop_grid(df: DataFrame, route_ids=None, ts="actual_arrival_time", step=900,
     d = df if route_ids is None else df.where(F.col("route_id").isin(*route_ids))
     edges = stop_edges(d, ["trip_id"], [ts, "stop_sequence", "stop_id"], daily(ts), "stop_id")
     grid = regular_grid(d, ["stop_id"], ts, step, "arrival_delay")
-    grid = ffill(grid, ["stop_id"], [F.col(ts)], daily(ts), "arrival_delay", 4, 0.0)
-    steps = numbered_dates(grid.select(ts), ts)
-    grid = grid.join(steps.select(ts, (F.col("idx") < F.floor(F.col("n_dates") * F.lit(float(train)))).alias("is_train")), ts)
+    # A stop has as many rows as there are steps, and they come dealt by stop: a plain window shuffles nothing.
+    grid = ffill(grid, ["stop_id"], [F.col(ts)], None, "arrival_delay", 4, 0.0)
+    steps = numbered_dates(grid_steps(d, ts, step), ts)
+    last = steps.where(F.col("idx") < F.floor(F.col("n_dates") * F.lit(float(train)))).agg(F.max(ts)).scalar()
+    grid = grid.withColumn("is_train", F.coalesce(F.col(ts) <= last, F.lit(False)))
     fit = standard_fit(grid.where("is_train"), ["arrival_delay"])
     return {
         "edges": edges, "nodes": source_mask(d.select("stop_id"), edges, "stop_id"),

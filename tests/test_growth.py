@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from headway.operators import learning as le, spans, splits as sp
+from headway.operators import fills as fi, learning as le, spans, splits as sp
 from headway.sources import snapshots as sn
 from headway.sources.schemas import FEED
 
@@ -59,3 +59,20 @@ def test_json_snapshots_are_compressed_and_read_back(spark, tmp_path):
     assert list((tmp_path / "j").glob("part-*.snappy"))
     got = sn.validate_snapshots(sn.read_snapshots(spark, path, "vehicle", "json")).groupBy("valid", "n_entities").count().collect()
     assert {(r.valid, r.n_entities, r["count"]) for r in got} == {(True, 4, 1), (False, 1, 1)}
+
+
+def test_grid_comes_dealt_by_key(spark):
+    """Known values are gathered by key before the steps are spread out: the grid is neither joined nor shuffled."""
+    rows = [("a", "2024-01-01 00:01:00", 1.0), ("a", "2024-01-01 00:02:00", 3.0), ("a", "2024-01-02 00:00:00", None), ("b", "2024-01-02 20:01:00", 5.0),
+            ("c", None, 7.0), (None, "2024-01-01 00:01:00", 9.0)]
+    d = spark.createDataFrame(rows, "k string, t string, x double").select("k", F.col("t").cast("timestamp_ntz").alias("t"), "x")
+    grid = fi.regular_grid(d, ["k"], "t", 900, "x")
+    filled = fi.ffill(grid, ["k"], [F.col("t")], None, "x", 2, 0.0)
+    plan = filled._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and grid.columns == ["k", "t", "x", "observed"]
+    steps = 44 * 4 + 1
+    assert {r.k: r["count"] for r in grid.groupBy("k").count().collect()} == {"a": steps, "b": steps, "c": steps, None: steps}
+    known = {(r.k, str(r.t), r.x) for r in grid.where("observed").collect()}
+    assert known == {("a", "2024-01-01 00:00:00", 2.0), ("b", "2024-01-02 20:00:00", 5.0)}
+    assert [r.x for r in filled.where("k = 'a'").orderBy("t").limit(4).collect()] == [2.0, 2.0, 2.0, 0.0]
+    assert fi.grid_steps(d, "t", 900).count() == steps and fi.grid_steps(d.limit(0), "t", 900).count() == 0
