@@ -8,7 +8,7 @@ the one the plain window gives while no task sees more than a slice or a block o
   never decrease along the order (an hour for a time order, say). Rows are numbered inside
   (key, slice) and shifted by the row counts of earlier slices, which are pre-aggregated.
 * :func:`rowwise` evaluates bounded ROWS frames over blocks of consecutive positions.
-* :func:`timewise` evaluates bounded RANGE frames over time slices.
+* :func:`timewise` evaluates bounded RANGE frames over time slices, :func:`timewise_mean` means over frames of very many rows.
 * :func:`running` gives cumulative sums over an order of any length.
 * :func:`known_neighbours` finds the nearest known value over a gap of any length.
 """
@@ -172,6 +172,40 @@ def timewise(
     return out.where(F.col("_slice").eqNullSafe(F.col("_home"))).drop("_home", "_slice", "_us")
 
 
+def timewise_mean(df: DataFrame, keys: Sequence[str], ts: str, x: str, name: str, back_seconds: int, until_seconds: int = 0) -> DataFrame:
+    """Add the mean of ``x`` over times ``[ts - back, ts - until]``, as :func:`timewise` gives it, in time that does not follow the rows
+    of a frame.
+
+    Slices are as long as a frame, so a frame is the end of one slice and the start of the next. Each row asks for the sum from the
+    frame's first time to the end of that slice, and for the one from the start of the next slice to the frame's last time: both
+    are running sums, and nothing is subtracted. Two shuffles on (key, slice). Rows without a time see only each other.
+    """
+    width = (back_seconds - until_seconds) * 1_000_000 + 1
+    us = micros(ts)
+    lo, hi = us - back_seconds * 1_000_000, us - until_seconds * 1_000_000
+
+    def start(at):
+        return at - F.pmod(at, F.lit(width))
+
+    def half(d, sign, at, part):
+        """Sum and count of values between ``at`` and the end of its slice that ``sign`` runs from."""
+        value, asked = (
+            F.struct(F.lit(ask).alias("ask"), start(t).alias("slice"), (t * sign).alias("order")) for ask, t in ((False, us), (True, at))
+        )
+        d = d.select("*", F.explode(F.array(value, asked)).alias("_c"))
+        # The copy that is only a value leaves the other columns behind.
+        d = d.select(*[F.when(F.col("_c.ask"), F.col(k)).alias(k) if k not in (*keys, x) else F.col(k) for k in d.columns if k != "_c"], "_c")
+        w = Window.partitionBy(*keys, "_c.slice").orderBy("_c.order").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        v = F.when(~F.col("_c.ask"), F.col(x).cast("double"))
+        return d.withColumns({f"_s{part}": F.sum(v).over(w), f"_n{part}": F.count(v).over(w)}).where("_c.ask").drop("_c")
+
+    out = half(half(df, -1, lo, 0), 1, hi, 1)
+    two = F.coalesce(start(lo) < start(hi), F.lit(False))  # else the frame is one whole slice
+    total = F.coalesce("_s0", F.lit(0.0)) + F.when(two, F.coalesce("_s1", F.lit(0.0))).otherwise(0.0)
+    n = F.col("_n0") + F.when(two, F.col("_n1")).otherwise(0)
+    return out.withColumn(name, F.when(n > 0, total / n)).drop("_s0", "_n0", "_s1", "_n1")
+
+
 def known_neighbours(
     df: DataFrame, keys: Sequence[str], order: Sequence, slices: Sequence, cols: Sequence[str]
 ) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from headway.functions.clock import seconds_between
-from headway.operators.spans import place, rowwise, timewise
+from headway.operators.spans import place, rowwise, timewise, timewise_mean
 
 
 def latest_per(df, keys: Sequence[str], order: Sequence, n: int = 1) -> DataFrame:
@@ -57,7 +57,12 @@ def reversal_flag(df, keys, order, slices, ts: str, name="time_reversal") -> Dat
 
 
 def range_trend(df, keys, ts: str, x: str, back_seconds=3600, until_seconds=60, name="trend", slice_seconds=None) -> DataFrame:
-    """Mean over the time range [ts - back, ts - until]."""
+    """Mean over the time range [ts - back, ts - until].
+
+    Decimals keep their own means, frame by frame; everything else is summed as double, once per row.
+    """
+    if not isinstance(df.schema[x].dataType, T.DecimalType):
+        return timewise_mean(df, keys, ts, x, name, back_seconds, until_seconds)
     return timewise(df, keys, ts, {name: lambda w: F.avg(x).over(w)}, back_seconds, until_seconds, slice_seconds)
 
 

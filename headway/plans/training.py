@@ -11,8 +11,8 @@ from headway.functions.encode import (
 from headway.operators.aggregates import hourly_delay, route_hour_stats, weather_bucket
 from headway.operators.filters import asymmetric_anomaly, drop_null, upstream_ready, valid_travel_time
 from headway.operators.joins import exists_flag, with_weather
-from headway.operators.spans import daily, hourly, rowwise, timewise
-from headway.operators.windows import travel_seconds
+from headway.operators.spans import daily, hourly, rowwise
+from headway.operators.windows import range_trend, travel_seconds
 
 ALERT_COLUMNS = (
     "has_active_alert", "high_impact_alert_count", "alert_police_activity", "alert_construction",
@@ -46,7 +46,7 @@ def route_windows(base: DataFrame, source: DataFrame | None = None) -> DataFrame
     order = [F.col("scheduled_arrival_time"), *[F.col(x) for x in TIE]]
     cut = hourly("scheduled_arrival_time")
     rd = ["route_id", "direction_id"]
-    d = timewise(base, rd, "scheduled_arrival_time", {"route_delay_trend_60min": lambda w: F.avg("arrival_delay").over(w)}, 3600, 60)
+    d = range_trend(base, rd, "scheduled_arrival_time", "arrival_delay", 3600, 60, "route_delay_trend_60min")
     d = rowwise(d, rd, order, cut, {"route_delay_volatility_3h": lambda w: F.stddev_samp("arrival_delay").over(w.rowsBetween(-3, -1))}, back=3, source=source)
     return rowwise(
         d, [*rd, "hour_of_day"], order, daily("scheduled_arrival_time"),

@@ -1,8 +1,8 @@
 """Steps whose cost must not follow the rows in the wrong place."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from headway.operators import fills as fi, learning as le, spans, splits as sp
+from headway.operators import fills as fi, learning as le, spans, splits as sp, windows as wi
 from headway.sources import snapshots as sn
 from headway.sources.schemas import FEED
 
@@ -76,3 +76,19 @@ def test_grid_comes_dealt_by_key(spark):
     assert known == {("a", "2024-01-01 00:00:00", 2.0), ("b", "2024-01-02 20:00:00", 5.0)}
     assert [r.x for r in filled.where("k = 'a'").orderBy("t").limit(4).collect()] == [2.0, 2.0, 2.0, 0.0]
     assert fi.grid_steps(d, "t", 900).count() == steps and fi.grid_steps(d.limit(0), "t", 900).count() == 0
+
+
+def test_range_means_run_over_no_sliding_frame(spark):
+    """A frame of very many rows is two running sums: the same means, and no frame that starts at an offset."""
+    rows = [(i, "ab"[i % 2] if i % 7 else None, None if i % 11 == 0 else i * 977 % 9000, None if i % 5 == 0 else i * 1.25) for i in range(300)]
+    rows += [(1000, "a", 3600, 1.0), (1001, "a", 60, 2.0), (1002, "a", 7140, 4.0), (1003, "a", 0, float("nan"))]
+    d = spark.createDataFrame(rows, "id long, k string, s long, x double").withColumn("t", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    w = Window.partitionBy("k").orderBy(F.unix_micros(F.col("t").cast("timestamp"))).rangeBetween(-3600_000_000, -60_000_000)
+    got = wi.range_trend(d, ["k"], "t", "x")
+    assert "RangeFrame, -" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.columns == [*d.columns, "trend"]
+
+    def means(f, name):
+        return sorted((r.id, str(r[name])) for r in f.select("id", F.round(name, 9).alias(name)).collect())
+
+    assert means(got, "trend") == means(d.withColumn("trend", F.avg("x").over(w)), "trend")
