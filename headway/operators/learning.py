@@ -22,7 +22,7 @@ from headway.functions.numbers import hash_text
 from headway.operators import gram
 from headway.operators.metrics import masked_metrics, regression_metrics
 from headway.operators.scaling import standard_inverse
-from headway.operators.sequences import past_trips, windows
+from headway.operators.sequences import past_trips, trip_vectors, windows
 from headway.operators.spans import HASH_DIGITS, place
 from headway.operators.windows import last_row
 from headway.sinks.tables import stage
@@ -428,10 +428,10 @@ def grid_errors(df: DataFrame, fitted: DataFrame, of: str, mask: str, y: str, yh
 
 
 def length_experiment(df: DataFrame, ns: Sequence[int], route_key, trip_key, ts, seq, delay, kind: str = "mean") -> DataFrame:
-    """Metrics of a baseline for several history lengths."""
-    out = None
+    """Metrics of a baseline for several history lengths. The trips' vectors are stored once for all of them."""
+    out, vectors = None, stage(trip_vectors(df, route_key, trip_key, ts, seq, delay), "trip-vectors")
     for n in ns:
-        s = baseline(past_trips(df, route_key, trip_key, ts, seq, delay, n), kind)
+        s = baseline(past_trips(df, route_key, trip_key, ts, seq, delay, n, vectors=vectors), kind)
         m = regression_metrics(long_errors(s, [trip_key]), "y", "yhat").withColumn("n_past", F.lit(n))
         out = m if out is None else out.unionByName(m)
     return out

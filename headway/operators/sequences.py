@@ -109,15 +109,15 @@ def std_of(arr) -> Column:
     return F.sqrt(F.aggregate(F.transform(a, lambda v: v * v), F.lit(0.0), lambda s, v: s + v) / F.size(a) - m * m)
 
 
-def past_trips(df, route_key, trip_key, ts, seq, delay, n: int = 5, stops=None, slices=None, features: Sequence[str] = ()) -> DataFrame:
+def past_trips(df, route_key, trip_key, ts, seq, delay, n: int = 5, stops=None, slices=None, features: Sequence[str] = (), vectors=None) -> DataFrame:
     """Delays of the past ``n`` trips of the same route as a matrix, with the target trip's.
 
     Adds mean, population deviation, trend (mean of the latest minus mean of the earliest trip)
     and maximum of the matrix. Trips with fewer than ``n`` predecessors give no row. ``features`` are
     columns of the target trip: the array ``features`` has of each the first value that is not null,
-    or 0.
+    or 0. ``vectors`` are the rows' :func:`trip_vectors`, for callers that use them several times.
     """
-    vec = trip_vectors(df, route_key, trip_key, ts, seq, delay, stops)
+    vec = trip_vectors(df, route_key, trip_key, ts, seq, delay, stops) if vectors is None else vectors
     cuts = slices or daily("first_time")
     fn = {"past": lambda w: F.collect_list("delays").over(w.rowsBetween(-n, -1))}
     out = rowwise(vec, [route_key], [F.col("first_time"), F.col(trip_key)], cuts, fn, back=n)

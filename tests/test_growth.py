@@ -2,7 +2,7 @@
 
 from pyspark.sql import Window, functions as F
 
-from headway.operators import fills as fi, learning as le, spans, splits as sp, windows as wi
+from headway.operators import fills as fi, learning as le, sequences as sq, spans, splits as sp, windows as wi
 from headway.sources import snapshots as sn
 from headway.sources.schemas import FEED
 
@@ -92,3 +92,14 @@ def test_range_means_run_over_no_sliding_frame(spark):
         return sorted((r.id, str(r[name])) for r in f.select("id", F.round(name, 9).alias(name)).collect())
 
     assert means(got, "trend") == means(d.withColumn("trend", F.avg("x").over(w)), "trend")
+
+
+def test_history_lengths_share_the_vectors_of_trips(spark, monkeypatch):
+    calls, real = [], sq.trip_vectors
+    for m in (sq, le):
+        monkeypatch.setattr(m, "trip_vectors", lambda *a, **k: calls.append(1) or real(*a, **k), raising=False)
+    rows = [(1, trip, trip * 100 + s, s, float(trip * s)) for trip in range(6) for s in (1, 2)]
+    d = spark.createDataFrame(rows, "route long, trip long, t long, seq int, delay double").withColumn("t", F.timestamp_seconds("t").cast("timestamp_ntz"))
+    got = {r.n_past: r for r in le.length_experiment(d, (2, 3), "route", "trip", "t", "seq", "delay").collect()}
+    assert len(calls) == 1 and {k: r.n for k, r in got.items()} == {2: 8, 3: 6}
+    assert abs(got[2].mae - 2.25) < 1e-9 and abs(got[3].mae - 3.0) < 1e-9
