@@ -2,6 +2,7 @@
 
 from pyspark.sql import Window, functions as F
 
+from headway.catalog import QUERIES
 from headway.operators import fills as fi, learning as le, sequences as sq, spans, splits as sp, windows as wi
 from headway.sources import snapshots as sn
 from headway.sources.schemas import FEED
@@ -103,3 +104,13 @@ def test_history_lengths_share_the_vectors_of_trips(spark, monkeypatch):
     got = {r.n_past: r for r in le.length_experiment(d, (2, 3), "route", "trip", "t", "seq", "delay").collect()}
     assert len(calls) == 1 and {k: r.n for k, r in got.items()} == {2: 8, 3: 6}
     assert abs(got[2].mae - 2.25) < 1e-9 and abs(got[3].mae - 3.0) < 1e-9
+
+
+def test_snapshots_are_parsed_once(spark, tmp_path):
+    row = (1, 2, 3, 1, 30.0, 9.5, 0.05, 0.0, "R", "O")
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    d = spark.createDataFrame([row, (*row[:9], "F")], names).withColumn("l_shipdate", F.lit("1998-01-01").cast("timestamp_ntz"))
+    d.write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = QUERIES["s07_stop_time_updates"](spark, str(tmp_path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [tuple(r) for r in out.collect()] == [(1, "3", 100.0, "SKIPPED", 1)]
