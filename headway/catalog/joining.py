@@ -16,7 +16,9 @@ def feed_tables(t):
     msg = F.unix_timestamp(F.col("l_shipdate").cast("timestamp"))
     tu = F.concat_ws("-", "l_orderkey", msg)
     delay = ((F.col("l_quantity") - 25) * 300).cast("int")
-    per_trip = li.select(tu.alias("trip_update_id"), msg.alias("feed_message_id"), F.col("l_orderkey").alias("trip_descriptor_id")).distinct()
+    # The id of an update is made of the two others: they alone are shuffled to make the rows distinct.
+    pairs = li.select("l_orderkey", msg.alias("feed_message_id")).distinct()
+    per_trip = pairs.select(F.concat_ws("-", "l_orderkey", "feed_message_id").alias("trip_update_id"), "feed_message_id", F.col("l_orderkey").alias("trip_descriptor_id"))
     messages = li.select(msg.alias("feed_message_id")).distinct()
     return {
         "stop_time_updates": li.select(

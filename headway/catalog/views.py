@@ -81,7 +81,8 @@ def _(t):
 def analytics(t):
     routes = t.raw("customer").select(F.col("c_custkey").alias("route_id"), F.col("c_mktsegment").alias("route_short_name"))
     trips = t.trips.select("trip_id", F.col("headsign").alias("trip_headsign"), "service_id")
-    return rt.analytics(base(t), routes, trips, enriched(t), stop_times(t), "UTC", 2)
+    rows = base(t).drop("trip_update_id", "update_time")
+    return rt.analytics(rows, routes, trips, stage(enriched(t), "stops"), stop_times(t), "UTC", 2, lambda d: stage(d, "analytics"))
 
 
 ANALYTICS = f"""{STOP_TIMES}, {ENRICHED}, {BASE}, an AS (SELECT b.*, c_mktsegment AS route_short_name, t.headsign AS trip_headsign, es.stop_name, es.region_id, st.arrival_secs, km, CAST(hour(actual_arrival_time) AS INTEGER) AS hour_of_day, date_trunc('hour', actual_arrival_time) AS datetime_60,

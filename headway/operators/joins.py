@@ -16,14 +16,17 @@ from headway.operators.nearest import GROUP, nearest_sites
 
 
 def stop_updates_flat(t: dict[str, DataFrame]) -> DataFrame:
-    """Stop-time updates with trip, entity, message and header columns."""
+    """Stop-time updates with trip, entity, message and header columns.
+
+    The descriptors come last, so that the shuffles before carry none of their columns.
+    """
     return (
         t["stop_time_updates"]
         .join(t["trip_updates"], "trip_update_id")
-        .join(t["trip_descriptors"], "trip_descriptor_id")
         .join(t["feed_entities"], "feed_entity_id")
         .join(t["feed_messages"], "feed_message_id")
         .join(t["feed_headers"], "feed_message_id")
+        .join(t["trip_descriptors"], "trip_descriptor_id")
     )
 
 
@@ -52,10 +55,13 @@ def positions_on_schedule(vp, td, st, stops) -> DataFrame:
 
 
 def group_stat_back(
-    df, keys: Sequence[str], stats: dict[str, Column], min_n: int = 5
+    df, keys: Sequence[str], stats: dict[str, Column], min_n: int = 5, of: DataFrame | None = None
 ) -> DataFrame:
-    """Group statistics of groups with at least ``min_n`` rows, joined back to every row."""
-    counted = df.groupBy(*keys).agg(
+    """Group statistics of groups with at least ``min_n`` rows, joined back to every row.
+
+    ``of`` are the rows that are counted, if they are not those of ``df``.
+    """
+    counted = (df if of is None else of).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), *[s.alias(n) for n, s in stats.items()]
     )
     return df.join(counted.where(F.col("_n") >= min_n).drop("_n"), list(keys), "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from headway.functions.clock import (
@@ -67,37 +69,35 @@ def base_positions(t: dict[str, DataFrame], stops: DataFrame, as_of=None, interv
 GEO = ("distance_from_downtown_km", "lat_sin", "lat_cos", "lon_sin", "lon_cos", "lat_relative", "lon_relative", "area_density_score")
 
 
-def analytics(base, routes, trips, stops, stop_times, zone: str = LOCAL_ZONE, min_n: int = 5) -> DataFrame:
+def analytics(base, routes, trips, stops, stop_times, zone: str = LOCAL_ZONE, min_n: int = 5, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Updates with schedule, stop and route columns, time features and the route-hour mean.
 
     The schedule is matched on (trip, stop sequence), so a trip that passes a stop twice does
-    not multiply rows. Weekday features come from the service date.
+    not multiply rows. Weekday features come from the service date. The mean reads the rows a second time: ``store``, if given,
+    writes them once, before the columns of the stop are added.
     """
     st = stop_times.select("trip_id", "stop_sequence", F.col("arrival_secs").alias("scheduled_arrival_time"))
     rows = (
-        base.join(routes.select("route_id", "route_short_name"), "route_id")
+        base.join(st, ["trip_id", "stop_sequence"])
+        .join(routes.select("route_id", "route_short_name"), "route_id")
         .join(trips.select("trip_id", "trip_headsign"), "trip_id")
-        .join(stops.select("stop_id", "stop_name", "stop_lat", "stop_lon", "region_id", *GEO), "stop_id")
-        .join(st, ["trip_id", "stop_sequence"])
     )
-    local, day = to_local("actual_arrival_time", zone), isodow(parse_service_date("start_date"))
-    rows = rows.withColumns(
-        {
-            "hour_of_day": F.hour(local), "day_of_week": day,
-            "datetime_60": hour_start("actual_arrival_time"),
-        }
+    rows = (rows if store is None else store(rows)).withColumn("hour_of_day", F.hour(to_local("actual_arrival_time", zone)))
+    # Rows are counted with their stops, but the mean is joined back before they carry the columns of the stop.
+    rows = group_stat_back(
+        rows, ["route_id", "direction_id", "hour_of_day"], {"delay_mean_by_route_hour": F.avg("arrival_delay")}, min_n,
+        rows.join(stops.select("stop_id"), "stop_id"),
     )
+    rows = rows.join(stops.select("stop_id", "stop_name", "stop_lat", "stop_lon", "region_id", *GEO), "stop_id")
+    rows = rows.withColumns({"day_of_week": isodow(parse_service_date("start_date")), "datetime_60": hour_start("actual_arrival_time")})
     hs, hc = cyclic("hour_of_day", 24)
     ds, dc = cyclic("day_of_week", 7)
-    rows = rows.withColumns(
+    return rows.withColumns(
         {
             "hour_sin": hs, "hour_cos": hc, "day_sin": ds, "day_cos": dc,
             "is_peak_hour": peak_flag("hour_of_day"), "is_weekend": weekend_flag("day_of_week"),
         }
     )
-    return group_stat_back(
-        rows, ["route_id", "direction_id", "hour_of_day"], {"delay_mean_by_route_hour": F.avg("arrival_delay")}, min_n
-    )
 
 
 def alerts_of(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
