@@ -52,15 +52,21 @@ def _(t):
 STOP_TIMES = "st AS (SELECT trip_id, stop_sequence, min(stop_id) AS stop_id, CAST(stop_sequence * 600 + (trip_id % 48) * 1800 AS INTEGER) AS arrival_secs, CAST(trip_id % 2 AS INTEGER) AS arrival_day_offset FROM upd GROUP BY 1, 2)"
 
 
+def _planned():
+    """Scheduled seconds and day offset, which the trip and the sequence number fix."""
+    secs = (F.col("stop_sequence") * 600 + (F.col("trip_id") % 48) * 1800).cast("int")
+    return secs.alias("arrival_secs"), (F.col("trip_id") % 2).cast("int").alias("arrival_day_offset")
+
+
 def stop_times(t):
-    return t.upd.groupBy("trip_id", "stop_sequence").agg(F.min("stop_id").alias("stop_id")).select(
-        "trip_id", "stop_sequence", "stop_id", (F.col("stop_sequence") * 600 + (F.col("trip_id") % 48) * 1800).cast("int").alias("arrival_secs"),
-        (F.col("trip_id") % 2).cast("int").alias("arrival_day_offset"),
-    )
+    stops = t.upd.groupBy("trip_id", "stop_sequence").agg(F.min("stop_id").alias("stop_id"))
+    return stops.select("trip_id", "stop_sequence", "stop_id", *_planned())
 
 
 def positions(t):
-    u = t.upd.join(stop_times(t).drop("stop_id"), ["trip_id", "stop_sequence"]).join(t.trips.select("trip_id", "start_date"), "trip_id")
+    # Every update has its row in stop_times, but for those without a key.
+    u = t.upd.na.drop(subset=["trip_id", "stop_sequence"]).select("*", *_planned())
+    u = u.join(t.trips.select("trip_id", "start_date"), "trip_id")
     planned = F.unix_timestamp(F.col("start_date").cast("timestamp")) + F.col("arrival_secs") + F.col("arrival_day_offset") * 86400
     return u.select(
         F.col("trip_id").alias("trip_descriptor_id"), F.col("stop_sequence").alias("current_stop_sequence"), F.col("stop_id"),

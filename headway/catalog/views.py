@@ -70,7 +70,7 @@ def located_stops(t):
 
 def observed(t, as_of=None, interval="2 hours"):
     tables = {"vehicle_positions": positions(t), "trip_descriptors": descriptors(t), "stop_times": stop_times(t)}
-    return rt.base_positions(tables, located_stops(t), as_of, interval, "UTC")
+    return rt.base_positions(tables, stage(located_stops(t), "stops"), as_of, interval, "UTC")
 
 
 @query("v04_base_positions", "upd trips stops tiles", f", {OBSERVED}, {ENRICHED} SELECT trip_id, stop_sequence, stop_id, day AS start_date, region_id, scheduled_arrival_time, actual_arrival_time, arrival_delay, date_trunc('hour', scheduled_arrival_time) AS time_bucket, CAST(hour(scheduled_arrival_time) AS INTEGER) AS hour_of_day, CAST(isodow(start_date) AS INTEGER) AS day_of_week FROM ob JOIN es USING (stop_id)")

@@ -172,9 +172,14 @@ def exists_flag(df, other, keys: Sequence[str], name: str) -> DataFrame:
 
 
 def latest_batch(df, keys: Sequence[str], created_at: str) -> DataFrame:
-    """All rows of the newest batch of each key, ties kept; rows with a null key drop out."""
-    last = df.na.drop(subset=[*keys, created_at]).groupBy(*keys).agg(F.max(created_at).alias(created_at))
-    return df.join(last, [*keys, created_at], "left_semi")
+    """All rows of the newest batch of each key, ties kept; rows with a null key drop out.
+
+    A rank compared with a constant is cut on the map side: the rows are shuffled once, and of a hot key only
+    the newest batch of each task. The newest batch of one key has to fit a task.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.col(created_at).desc())
+    known = df.na.drop(subset=[*keys, created_at])
+    return known.withColumn("_rank", F.rank().over(w)).where("_rank = 1").drop("_rank")
 
 
 def previous_step(df, other, key: Sequence[str], seq: str, value: str, name: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from pyspark.sql import Window, functions as F
 
-from headway.catalog import QUERIES
-from headway.operators import fills as fi, learning as le, sequences as sq, spans, splits as sp, windows as wi
+from headway.catalog import QUERIES, joining as jn, views
+from headway.catalog.base import Tables
+from headway.operators import fills as fi, joins as jo, learning as le, sequences as sq, spans, splits as sp, windows as wi
+from headway.plans import realtime as rt
 from headway.sources import snapshots as sn
 from headway.sources.schemas import FEED
 
@@ -114,3 +116,74 @@ def test_snapshots_are_parsed_once(spark, tmp_path):
     out = QUERIES["s07_stop_time_updates"](spark, str(tmp_path))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
     assert [tuple(r) for r in out.collect()] == [(1, "3", 100.0, "SKIPPED", 1)]
+
+
+def test_the_newest_batch_needs_no_join(spark):
+    d = spark.createDataFrame([("a", 1, 1, "x"), ("a", 1, 2, "y"), ("a", 1, 2, "z"), ("b", 2, 1, "u"), (None, 2, 9, "null key"), ("b", 2, None, "no time")], "k string, l int, at int, v string")
+    out = jo.latest_batch(d, ["k", "l"], "at")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "WindowGroupLimit" in plan and out.columns == d.columns
+    assert sorted(r.v for r in out.collect()) == ["u", "y", "z"]
+
+
+def updates(spark, tmp_path):
+    """Three trips with repeated, unkeyed and unmatched updates."""
+    day = "timestamp_ntz'1998-01-02 00:00:00'"
+    spark.sql(f"SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS BIGINT) AS l_partkey, CAST(7 AS BIGINT) AS l_suppkey, {day} + make_dt_interval(late) AS l_shipdate, CAST(26 AS DOUBLE) AS l_quantity, 0.05D AS l_discount, "
+              "1.0D AS l_extendedprice, 'A' AS l_returnflag, 'O' AS l_linestatus FROM VALUES (1L, 1, 0), (1L, 1, 0), (1L, 1, 1), (1L, 2, 0), (2L, 1, 0), (2L, NULL, 0), (NULL, 3, 0), (9L, 1, NULL) AS t(l_orderkey, l_linenumber, late)"
+              ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql(f"SELECT o_orderkey, 4L AS o_custkey, {day} AS o_orderdate, 'LOW' AS o_orderpriority FROM VALUES (1L), (2L), (2L), (3L) AS t(o_orderkey)").write.parquet(f"{tmp_path}/orders.parquet")
+    return Tables(spark, str(tmp_path))
+
+
+def test_updates_are_told_apart_by_two_numbers(spark, tmp_path):
+    d = jn.feed_tables(updates(spark, tmp_path))
+    for name in ("trip_updates", "feed_entities"):
+        plan = d[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [l_orderkey" in plan and d[name].count() == d[name].distinct().count() == 5
+    assert {r.trip_update_id for r in d["trip_updates"].where("trip_descriptor_id = 1").collect()} == {"1-883699200", "1-883785600"}
+    flat = jo.stop_updates_flat(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert flat.count("Join Inner") == 5 and flat.index("o_orderkey") > flat.index("trip_update_id")
+
+
+def test_positions_are_not_joined_to_their_own_updates(spark, tmp_path):
+    t = updates(spark, tmp_path)
+    out = jn.positions(t)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    u = t.upd.join(jn.stop_times(t).drop("stop_id"), ["trip_id", "stop_sequence"]).join(t.trips.select("trip_id", "start_date"), "trip_id")
+    planned = F.unix_timestamp(F.col("start_date").cast("timestamp")) + F.col("arrival_secs") + F.col("arrival_day_offset") * 86400
+    want = u.select("trip_id", "stop_sequence", "stop_id", planned + (F.col("delay") * 3).cast("int"))
+    assert out.exceptAll(want).count() == want.exceptAll(out).count() == 0 and out.count() == 6
+
+
+def test_analytics_rows_are_written_once_without_their_stops(spark):
+    at = "timestamp_ntz'2024-01-01 08:10:00'"
+    base = spark.sql(f"SELECT * FROM VALUES (1, 1, 'r', 0, 's', '20240101', {at}, 10), (1, 2, 'r', 0, 's', '20240101', {at}, 30), (2, 1, 'r', 0, 'gone', '20240101', {at}, 500), (3, 1, 'q', 0, 's', '20240101', {at}, 7) AS t(trip_id, stop_sequence, route_id, direction_id, stop_id, start_date, actual_arrival_time, arrival_delay)")
+    routes = spark.sql("SELECT * FROM VALUES ('r', 'R'), ('q', 'Q') AS t(route_id, route_short_name)")
+    trips = spark.sql("SELECT id AS trip_id, 'h' AS trip_headsign FROM range(1, 4)")
+    geo = ", ".join(f"0.0D AS {x}" for x in ("stop_lat", "stop_lon", *rt.GEO))
+    # A stop that stands twice doubles its rows, also in the count of the group.
+    stops = spark.sql(f"SELECT 's' AS stop_id, n AS stop_name, 'z' AS region_id, {geo} FROM VALUES ('one'), ('two') AS t(n)")
+    times = spark.sql("SELECT trip_id, stop_sequence, 60 AS arrival_secs FROM range(1, 4) t(trip_id), range(1, 3) s(stop_sequence)")
+    kept = []
+
+    def store(d):
+        kept.append(d.columns)
+        return d
+
+    got = {}
+    for how in (None, store):
+        out = rt.analytics(base, routes, trips, stops, times, "UTC", 3, how)
+        got[how] = sorted((r.trip_id, r.stop_sequence, r.stop_name, r.hour_of_day, r.delay_mean_by_route_hour) for r in out.collect())
+    want = [(1, s, n, 8, 20.0) for s in (1, 2) for n in ("one", "two")] + [(3, 1, n, 8, None) for n in ("one", "two")]
+    assert got[None] == got[store] == want
+    assert len(kept) == 1 and "stop_name" not in kept[0]
+
+
+def test_boards_store_only_what_they_read(spark, monkeypatch):
+    stored = {}
+    monkeypatch.setattr(views, "stage", lambda d, label="stage": stored.setdefault(label, d))
+    QUERIES["v14_route_timetable"](spark, "/root/testdata/sf0.001")
+    assert "seen" not in stored and "stops" in stored
+    QUERIES["v13_stop_board"](spark, "/root/testdata/sf0.001")
+    assert len(stored["seen"].columns) == 6
