@@ -247,7 +247,8 @@ pv AS (SELECT trip_id, stop_sequence, arg_max(arrival_delay, (actual_arrival_tim
 def board_inputs(t):
     trips = t.trips.select("trip_id", "route_id", "direction_id", F.col("headsign").alias("trip_headsign"), "service_id")
     p = rt.latest_predictions(predictions(t)).groupBy("stop_id", "stop_sequence", "route_id", "direction_id", "prediction_target_time").agg(F.min("predicted_delay_seconds").alias("predicted_delay_seconds"))
-    return stop_times(t), trips, nw.expand_calendar(t.services), stage(observed(t)), p
+    seen = observed(t).select("route_id", "stop_id", "trip_id", "stop_sequence", "arrival_delay", "actual_arrival_time")
+    return stop_times(t), trips, nw.expand_calendar(t.services), seen, p
 
 
 @query("v13_stop_board", "upd trips services stops", f""", {BOARD}, na AS (SELECT stop_id, route_id, headsign, service_id, service_date, min(actual_time) AS next_arrival_time FROM tm WHERE actual_time >= TIMESTAMP '{DAY}' GROUP BY 1, 2, 3, 4, 5),
@@ -257,7 +258,7 @@ FROM tm JOIN na ON na.stop_id = tm.stop_id AND na.route_id = tm.route_id AND na.
 LEFT JOIN pp ON pp.stop_id = tm.stop_id AND pp.stop_sequence = tm.stop_sequence AND pp.route_id = tm.route_id AND pp.direction_id = tm.direction_id AND pp.prediction_target_time = date_trunc('hour', na.next_arrival_time)""")
 def _(t):
     st, trips, dates, seen, p = board_inputs(t)
-    d = sv.stop_board(st, trips, dates, seen, p, DAY, zone="UTC")
+    d = sv.stop_board(st, trips, dates, stage(seen, "seen"), p, DAY, zone="UTC")
     d = d.select("stop_id", "route_id", "service_date", "next_arrival_time", "trip_id", "stop_sequence", "predicted_delay_seconds", F.coalesce("previous_stop_arrival_delay", F.lit(-99999)).alias("previous_stop_arrival_delay"))
     return rounded(d, "predicted_delay_seconds")
 
