@@ -76,6 +76,27 @@ def test_a_long_chain_is_one_component(spark):
     assert {r["root"] for r in simhash.components(links).collect()} == {0}
 
 
+def test_components_of_random_links(spark):
+    """Rings, stars, chains and clumps with negative and extreme ids, links of a node with itself and repeated links."""
+    rng = random.Random(5)
+    names = [rng.randint(-(2**63), 2**63 - 1) for _ in range(600)] + [-(2**63), 2**63 - 1, 0, -1]
+    links = [(names[i], names[i + 1]) for i in range(0, 120)] + [(names[200], names[i]) for i in range(150, 260)]
+    links += [tuple(rng.sample(names[300:600], 2)) for _ in range(140)] + [(names[-4], names[-3]), (0, -1), (0, 0)]
+    links += [(b, a) for a, b in links[::3]] + links[::5] + [(a, a) for a, _ in links[::7]]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = simhash.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == len(root) and {r["node"]: r["root"] for r in got} == {x: find(x) for x in root}
+
+
 def test_odd_rows(spark, odd):
     out = simhash.near_duplicates(odd, "text", "doc_id").collect()
     assert len(out) == odd.count()
